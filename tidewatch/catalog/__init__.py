@@ -34,4 +34,4 @@ def load() -> None:
         importlib.import_module(f"tidewatch.catalog.{module}")
 
 
-MODULES = ["trigger"]
+MODULES = ["trigger", "screen", "tables", "forward"]

@@ -186,18 +186,30 @@ def trailing(spark, d) -> DataFrame:
     )
 
 
-def features(spark, d) -> DataFrame:
-    """Snapshot rows with every feature column the pillars read."""
+def features(spark, d, ranked: bool = True, momentum: bool = True) -> DataFrame:
+    """Snapshot rows with every feature column the pillars read.
+
+    ``ranked`` and ``momentum`` leave out the universe ranks and the trailing windows where the
+    caller reads neither.
+    """
     from tidewatch.operators import mindshare
 
     u = F.col("user_id")
     uni = universe(spark, d)
-    shares = mindshare.ranked(uni, "poll_id", "user_id", digits=9)
+    if ranked:
+        shares = mindshare.ranked(uni, "poll_id", "user_id", digits=9)
+    else:
+        nulls = {"rank": F.lit(None).cast("bigint"), "percentile": F.lit(None).cast("double")}
+        shares = mindshare.shares(uni, "poll_id").withColumns(nulls)
     day = F.floor(F.col("ts") / DAY).cast("bigint").alias("poll_id")
     snaps = snapshots(spark, d).withColumn("poll_id", day)
-    joined = snaps.join(shares.drop("user_id"), ["poll_id", *TOKEN], "left").join(
-        trailing(spark, d), "snapshot_id", "left"
-    )
+    joined = snaps.join(shares.drop("user_id"), ["poll_id", *TOKEN], "left")
+    if momentum:
+        joined = joined.join(trailing(spark, d), "snapshot_id", "left")
+    else:
+        names = ("buys_1h", "sells_1h", "buys_24h", "sells_24h", "volume_1h_usd", "volume_6h_usd")
+        blank = {f"momentum_{n}": F.lit(None).cast("double") for n in names}
+        joined = joined.withColumns({**blank, "mindshare_txns_6h": F.lit(None).cast("bigint")})
     return joined.select(
         "snapshot_id",
         *TOKEN,

@@ -64,7 +64,7 @@ def labels(
 
     peaks = (
         _path(valid, known, token)
-        .groupBy("snapshot_id")
+        .groupBy("snapshot_id", *token, "ts", "_base")
         .agg(
             *[
                 F.max(F.when(inside(m), F.struct("_mcap", (-F.col("_ts")).alias("_neg")))).alias(
@@ -81,21 +81,18 @@ def labels(
             ],
         )
     )
-    marks = valid.join(peaks, "snapshot_id")
+    # Every peak row is itself on the path, so pass two loses no snapshot that has a peak and
+    # can carry pass one's findings along.
+    carried = [c for c in peaks.columns if c.startswith(("_peak", "_last"))]
     dips = (
-        _path(
-            marks.select(
-                "snapshot_id", *token, "ts", *[(-F.col(f"_peak_{h}._neg")).alias(f"_at_{h}") for h in DRAWDOWN]
-            ),
-            known,
-            token,
-        )
+        _path(peaks, known, token)
         .groupBy("snapshot_id")
         .agg(
             *[
-                F.min(F.when(F.col("_ts") <= F.col(f"_at_{h}"), F.col("_mcap"))).alias(f"_dip_{h}")
+                F.min(F.when(F.col("_ts") <= -F.col(f"_peak_{h}._neg"), F.col("_mcap"))).alias(f"_dip_{h}")
                 for h in DRAWDOWN
-            ]
+            ],
+            *[F.any_value(c).alias(c) for c in carried],
         )
     )
     closed = {h: F.lit(as_of_ms) >= F.col("ts") + m * 60_000 for h, m in HORIZONS.items()}
@@ -106,7 +103,6 @@ def labels(
     b = F.col("_base")
     return (
         base.select("snapshot_id", "ts", "_base")
-        .join(marks.drop("ts", "_base", *token), "snapshot_id", "left")
         .join(dips, "snapshot_id", "left")
         .select(
             "snapshot_id",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,16 +85,16 @@ def with_inputs(df: DataFrame) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
-def _pillar(score: Column, parts: dict[str, Column], notes: list[Column]) -> Column:
-    texts = F.array_compact(F.array(*notes)) if notes else F.array().cast("array<string>")
-    return F.struct(
-        score.alias("score"),
-        F.struct(*[p.alias(n) for n, p in parts.items()]).alias("components"),
-        texts.alias("notes"),
-    )
+@dataclass(frozen=True)
+class Pillar:
+    """Components of a pillar, its notes, and how the mean of the components becomes its score."""
+
+    parts: dict[str, Column]
+    notes: list[Column] = field(default_factory=list)
+    finish: Callable[[Column], Column] = lambda mean: mean
 
 
-def attention_velocity() -> Column:
+def attention_velocity() -> Pillar:
     m24 = F.col("social_x_mentions_24h")
     replies = F.col("social_x_reply_to_post_ratio")
     pace = F.try_divide(F.col("social_x_mentions_6h") / 6.0, F.when(m24 > 0, m24) / 24.0)
@@ -103,11 +106,13 @@ def attention_velocity() -> Column:
         "tier1_crossover": scale("social_x_tier1_organic_engagements", 0.0, 5.0),
         "reply_ratio": scale(replies, 0.0, 1.5),
     }
-    mean = mean_of(*parts.values())
-    # least() skips nulls, so the cap applies only where a mean exists.
-    score = F.when(mean.isNotNull() & (spread < DIVERSITY_FLOOR), F.least(mean, F.lit(COORDINATED_CAP))).otherwise(mean)
-    return _pillar(
-        score,
+
+    def cap(mean: Column) -> Column:
+        # least() skips nulls, so the cap applies only where a mean exists.
+        low = F.least(mean, F.lit(COORDINATED_CAP))
+        return F.when(mean.isNotNull() & (spread < DIVERSITY_FLOOR), low).otherwise(mean)
+
+    return Pillar(
         parts,
         [
             F.when(pace < 1.0, "mention curve decelerating at level -- distribution signature"),
@@ -120,10 +125,11 @@ def attention_velocity() -> Column:
                 "one-way posting with no replies -- manufactured presence",
             ),
         ],
+        cap,
     )
 
 
-def community_depth() -> Column:
+def community_depth() -> Pillar:
     members = F.col("social_tg_members")
     speakers = ratio("social_tg_unique_speakers_24h", members)
     parts = {
@@ -133,10 +139,10 @@ def community_depth() -> Column:
         "member_count": scale(members, 0.0, 20_000.0),
     }
     dead = F.format_string("speaker ratio %.3f -- dead room with a big number", speakers)
-    return _pillar(mean_of(*parts.values()), parts, [F.when(speakers < SPEAKER_FLOOR, dead)])
+    return Pillar(parts, [F.when(speakers < SPEAKER_FLOOR, dead)])
 
 
-def lineage_meta_fit() -> Column:
+def lineage_meta_fit() -> Pillar:
     declared = [F.col(f"socials_declared_{s}") for s in ("telegram", "x", "website")]
     yes = sum((F.coalesce(d, F.lit(False)).cast("int") for d in declared), F.lit(0))
     parts = {
@@ -148,10 +154,10 @@ def lineage_meta_fit() -> Column:
         ),
         "socials_declared": F.when(known(*declared) > 0, lookup(DECLARED_SCORE, yes)),
     }
-    return _pillar(mean_of(*parts.values()), parts, [])
+    return Pillar(parts)
 
 
-def onchain_structure() -> Column:
+def onchain_structure() -> Pillar:
     mcap = F.when(F.col("market_mcap_usd") != 0, F.col("market_mcap_usd"))
     bundled = F.col("launch_bundled_supply_pct")
     entries = F.col("flows_smart_money_entries").cast("double")
@@ -166,10 +172,10 @@ def onchain_structure() -> Column:
         "liquidity_depth": scale(F.try_divide(F.col("market_liquidity_usd"), mcap) * 100.0, 0.0, 15.0),
     }
     note = F.format_string("%.0f%% bundled at launch -- the float is an illusion", bundled)
-    return _pillar(mean_of(*parts.values()), parts, [F.when(bundled > 25, note)])
+    return Pillar(parts, [F.when(bundled > 25, note)])
 
 
-def asymmetry_timing() -> Column:
+def asymmetry_timing() -> Pillar:
     mcap = F.col("market_mcap_usd")
     hours = F.col("age_at_trigger_minutes") / 60.0
     rungs = F.array_compact(
@@ -184,10 +190,10 @@ def asymmetry_timing() -> Column:
         "age": F.when(hours < 72, clamp(100.0 - hours * 1.5)).when(hours.isNotNull(), 20.0),
         "listing_ladder": F.array_max(rungs),
     }
-    return _pillar(mean_of(*parts.values()), parts, [])
+    return Pillar(parts)
 
 
-def mindshare() -> Column:
+def mindshare() -> Pillar:
     boost = ratio("mindshare_boost_total", "mindshare_universe_boost_total")
     trade = ratio("mindshare_txns_24h", "mindshare_universe_txns_24h")
     tilt = F.try_divide(boost, F.when(trade > 0, trade))
@@ -197,8 +203,7 @@ def mindshare() -> Column:
         "venue_breadth": scale("mindshare_pair_count", 1.0, 6.0),
         "organic_tilt": F.when(tilt <= 1.0, 100.0).otherwise(clamp(100.0 - (tilt - 1.0) * 50.0)),
     }
-    return _pillar(
-        mean_of(*parts.values()),
+    return Pillar(
         parts,
         [
             F.when(
@@ -213,7 +218,7 @@ def mindshare() -> Column:
     )
 
 
-def momentum_flow() -> Column:
+def momentum_flow() -> Pillar:
     p1 = pressure("momentum_buys_1h", "momentum_sells_1h")
     p24 = pressure("momentum_buys_24h", "momentum_sells_24h")
     hours = F.col("age_at_trigger_minutes") / 60.0
@@ -231,8 +236,7 @@ def momentum_flow() -> Column:
         "volume_acceleration": scale(usable_pace, 0.3, 3.0),
         "price_slope": scale(move, -10.0, 10.0),
     }
-    return _pillar(
-        mean_of(*parts.values()),
+    return Pillar(
         parts,
         [
             F.when(
@@ -284,9 +288,30 @@ BUILDERS = {
 }
 
 
-def add(df: DataFrame) -> DataFrame:
-    """Add one struct column per pillar, named pillar_<name>."""
-    return with_inputs(df).withColumns({f"pillar_{n}": b() for n, b in BUILDERS.items()})
+def add(df: DataFrame, names: tuple[str, ...] = NAMES) -> DataFrame:
+    """Add one struct column per pillar, named pillar_<name>: score, components, notes.
+
+    Components become columns before the means read them, and means before anything reads those:
+    each expression is then evaluated once instead of being inlined at every use.
+    """
+    built = {n: BUILDERS[n]() for n in names}
+    df = with_inputs(df)
+    keep = df.columns
+    df = df.withColumns({f"_{n}__{p}": c for n, b in built.items() for p, c in b.parts.items()})
+    df = df.withColumns(
+        {f"_{n}__mean": mean_of(*[F.col(f"_{n}__{p}") for p in b.parts]) for n, b in built.items()}
+    )
+    df = df.withColumns({f"_{n}__score": b.finish(F.col(f"_{n}__mean")) for n, b in built.items()})
+
+    def packed(n: str, b: Pillar) -> Column:
+        notes = F.array_compact(F.array(*b.notes)) if b.notes else F.array().cast("array<string>")
+        return F.struct(
+            F.col(f"_{n}__score").alias("score"),
+            F.struct(*[F.col(f"_{n}__{p}").alias(p) for p in b.parts]).alias("components"),
+            notes.alias("notes"),
+        )
+
+    return df.select(*keep, *[packed(n, b).alias(f"pillar_{n}") for n, b in built.items()])
 
 
 def composite(scores: dict[str, Column], weights: dict[str, float]) -> tuple[Column, Column]:
