@@ -34,4 +34,4 @@ def load() -> None:
         importlib.import_module(f"tidewatch.catalog.{module}")
 
 
-MODULES = ["trigger", "screen", "tables", "forward", "payloads", "ranking"]
+MODULES = ["trigger", "screen", "tables", "forward", "payloads", "ranking", "market", "board"]

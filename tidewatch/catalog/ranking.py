@@ -222,7 +222,7 @@ def backtest_rows(spark, d):
         "top10_ex_lp_pct",
         "lp_locked_pct",
     )
-    rows = B.rows(I.features(spark, d), I.labels(spark, d), facts, "max_multiple_24h", 1.05, limit=10**9)
+    rows = B.rows(I.features(spark, d), I.labels(spark, d), facts, "max_multiple_24h", 1.05, limit=None)
     return rows.withColumns({n: F.round(n, _R) for n in B.feature_columns()})
 
 

@@ -55,16 +55,16 @@ def ranked(tokens: DataFrame, universe: str, tie: str, digits: int | None = None
     rows = shares(tokens, universe)
     if digits is not None:
         rows = rows.withColumn("share_pct", F.round("share_pct", digits))
-    measured = rows.where("share_pct is not null")
-    counts = measured.groupBy(universe).agg(F.count("*").alias("_measured"))
-    ranks = row_numbers(
-        measured.select(universe, tie, "share_pct"), [universe], [F.col("share_pct").desc(), F.col(tie)]
-    ).select(universe, tie, "rank")
+    # Unmeasured tokens sort last and keep no rank, so one pass over the universe is enough.
+    order = [F.col("share_pct").desc_nulls_last(), F.col(tie)]
+    placed = row_numbers(rows, [universe], order, "_at")
+    counts = placed.groupBy(universe).agg(F.count("share_pct").alias("_measured"))
+    rank = F.when(F.col("share_pct").isNotNull(), F.col("_at"))
     return (
-        rows.join(ranks, [universe, tie], "left")
-        .join(counts, universe, "left")
+        placed.join(counts, universe)
+        .withColumn("rank", rank)
         .withColumn("percentile", (F.col("_measured") - F.col("rank") + 1) / F.col("_measured") * 100.0)
-        .drop("_measured")
+        .drop("_measured", "_at")
     )
 
 

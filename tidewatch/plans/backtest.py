@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.values import age_band, clean, div, known, outcome
 from tidewatch.operators import keys, stats
+from tidewatch.session import durable
 
 # Default outcome, caution thresholds and the control feature.
 LABEL, THRESHOLD = "max_multiple_6h", 1.5
@@ -94,10 +95,10 @@ def rows(
     safety: DataFrame | None = None,
     label: str = LABEL,
     threshold: float | None = THRESHOLD,
-    limit: int = ROW_LIMIT,
+    limit: int | None = ROW_LIMIT,
 ) -> DataFrame:
-    """Newest snapshots with a resolved label, their features and the outcome as 1/0."""
-    newest = snapshots.orderBy(F.desc("ts"), "snapshot_id").limit(limit)
+    """Newest snapshots (all of them with ``limit=None``) with a resolved label, as features and 1/0."""
+    newest = snapshots if limit is None else snapshots.orderBy(F.desc("ts"), "snapshot_id").limit(limit)
     answers = labels.select("snapshot_id", outcome(label, threshold).alias("label"))
     joined = newest.join(answers.where("label is not null"), "snapshot_id")
     if safety is not None:
@@ -127,7 +128,8 @@ def evaluate(wide: DataFrame, names: list[str] | None = None) -> DataFrame:
 
     All features, splits and bands are scopes of one long frame, so each statistic is one pass.
     """
-    long = long_form(wide)
+    # Four statistics read the long frame, so it is computed once and cut from its lineage.
+    long = durable(long_form(wide))
     split = stats.time_split(long, "ts", "snapshot_id", ["feature"])
     scopes = F.array(
         F.lit("all"), F.col("split"), F.when(F.col("age_band").isNotNull(), F.concat(F.lit("band "), "age_band"))

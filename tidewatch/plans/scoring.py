@@ -92,12 +92,9 @@ def score_rows(
 def rank_batch(rows: DataFrame, tie: str, digits: int | None = None) -> DataFrame:
     """Rank the survivors best first, unscored survivors last; excluded rows have no rank."""
     key = F.col("score") if digits is None else F.round("score", digits)
-    ranks = row_numbers(
-        rows.where("not excluded").select(tie, key.alias("_key")),
-        [],
-        [F.col("_key").desc_nulls_last(), F.col(tie)],
-    ).select(tie, "rank")
-    return rows.join(ranks, tie, "left")
+    order = [F.col("excluded"), key.desc_nulls_last(), F.col(tie)]
+    placed = row_numbers(rows, [], order, "_at")
+    return placed.withColumn("rank", F.when(~F.col("excluded"), F.col("_at"))).drop("_at")
 
 
 def run(

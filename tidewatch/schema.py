@@ -48,13 +48,14 @@ SCALARS = ("age_at_trigger_minutes", "listings", "regime")
 UNCOUNTED = ("momentum",)
 
 
-def _fields(ddl: str) -> list[T.StructField]:
-    return T.StructType.fromDDL(ddl).fields
+def _fields(ddl: str) -> list[tuple[str, str]]:
+    """(name, type) pairs of a field list written as "name type, name type"."""
+    return [tuple(item.split(" ", 1)) for item in ddl.split(", ")]
 
 
 def group_columns(group: str) -> list[tuple[str, str]]:
     """(field, stored column) pairs of one group."""
-    return [(f.name, f"{group}_{f.name}") for f in _fields(GROUPS[group])]
+    return [(name, f"{group}_{name}") for name, _ in _fields(GROUPS[group])]
 
 
 def counted_columns() -> list[str]:
@@ -64,7 +65,7 @@ def counted_columns() -> list[str]:
 
 
 _FLAT = ", ".join(
-    f"{g}_{f.name} {f.dataType.simpleString()}" for g, ddl in GROUPS.items() for f in _fields(ddl)
+    f"{g}_{name} {kind}" for g, ddl in GROUPS.items() for name, kind in _fields(ddl)
 )
 
 
