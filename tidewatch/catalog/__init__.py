@@ -34,4 +34,14 @@ def load() -> None:
         importlib.import_module(f"tidewatch.catalog.{module}")
 
 
-MODULES = ["trigger", "screen", "tables", "forward", "payloads", "ranking", "market", "board"]
+MODULES = [
+    "trigger",
+    "screen",
+    "tables",
+    "forward",
+    "payloads",
+    "ranking",
+    "market",
+    "board",
+    "flow",
+]

@@ -176,7 +176,7 @@ def s26(spark, d):
     """SELECT snapshot_id, market_mcap_usd, market_liquidity_usd, social_tg_members, socials_declared_x FROM feat_""",
 )
 def s27(spark, d):
-    rows = schema.conform(I.features(spark, d, ranked=False, momentum=False), "snapshots")
+    rows = schema.conform(I.features(spark, d), "snapshots")
     docs = board.as_json(rows.select("snapshot_id", *[schema.nested(g) for g in schema.GROUPS]))
     j = F.col("json")
     return docs.select(
@@ -214,7 +214,8 @@ def p02(spark, d):
 _COUNTED = (
     "age_at_trigger_minutes", "listings", "market_mcap_usd", "market_liquidity_usd", "market_volume_24h_usd", "market_fdv_usd",
     "holders_growth_6h_pct", "holders_top10_ex_lp_pct", "deployer_address", "launch_bundled_supply_pct", "flow_whale",
-    "flows_smart_money_entries", "flows_smart_money_hit_rate", "mindshare_share_pct", "mindshare_universe_size", "mindshare_txns_24h",
+    "flows_smart_money_entries", "flows_smart_money_hit_rate", "mindshare_share_pct", "mindshare_rank", "mindshare_percentile",
+    "mindshare_universe_size", "mindshare_txns_24h", "mindshare_txns_6h",
     "mindshare_boost_total", "mindshare_pair_count", "mindshare_universe_txns_24h", "mindshare_universe_volume_24h_usd",
     "mindshare_universe_boost_total", "social_x_mentions_6h", "social_x_mentions_24h", "social_x_unique_authors_24h",
     "social_x_follower_weighted_reach", "social_x_tier1_organic_engagements", "social_x_reply_to_post_ratio", "social_tg_members",
@@ -230,7 +231,7 @@ _SUM = " + ".join(f"({c} IS NOT NULL)::BIGINT" for c in _COUNTED)
     f"SELECT snapshot_id, {_SUM} AS fields_present, 54::BIGINT AS fields_expected, ({_SUM}) / 54 AS data_completeness FROM feat_",
 )
 def p04(spark, d):
-    rows = schema.conform(I.features(spark, d, ranked=False, momentum=False), "snapshots")
+    rows = schema.conform(I.features(spark, d), "snapshots")
     out = scoring.completeness(rows.drop("fields_present", "fields_expected", "data_completeness"), schema.counted_columns())
     return out.select("snapshot_id", "fields_present", "fields_expected", "data_completeness")
 
@@ -240,7 +241,7 @@ def p04(spark, d):
     "SELECT snapshot_id, market_mcap_usd, market_fdv_usd, trends_google_trends_delta FROM feat_",
 )
 def p03(spark, d):
-    rows = schema.conform(I.features(spark, d, ranked=False, momentum=False), "snapshots")
+    rows = schema.conform(I.features(spark, d), "snapshots")
     nested = rows.select("snapshot_id", *[schema.nested(g) for g in schema.GROUPS])
     flat = nested.select("snapshot_id", *[c for g in schema.GROUPS for c in schema.flat(g)])
     return flat.select("snapshot_id", "market_mcap_usd", "market_fdv_usd", "trends_google_trends_delta")
@@ -251,7 +252,7 @@ def p03(spark, d):
     "SELECT snapshot_id, age_at_trigger_minutes / 60.0::DOUBLE AS age_hours, market_mcap_usd AS market_cap_usd, len(listings) AS n_listings FROM feat_",
 )
 def p05(spark, d):
-    rows = I.features(spark, d, ranked=False, momentum=False)
+    rows = I.features(spark, d)
     return rows.select(
         "snapshot_id",
         (F.col("age_at_trigger_minutes") / 60.0).alias("age_hours"),

@@ -1,4 +1,9 @@
-"""The given tables shaped as the engine's inputs. Each has a SQL twin in ``sql.py``."""
+"""The given tables shaped as the engine's inputs. Each has a SQL twin in ``sql.py``.
+
+Snapshots, labels, features and social readings are tables in the engine: one job appends them and
+later jobs read them. They are written here the same way, once per session and data folder, into
+the shared folder; ``*_job`` functions are the jobs that compute them from the given tables.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +15,7 @@ from tidewatch.functions.values import millis
 from tidewatch.operators import outcomes, trigger
 from tidewatch.operators.intervals import in_window
 from tidewatch.operators.ordered import running_count
-from tidewatch.session import configure
+from tidewatch.session import configure, scratch_table
 
 MIN = 60_000
 HOUR = 3_600_000
@@ -27,6 +32,19 @@ STAND_IN_CHAINS = (
 )
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, d: str, name: str, job) -> DataFrame:
+    """The table ``job`` computes, written on first use and read back afterwards."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STORED:
+        path = scratch_table(spark, name)
+        job().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     configure(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -65,6 +83,10 @@ def obs(spark, d) -> DataFrame:
 
 
 def snapshots(spark, d) -> DataFrame:
+    return stored(spark, d, "snapshots", lambda: snapshots_job(spark, d))
+
+
+def snapshots_job(spark, d) -> DataFrame:
     """First crossing per token, with the snapshot's own columns."""
     return trigger.first_crossings(obs(spark, d)).select(
         F.concat(F.lit("s"), F.col("user_id")).alias("snapshot_id"),
@@ -94,6 +116,10 @@ def price_path(spark, d) -> DataFrame:
 
 
 def labels(spark, d, as_of=AS_OF_LATE) -> DataFrame:
+    return stored(spark, d, f"labels-{as_of}", lambda: labels_job(spark, d, as_of))
+
+
+def labels_job(spark, d, as_of=AS_OF_LATE) -> DataFrame:
     return outcomes.labels(snapshots(spark, d), price_path(spark, d), as_of)
 
 
@@ -186,30 +212,21 @@ def trailing(spark, d) -> DataFrame:
     )
 
 
-def features(spark, d, ranked: bool = True, momentum: bool = True) -> DataFrame:
-    """Snapshot rows with every feature column the pillars read.
+def features(spark, d) -> DataFrame:
+    return stored(spark, d, "features", lambda: features_job(spark, d))
 
-    ``ranked`` and ``momentum`` leave out the universe ranks and the trailing windows where the
-    caller reads neither.
-    """
+
+def features_job(spark, d) -> DataFrame:
+    """Snapshot rows with every feature column the pillars read."""
     from tidewatch.operators import mindshare
 
     u = F.col("user_id")
     uni = universe(spark, d)
-    if ranked:
-        shares = mindshare.ranked(uni, "poll_id", "user_id", digits=9)
-    else:
-        nulls = {"rank": F.lit(None).cast("bigint"), "percentile": F.lit(None).cast("double")}
-        shares = mindshare.shares(uni, "poll_id").withColumns(nulls)
+    shares = mindshare.ranked(uni, "poll_id", "user_id", digits=9)
     day = F.floor(F.col("ts") / DAY).cast("bigint").alias("poll_id")
     snaps = snapshots(spark, d).withColumn("poll_id", day)
     joined = snaps.join(shares.drop("user_id"), ["poll_id", *TOKEN], "left")
-    if momentum:
-        joined = joined.join(trailing(spark, d), "snapshot_id", "left")
-    else:
-        names = ("buys_1h", "sells_1h", "buys_24h", "sells_24h", "volume_1h_usd", "volume_6h_usd")
-        blank = {f"momentum_{n}": F.lit(None).cast("double") for n in names}
-        joined = joined.withColumns({**blank, "mindshare_txns_6h": F.lit(None).cast("bigint")})
+    joined = joined.join(trailing(spark, d), "snapshot_id", "left")
     return joined.select(
         "snapshot_id",
         *TOKEN,
@@ -309,6 +326,10 @@ def candles(spark, d) -> DataFrame:
 
 
 def social(spark, d) -> DataFrame:
+    return stored(spark, d, "social", lambda: social_job(spark, d))
+
+
+def social_job(spark, d) -> DataFrame:
     """Readings per (snapshot, platform, offset): the events of the hour after each offset."""
     snaps = snapshots(spark, d).select("snapshot_id", *TOKEN, "ts", "user_id")
     slots = (

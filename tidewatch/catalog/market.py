@@ -474,7 +474,23 @@ def o08(spark, d):
 
 @register(
     "k08_cross_chips",
-    """SELECT coin, quadrant, web_label FROM carpet_ WHERE quadrant IN ('IMPROVING', 'WEAKENING') AND web_label <> 'fair'""",
+    """SELECT coin, quadrant, web_label, upper(web_label) || ' to Group' || CASE WHEN k % 3 = 0 THEN ' · the strings agree (tautest vs c' || k || ')' ELSE '' END
+    || CASE WHEN k % 4 = 0 THEN ' · HOT liquidity' ELSE '' END || ' · ' || quadrant AS text FROM (SELECT DISTINCT contract AS coin, user_id AS k,
+    ['LEADING', 'WEAKENING', 'LAGGING', 'IMPROVING'][user_id % 4 + 1] AS quadrant, ['rich', 'cheap', 'fair'][user_id % 3 + 1] AS web_label FROM ev_)
+    WHERE quadrant IN ('IMPROVING', 'WEAKENING') AND web_label <> 'fair'""",
 )
 def k08_chips(spark, d):
-    return rotation.chips(carpet(spark, d), "Group").select("coin", "quadrant", "web_label")
+    k = F.col("user_id")
+
+    def one_of(*names):
+        return F.element_at(F.array(*[F.lit(n) for n in names]), (k % len(names) + 1).cast("int"))
+
+    rows = I.events(spark, d).select("contract", "user_id").distinct().select(
+        F.col("contract").alias("coin"),
+        one_of("LEADING", "WEAKENING", "LAGGING", "IMPROVING").alias("quadrant"),
+        one_of("rich", "cheap", "fair").alias("web_label"),
+        F.when(k % 4 == 0, "HOT").otherwise("normal").alias("liquidity_label"),
+        F.when(k % 3 == 0, "agree").alias("agreement"),
+        F.concat(F.lit("c"), k).alias("partner"),
+    )
+    return rotation.chips(rows, "Group")

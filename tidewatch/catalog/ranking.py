@@ -240,7 +240,7 @@ def m02(spark, d):
 def f15(spark, d):
     from tidewatch.functions.values import age_band, mcap_band
 
-    rows = I.features(spark, d, ranked=False, momentum=False)
+    rows = I.features(spark, d)
     return rows.select(
         "snapshot_id", age_band("age_at_trigger_minutes").alias("age_band"), mcap_band("market_mcap_usd").alias("mcap_band")
     )

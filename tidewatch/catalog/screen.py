@@ -328,7 +328,7 @@ def _register_pillar(tag: str, name: str) -> None:
 
     @register(f"{tag}_{name}", f"SELECT snapshot_id, {cols} FROM pil_{name}_")
     def run(spark, d):
-        rows = I.features(spark, d, ranked=name == "mindshare", momentum=name == "momentum_flow")
+        rows = I.features(spark, d)
         p = f"pillar_{name}"
         return pillars.add(rows, (name,)).select(
             "snapshot_id",

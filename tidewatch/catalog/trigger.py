@@ -43,9 +43,9 @@ def w03(spark, d):
 
 @register("a16_forward_labels", "SELECT * FROM labels_late_")
 def a16(spark, d):
-    return I.labels(spark, d)
+    return I.labels_job(spark, d)
 
 
 @register("a16_forward_labels_open_horizons", "SELECT * FROM labels_early_")
 def a16_early(spark, d):
-    return I.labels(spark, d, I.AS_OF_EARLY)
+    return I.labels_job(spark, d, I.AS_OF_EARLY)
