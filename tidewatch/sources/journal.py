@@ -155,7 +155,10 @@ def reconcile(source: DataFrame, mirror: DataFrame, by: str) -> DataFrame:
     """Counts per table on both sides and whether the mirror must be rebuilt."""
     s = source.groupBy(by).agg(F.count("*").alias("source_rows"))
     m = mirror.groupBy(by).agg(F.count("*").alias("mirror_rows"))
-    both = s.join(m, by, "full").na.fill(0, ["source_rows", "mirror_rows"])
+    none = F.lit(0).cast("bigint")
+    both = s.join(m, by, "full").withColumns(
+        {c: F.coalesce(c, none) for c in ("source_rows", "mirror_rows")}
+    )
     return both.withColumn("rebuild", F.col("source_rows") != F.col("mirror_rows"))
 
 
