@@ -84,7 +84,7 @@ define(
     """SELECT pos, cname AS chain, contract, CASE WHEN pos % 11 <> 0 THEN event_type END AS dex_id,
   'T' || (pos % 5) AS ticker, CASE WHEN pos % 13 <> 0 THEN value END AS price_usd,
   CASE WHEN pos % 17 <> 0 AND value > 0 THEN value * 2500 END AS mcap_usd,
-  CASE WHEN pos % 3 <> 0 THEN value * 3000 END AS fdv_usd,
+  CASE WHEN pos % 3 <> 0 AND value > 0 THEN value * 3000 END AS fdv_usd,
   CASE WHEN pos % 7 <> 0 THEN value * 100 END AS liquidity_usd, value * 10 AS volume_24h_usd,
   CASE WHEN pos % 5 <> 0 THEN value END AS volume_1h_usd,
   CASE WHEN pos % 10 <> 0 THEN pos % 9 + CASE WHEN pos % 4 <> 0 THEN pos % 6 ELSE 0 END END AS txns_24h,
@@ -504,7 +504,7 @@ def f21(spark, d):
             for x in ("buy_tax", "lp_holders", "lp_holders[].address", "lp_holders[].percent", "holders[].tag")
         ]
     )
-    return r.select("pos", F.array_join(F.array_sort(F.array_intersect("source_fields", wanted)), ",").alias("seen"))
+    return r.select("pos", F.array_join(F.sort_array(F.array_intersect("source_fields", wanted)), ",").alias("seen"))
 
 
 @register(

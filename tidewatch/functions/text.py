@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,10 +19,8 @@ COUNT_ONLINE = r"(?i)([\d\s,  ]+)\s+online"
 
 
 def has_any(text: Column, marks: tuple[str, ...]) -> Column:
-    hit = F.lit(False)
-    for m in marks:
-        hit = hit | text.contains(m)
-    return hit
+    """Whether the text holds any of the marks, in one scan."""
+    return text.rlike("|".join(re.escape(m) for m in marks))
 
 
 def link_items(entries: Column) -> Column:
@@ -29,23 +29,27 @@ def link_items(entries: Column) -> Column:
     Telegram is tested first, then X, then any web address.
     """
 
-    def item(e: Column) -> Column:
+    def read(e: Column) -> Column:
         is_object = F.trim(e).startswith("{")
+        parsed = F.from_json(F.when(is_object, e), "struct<url:string,type:string,label:string>")
+        return F.struct(parsed.alias("o"), F.when(~is_object, e).alias("plain"))
 
-        def get(path: str) -> Column:
-            return F.nullif(F.get_json_object(e, path), F.lit(""))
+    def named(r: Column) -> Column:
+        o = r["o"]
+        tag = F.coalesce(F.nullif(o["type"], F.lit("")), F.nullif(o["label"], F.lit("")), F.lit(""))
+        url = F.coalesce(r["plain"], o["url"], F.lit(""))
+        return F.struct(url.alias("url"), F.lower(F.concat_ws(" ", tag, url)).alias("blob"))
 
-        url = F.when(is_object, F.coalesce(get("$.url"), F.lit(""))).otherwise(e)
-        tag = F.when(is_object, F.coalesce(get("$.type"), get("$.label"), F.lit(""))).otherwise("")
-        blob = F.lower(F.concat_ws(" ", tag, url))
+    def judged(n: Column) -> Column:
         kind = (
-            F.when(has_any(blob, TELEGRAM_MARKS), "telegram")
-            .when(has_any(blob, X_MARKS), "x")
-            .when(url.startswith("http"), "website")
+            F.when(has_any(n["blob"], TELEGRAM_MARKS), "telegram")
+            .when(has_any(n["blob"], X_MARKS), "x")
+            .when(n["url"].startswith("http"), "website")
         )
-        return F.struct(url.alias("url"), kind.alias("kind"))
+        return F.struct(n["url"].alias("url"), kind.alias("kind"))
 
-    return F.transform(entries, item)
+    # One pass per step, so the JSON of an entry is parsed once.
+    return F.transform(F.transform(F.transform(entries, read), named), judged)
 
 
 def declares(items: Column, kind: str) -> Column:
@@ -120,4 +124,4 @@ def seen_fields(facts: Column, source: str) -> Column:
             F.coalesce(F.transform(listed, lambda k: F.concat(name, F.lit("[]."), k)), none),
         )
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.map_entries(facts), inner))))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(F.map_entries(facts), inner))))

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: what counts as a number in text.
+# What counts as a number in text, and the shape of one that cannot overflow.
 NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+PLAIN_NUMBER = r"^\s*[+-]?(\d{1,200}\.?\d*|\.\d+)([eE][+-]?\d{1,2})?\s*$"
 
 
 def as_col(c: Column | str) -> Column:
@@ -19,6 +20,14 @@ def null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with value evaluated once, for values built from array lambdas.
+
+    Spark does not share subexpressions across lambdas, so naming one twice would run it twice.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean(c: Column | str) -> Column:
     """NaN and the infinities become null."""
     c = as_col(c).cast("double")
@@ -36,9 +45,10 @@ def positive(c: Column | str) -> Column:
 
 
 def number(c: Column | str) -> Column:
-    """Lenient parse of a text number; junk is null."""
+    """Lenient parse of a text number; junk is null, and so is a value that overflows."""
     c = as_col(c)
-    return F.when(c.rlike(NUMERIC_TEXT), clean(F.trim(c).try_cast("double")))
+    value = F.trim(c).try_cast("double")
+    return F.when(c.rlike(PLAIN_NUMBER), value).when(c.rlike(NUMERIC_TEXT), clean(value))
 
 
 def whole(c: Column | str) -> Column:

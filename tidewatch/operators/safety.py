@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import has_any
-from tidewatch.functions.values import flag, percent
+from tidewatch.functions.values import flag, let, percent
 
 # Addresses and tags of burned tokens and of holders that are not holders.
 BURN_ADDRESSES = (
@@ -60,32 +60,42 @@ def lp_state(holders: Column) -> Column:
     Half or more at burn addresses is burned; nothing secured is evidence of no lock; anything
     else has a secured share whose expiry is unknown.
     """
-    seen = F.filter(holders, lambda e: e.isNotNull())
     parts = F.transform(
-        seen,
+        F.filter(holders, lambda e: e.isNotNull()),
         lambda e: F.struct(
             F.coalesce(percent(e["percent"]), F.lit(0.0)).alias("pct"),
             burned(_where(e), e["tag"]).alias("burn"),
             F.coalesce(flag(e["is_locked"]), F.lit(False)).alias("lock"),
         ),
     )
-    burn = _total(F.transform(F.filter(parts, lambda p: p["burn"]), lambda p: p["pct"]))
-    lock = _total(F.transform(F.filter(parts, lambda p: ~p["burn"] & p["lock"]), lambda p: p["pct"]))
-    some = F.size(seen) > 0
-    return F.struct(
-        F.when(some & (burn >= 50.0), True).when(some & (burn + lock <= 0), False).alias("burned"),
-        F.when(some & (burn >= 50.0), burn + lock)
-        .when(some & (burn + lock <= 0), 0.0)
-        .when(some, burn + lock)
-        .alias("locked_pct"),
-    )
+
+    def add(acc: Column, p: Column) -> Column:
+        pct, burn = p["pct"], p["burn"]
+        return F.struct(
+            (acc["burn"] + F.when(burn, pct).otherwise(0.0)).alias("burn"),
+            (acc["lock"] + F.when(~burn & p["lock"], pct).otherwise(0.0)).alias("lock"),
+            (acc["n"] + 1).alias("n"),
+        )
+
+    start = F.struct(F.lit(0.0).alias("burn"), F.lit(0.0).alias("lock"), F.lit(0).alias("n"))
+
+    def answer(t: Column) -> Column:
+        some, secured = t["n"] > 0, t["burn"] + t["lock"]
+        return F.struct(
+            F.when(some & (t["burn"] >= 50.0), True).when(some & (secured <= 0), False).alias("burned"),
+            F.when(some & (t["burn"] < 50.0) & (secured <= 0), 0.0).when(some, secured).alias("locked_pct"),
+        )
+
+    return let(F.aggregate(parts, start, add), answer)
 
 
 def top_holders(percents: Column) -> Column:
     """Sum of the ten largest known shares; null when none is known."""
-    known = F.array_compact(percents)
-    top = F.slice(F.sort_array(known, asc=False), 1, TOP_HOLDERS)
-    return F.when(F.size(known) > 0, _total(top))
+
+    def sum_top(known: Column) -> Column:
+        return F.when(F.size(known) > 0, _total(F.slice(F.sort_array(known, asc=False), 1, TOP_HOLDERS)))
+
+    return let(F.array_compact(percents), sum_top)
 
 
 def top10_ex_lp(holders: Column) -> Column:
@@ -104,25 +114,23 @@ def pool_lock(markets: Column, total_usd: Column) -> Column:
     """
     flags = F.array_compact(F.transform(markets, lambda m: m["burned"]))
     measured = F.filter(markets, lambda m: m["locked_pct"].isNotNull())
-    some = F.size(measured) > 0
-    share = F.try_divide(
-        100.0 * _total(F.transform(measured, lambda m: m["locked_usd"])),
-        F.when(total_usd > 0, total_usd),
-    )
-    return F.struct(
-        F.when((F.size(flags) > 0) & F.forall(flags, lambda b: b), True).alias("burned"),
-        F.when(
-            some & F.forall(measured, lambda m: m["locked_pct"] >= SECURED_PCT),
-            F.array_min(F.transform(measured, lambda m: m["locked_pct"])),
-        )
-        .when(some & F.forall(measured, lambda m: m["locked_pct"] <= 0), 0.0)
-        .when(
-            some
-            & F.forall(measured, lambda m: m["locked_usd"].isNotNull())
-            & share.between(0.0, 100.5),
-            F.least(share, F.lit(100.0)),
+
+    def secured(m: Column) -> Column:
+        dollars = _total(F.transform(m, lambda x: x["locked_usd"]))
+        share = F.try_divide(100.0 * dollars, F.when(total_usd > 0, total_usd))
+        some = F.size(m) > 0
+        return (
+            F.when(
+                some & F.forall(m, lambda x: x["locked_pct"] >= SECURED_PCT),
+                F.array_min(F.transform(m, lambda x: x["locked_pct"])),
+            )
+            .when(some & F.forall(m, lambda x: x["locked_pct"] <= 0), 0.0)
+            .when(some & share.between(0.0, 100.5), F.least(share, F.lit(100.0)))
         )
-        .alias("locked_pct"),
+
+    return F.struct(
+        let(flags, lambda f: F.when((F.size(f) > 0) & F.forall(f, lambda b: b), True)).alias("burned"),
+        let(measured, secured).alias("locked_pct"),
     )
 
 
@@ -144,13 +152,13 @@ def merge(sources: DataFrame, keys: list[str], order: str = "source_order") -> D
         *[F.min(c).alias(c) for c in WORSE_IF_SMALL if c in have],
         *[first(c) for c in ("deployer_address", "lp_markets", "lp_total_usd", "error") if c in have],
         *[
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+            F.sort_array(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
             for c in ("risk_labels", "source_fields")
             if c in have
         ],
     ]
     return sources.groupBy(*keys).agg(
-        F.array_join(F.array_sort(F.collect_set("source")), "+").alias("source"),
+        F.array_join(F.sort_array(F.collect_set("source")), "+").alias("source"),
         F.max("collected_at_ms").alias("collected_at_ms"),
         *rules,
     )
@@ -179,7 +187,7 @@ def attach_history(reports: DataFrame, history: DataFrame) -> DataFrame:
         "chain", "deployer_key", F.col("prior_rugs").alias("_rugs"), F.col("labels").alias("_labels")
     )
     none = F.array().cast("array<string>")
-    labels = F.array_sort(
+    labels = F.sort_array(
         F.array_union(F.coalesce("risk_labels", none), F.coalesce("_labels", none))
     )
     return (

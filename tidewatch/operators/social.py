@@ -121,7 +121,7 @@ def complete_series(observations: DataFrame) -> DataFrame:
 
 def collected_offsets(observations: DataFrame) -> DataFrame:
     return observations.groupBy("snapshot_id", "platform").agg(
-        F.array_sort(F.collect_set("offset_minutes")).alias("offsets")
+        F.sort_array(F.collect_set("offset_minutes")).alias("offsets")
     )
 
 

@@ -263,7 +263,7 @@ def report(wide: DataFrame, evaluated: DataFrame, gate_row: DataFrame) -> DataFr
     """
     base = stats.base_rate(wide, []).withColumn("_one", F.lit(1))
     leads = evaluated.where("is_lead").agg(
-        F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("leads"), F.count("*").alias("n_leads")
+        F.array_join(F.sort_array(F.collect_list("feature")), ",").alias("leads"), F.count("*").alias("n_leads")
     )
     per, met = stats.gate(F.col("survivors"), F.col("dead"), F.col("complete_social"))
     one = F.lit(1).alias("_one")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import chains, text
-from tidewatch.functions.values import number, positive, whole
+from tidewatch.functions.values import number, whole
 from tidewatch.operators import keys
 
 _SIDES = "struct<buys:string,sells:string>"
@@ -37,23 +37,17 @@ def pools(payloads: DataFrame, payload: str = "payload", order: str = "pos", reg
     rows = payloads.select(order, F.posexplode(F.coalesce(wrapped, bare)).alias("idx", "p"))
     p = F.col("p")
 
-    def trades(window: str) -> Column:
-        b, s = whole(p["txns"][window]["buys"]), whole(p["txns"][window]["sells"])
-        known = b.isNotNull() | s.isNotNull()
-        return F.when(known, F.coalesce(b, F.lit(0)) + F.coalesce(s, F.lit(0)))
-
     socials = text.link_items(p["info"]["socials"])
     websites = text.link_items(p["info"]["websites"])
     none = F.array().cast("array<struct<url:string,kind:string>>")
     links = F.when(
-        socials.isNotNull() | websites.isNotNull(),
+        p["info"]["socials"].isNotNull() | p["info"]["websites"].isNotNull(),
         F.concat(F.coalesce(socials, none), F.coalesce(websites, none)),
     )
     return (
         rows.withColumn("chain", chains.canonical(p["chainId"], registry))
         .withColumn("contract", p["baseToken"]["address"])
         .where("chain is not null and contract <> ''")
-        .withColumn("_links", links)
         .select(
             "chain",
             "contract",
@@ -62,32 +56,44 @@ def pools(payloads: DataFrame, payload: str = "payload", order: str = "pos", reg
             p["baseToken"]["name"].alias("name"),
             F.nullif(p["dexId"], F.lit("")).alias("dex_id"),
             number(p["priceUsd"]).alias("price_usd"),
-            positive(number(p["marketCap"])).alias("mcap_usd"),
-            positive(number(p["fdv"])).alias("fdv_usd"),
+            number(p["marketCap"]).alias("mcap_usd"),
+            number(p["fdv"]).alias("fdv_usd"),
             number(p["liquidity"]["usd"]).alias("liquidity_usd"),
             number(p["volume"]["h24"]).alias("volume_24h_usd"),
             number(p["volume"]["h6"]).alias("volume_6h_usd"),
             number(p["volume"]["h1"]).alias("volume_1h_usd"),
             number(p["boosts"]["active"]).alias("boosts_active"),
-            trades("h24").alias("txns_24h"),
-            trades("h6").alias("txns_6h"),
-            trades("h1").alias("txns_1h"),
-            whole(p["txns"]["h24"]["buys"]).alias("buys_24h"),
-            whole(p["txns"]["h24"]["sells"]).alias("sells_24h"),
-            whole(p["txns"]["h1"]["buys"]).alias("buys_1h"),
-            whole(p["txns"]["h1"]["sells"]).alias("sells_1h"),
+            *[
+                whole(p["txns"][w][side]).alias(f"{side}_{n}")
+                for w, n in (("h24", "24h"), ("h6", "6h"), ("h1", "1h"))
+                for side in ("buys", "sells")
+            ],
             *[
                 number(p["priceChange"][w]).alias(f"price_change_{n}_pct")
                 for w, n in (("m5", "5m"), ("h1", "1h"), ("h6", "6h"), ("h24", "24h"))
             ],
-            F.when(whole(p["pairCreatedAt"]) > 0, whole(p["pairCreatedAt"])).alias("created_at_ms"),
-            *[text.declares(F.col("_links"), k).alias(f"declared_{k}") for k in FLAGS],
-            text.first_url(F.col("_links"), "telegram").alias("telegram_url"),
-            text.first_url(F.col("_links"), "x").alias("x_url"),
+            whole(p["pairCreatedAt"]).alias("created_at_ms"),
+            links.alias("_links"),
+        )
+        # Everything below reads parsed columns, so each text is parsed once.
+        .withColumns(
+            {
+                **{c: F.when(F.col(c) > 0, F.col(c)) for c in ("mcap_usd", "fdv_usd", "created_at_ms")},
+                **{f"txns_{n}": _trades(n) for n in ("24h", "6h", "1h")},
+                **{f"declared_{k}": text.declares(F.col("_links"), k) for k in FLAGS},
+                "telegram_url": text.first_url(F.col("_links"), "telegram"),
+                "x_url": text.first_url(F.col("_links"), "x"),
+            }
         )
+        .drop("_links", "buys_6h", "sells_6h")
     )
 
 
+def _trades(window: str) -> Column:
+    b, s = F.col(f"buys_{window}"), F.col(f"sells_{window}")
+    return F.when(b.isNotNull() | s.isNotNull(), F.coalesce(b, F.lit(0)) + F.coalesce(s, F.lit(0)))
+
+
 def tokens(pool_rows: DataFrame) -> DataFrame:
     """Pools added up per token.
 
@@ -111,7 +117,7 @@ def tokens(pool_rows: DataFrame) -> DataFrame:
             *[F.sum(c).alias(c) for c in COUNTS],
             F.count("*").alias("pair_count"),
             F.min("created_at_ms").alias("first_seen_at_ms"),
-            F.array_sort(F.collect_set("dex_id")).alias("dex_ids"),
+            F.sort_array(F.collect_set("dex_id")).alias("dex_ids"),
             *[F.bool_or(f"declared_{k}").alias(f"declared_{k}") for k in FLAGS],
             first_known("telegram_url"),
             first_known("x_url"),
@@ -230,7 +236,7 @@ def chain_census(payloads: DataFrame, origin: str, payload: str = "payload", reg
         ids.select("origin", F.col("e.chainId").alias("raw_id"))
         .where("raw_id <> ''")
         .groupBy("raw_id")
-        .agg(F.count("*").alias("tokens_seen"), F.array_sort(F.collect_set("origin")).alias("seen_via"))
+        .agg(F.count("*").alias("tokens_seen"), F.sort_array(F.collect_set("origin")).alias("seen_via"))
     )
     name = chains.canonical("raw_id", registry)
     names = [c.name for c in registry if c.known]
