@@ -3,11 +3,12 @@
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import keys
 from tidewatch.operators.intervals import in_window
-from tidewatch.operators.ordered import prefix_sums, row_numbers, running_count
+from tidewatch.operators.ordered import prefix_sums, running_count
 
 
 def skewed(n=600, seed=3):
@@ -57,19 +58,23 @@ def test_changed_only_is_null_safe(spark):
     assert sorted(r["k"] for r in keys.changed_only(new, old, ["k"], ["v"]).collect()) == ["c", "d"]
 
 
-def test_row_numbers_over_a_hot_key(spark):
+@pytest.mark.parametrize("partitions", [None, 7])
+def test_row_numbers_over_a_hot_key(spark, partitions):
     rows = skewed()
     df = spark.createDataFrame(rows, "i int, k string, s int, x double")
-    got = {r["i"]: r["rank"] for r in row_numbers(df, ["k"], [F.col("s").desc(), F.col("i")]).collect()}
+    ranked = prefix_sums(df, ["k"], [F.col("s").desc(), F.col("i")], {"rank": F.lit(1)}, partitions)
+    got = {r["i"]: r["rank"] for r in ranked.collect()}
     pdf = pd.DataFrame(rows, columns=["i", "k", "s", "x"]).sort_values(["s", "i"], ascending=[False, True])
     want = dict(zip(pdf["i"], pdf.groupby("k").cumcount() + 1))
     assert got == want
 
 
-def test_prefix_sums_without_keys(spark):
+@pytest.mark.parametrize("partitions", [None, 1, 7])
+def test_prefix_sums_without_keys(spark, partitions):
     rows = skewed(300)
     df = spark.createDataFrame(rows, "i int, k string, s int, x double")
-    got = {r["i"]: r["c"] for r in prefix_sums(df, [], [F.col("i")], {"c": F.col("s")}).collect()}
+    sums = prefix_sums(df, [], [F.col("i")], {"c": F.col("s")}, partitions)
+    got = {r["i"]: r["c"] for r in sums.collect()}
     total = 0
     for i, _, s, _ in rows:
         total += s

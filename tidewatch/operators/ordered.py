@@ -23,14 +23,12 @@ def prefix_sums(
 ) -> DataFrame:
     """Add inclusive running sums per key. ``order`` must be total within a key."""
     inputs = {f"_in_{n}": (F.col(c) if isinstance(c, str) else c) for n, c in sums.items()}
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_key = [F.col(k) for k in keys]
-    spread = (
-        df.withColumns(inputs)
-        .repartitionByRange(n, *by_key, *order)
-        .withColumn("_pid", F.spark_partition_id())
-    )
-    spread = durable(spread)
+    by = [*[F.col(k) for k in keys], *order]
+    rows = df.withColumns(inputs)
+    # Without a fixed number, adaptive execution may merge neighbouring small ranges; the order of
+    # the partitions stays the order of the ranges either way.
+    spread = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
+    spread = durable(spread.withColumn("_pid", F.spark_partition_id()))
     # One row per (key, partition): as many as partitions plus keys, never as many as rows.
     totals = spread.groupBy(*keys, "_pid").agg(
         *[F.sum(f"_in_{n}").alias(f"_sum_{n}") for n in sums]
