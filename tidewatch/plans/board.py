@@ -11,8 +11,13 @@ from tidewatch.operators.outcomes import WINDOW_MINUTES
 from tidewatch.plans import scoring
 
 
-def snapshot_rows(crossings: DataFrame, source: str, regime: str | None = None) -> DataFrame:
-    """Snapshot rows of firing observations; an observation that did not fire is refused."""
+def snapshot_rows(
+    crossings: DataFrame, source: str, regime: str | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Snapshot rows of firing observations; an observation that did not fire is refused.
+
+    ``keep`` names further columns of the observation to carry along.
+    """
     fired = trigger.decide(crossings).where("fired")
     ts = F.timestamp_millis("observed_at_ms")
     return fired.select(
@@ -28,6 +33,7 @@ def snapshot_rows(crossings: DataFrame, source: str, regime: str | None = None)
         F.lit(regime).cast("string").alias("regime"),
         F.col("mcap_usd").alias("market_mcap_usd"),
         F.col("holder_count").alias("holders_count"),
+        *keep,
     )
 
 

@@ -15,6 +15,7 @@ from tidewatch.session import durable
 from tidewatch.streaming.tables import Tables
 
 TOKEN = ["chain", "contract"]
+CARRIED = ("pos", "share_pct", "mindshare_rank", "universe_size")
 
 
 def fire(tables: Tables, batch: DataFrame, source: str) -> dict[str, int]:
@@ -22,17 +23,13 @@ def fire(tables: Tables, batch: DataFrame, source: str) -> dict[str, int]:
 
     Mindshare is measured across each whole poll before the trigger looks at any token.
     """
-    polled = mindshare.ranked(batch, "poll_id", "pos", digits=9)
-    crossings = durable(trigger.first_crossings(polled))
-    at = crossings.select(
-        *TOKEN, "pos", "share_pct", F.col("rank").alias("mindshare_rank"), "universe_size"
-    )
-    snapshots = board.snapshot_rows(crossings, source).join(at, TOKEN)
+    polled = mindshare.ranked(batch, "poll_id", "pos", digits=9).withColumnRenamed("rank", "mindshare_rank")
+    snapshots = durable(board.snapshot_rows(trigger.first_crossings(polled), source, keep=CARRIED))
     written = tables.append_new("snapshots", snapshots, TOKEN)
     # Events come from every crossing of the batch, not only the new snapshots: a run that died
     # between the two writes is completed by the next one.
     tables.append_new("trigger_events", board.trigger_events(snapshots), TOKEN)
-    return {"observed": batch.count(), "fired": written, "already_triggered": crossings.count() - written}
+    return {"observed": batch.count(), "fired": written, "already_triggered": snapshots.count() - written}
 
 
 def track(tables: Tables, batch: DataFrame) -> int:
@@ -47,12 +44,9 @@ def track(tables: Tables, batch: DataFrame) -> int:
 
 
 def _snapshot_like(batch: DataFrame) -> DataFrame:
-    rows = board.snapshot_rows(batch, "")
-    extra = "pos bigint, share_pct double, mindshare_rank bigint, universe_size bigint"
-    for item in extra.split(", "):
-        name, kind = item.split(" ")
-        rows = rows.withColumn(name, F.lit(None).cast(kind))
-    return rows
+    kinds = {"share_pct": "double", "mindshare_rank": "bigint", "universe_size": "bigint"}
+    blank = batch.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items()})
+    return board.snapshot_rows(blank, "", keep=CARRIED)
 
 
 def refresh_labels(tables: Tables, batch: DataFrame, as_of_ms: int) -> int:
