@@ -494,3 +494,35 @@ def k08_chips(spark, d):
         F.concat(F.lit("c"), k).alias("partner"),
     )
     return rotation.chips(rows, "Group")
+
+
+@register("w08_relative_level", f"SELECT coin, i, round(rs, {DIG}) AS rs FROM rs_")
+def w08(spark, d):
+    rows = rotation.levels(grid(spark, d), W)
+    return rows.select("coin", F.col("i").cast("bigint").alias("i"), F.round("rs", DIG).alias("rs"))
+
+
+@register("w09_rolling_z", f"SELECT coin, i, round(ratio, {DIG}) AS ratio FROM ratio_ WHERE ratio IS NOT NULL")
+def w09(spark, d):
+    rows = rotation.levels(grid(spark, d), W).where("ratio is not null")
+    return rows.select("coin", F.col("i").cast("bigint").alias("i"), F.round("ratio", DIG).alias("ratio"))
+
+
+@register("a20_residual_drift", f"SELECT coin, round(beta, {DIG}) AS beta, round(z, {DIG}) AS z FROM web_")
+def a20(spark, d):
+    return rotation.web(grid(spark, d), W).select("coin", F.round("beta", DIG).alias("beta"), F.round("z", DIG).alias("z"))
+
+
+@register("a21_weighted_spread", f"SELECT coin, round(score, {DIG}) AS score, strung FROM str_")
+def a21(spark, d):
+    return rotation.strings(pair_grid(spark, d), W).select("coin", F.round("score", DIG).alias("score"), "strung")
+
+
+@register("j14_strung_partners", "SELECT coin, count(*) AS strung FROM pull_ GROUP BY 1")
+def j14(spark, d):
+    return rotation.strings(pair_grid(spark, d), W, blocks=2).select("coin", "strung")
+
+
+@register("a22_liquidity_ratio", f"SELECT coin, round(rel, {DIG}) AS rel FROM liq_")
+def a22(spark, d):
+    return rotation.liquidity(grid(spark, d), W).select("coin", F.round("rel", DIG).alias("rel"))

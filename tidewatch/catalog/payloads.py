@@ -1066,3 +1066,14 @@ def f20(spark, d):
     return I.events(spark, d).select(
         "pos", F.array_join(cell, ",").alias("cell"), F.get(cell, F.lit(1)).try_cast("bigint").alias("k")
     )
+
+
+@register(
+    "j19_posts_with_authors",
+    """SELECT c.conv_id, c.turn, a.posts AS author_posts FROM conversations c LEFT JOIN (SELECT role, count(*) AS posts FROM conversations
+    WHERE role <> 'system' GROUP BY 1) a USING (role)""",
+)
+def j19(spark, d):
+    rows = I.read(spark, d, "conversations")
+    authors = rows.where("role <> 'system'").groupBy("role").agg(F.count("*").alias("author_posts"))
+    return rows.select("conv_id", "turn", "role").join(authors, "role", "left").drop("role")

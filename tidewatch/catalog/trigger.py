@@ -49,3 +49,13 @@ def a16(spark, d):
 @register("a16_forward_labels_open_horizons", "SELECT * FROM labels_early_")
 def a16_early(spark, d):
     return I.labels_job(spark, d, I.AS_OF_EARLY)
+
+
+@register(
+    "w05_peak_and_trough",
+    """SELECT snapshot_id, max_multiple_24h, max_drawdown_before_peak_24h, time_to_peak_minutes, survived_24h FROM labels_late_""",
+)
+def w05(spark, d):
+    return I.labels(spark, d).select(
+        "snapshot_id", "max_multiple_24h", "max_drawdown_before_peak_24h", "time_to_peak_minutes", "survived_24h"
+    )

@@ -118,8 +118,11 @@ def quadrant(ratio: Column, momentum: Column) -> Column:
     return F.when(ratio.isNotNull() & momentum.isNotNull(), F.when(ratio >= 100, ahead).otherwise(behind))
 
 
-def rotation(g: DataFrame, window: int) -> DataFrame:
-    """(coin, ratio, momentum, quadrant, tail); coins with thin coverage have no row."""
+def levels(g: DataFrame, window: int) -> DataFrame:
+    """Per bar: relative level rs, its rolling z as ratio, the lagged change and momentum.
+
+    Coins with thin coverage are left out. A bar without a print adds nothing to the level.
+    """
     lag, need = momentum_lag(window), bars_needed(window)
     rows = g.where((F.col("i") < need) & (F.col("n_bars") >= need)).withColumn("rel", F.col("ret") - F.col("bench"))
     ok = rows.groupBy("coin").agg(coverage("rel").alias("_c")).where(F.col("_c") >= MIN_COVERAGE)
@@ -129,7 +132,12 @@ def rotation(g: DataFrame, window: int) -> DataFrame:
     rows = rows.withColumn("rs", level)
     rows = rows.withColumn("ratio", 100.0 + _rolling_z("rs", window))
     rows = rows.withColumn("change", F.col("ratio") - F.lag("ratio", lag).over(forward))
-    rows = rows.withColumn("momentum", 100.0 + _rolling_z("change", window))
+    return rows.withColumn("momentum", 100.0 + _rolling_z("change", window))
+
+
+def rotation(g: DataFrame, window: int) -> DataFrame:
+    """(coin, ratio, momentum, quadrant, tail); coins with thin coverage have no row."""
+    rows = levels(g, window)
     point = F.struct((-F.col("i")).alias("k"), F.round("ratio", 3).alias("r"), F.round("momentum", 3).alias("m"))
     return (
         rows.groupBy("coin")
