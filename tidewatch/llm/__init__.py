@@ -1,0 +1,8 @@
+"""Operators for training-data pipelines; nothing else in the library imports this package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel whole, so executors need no copy of the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
