@@ -13,10 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import arrow_schema
+from tidewatch.llm.common import arrow_schema, in_arrow
 
 #: Words remembered by a task; beyond it they are forgotten and replayed when met again.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _SHIFT = 20
 
 
@@ -147,7 +147,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
             columns = [*(b.column(c) for c in carried), pa.ListArray.from_arrays(edges, values)]
             yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, kind)], schema=kind)
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(in_arrow, run, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -176,4 +176,4 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
             columns = [*(b.column(c) for c in carried), whole.cast(kind.field(out).type)]
             yield pa.RecordBatch.from_arrays(columns, schema=kind)
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(in_arrow, run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,9 @@ from tidewatch.session import scratch_table
 #: Fixed value: what separates words.
 SPACES = r"[\x20\x09-\x0D]+"
 
+#: Rows and bytes of an Arrow batch at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
 
 def words_of(text: Column) -> Column:
     """The words of a text in order; none for null."""
@@ -39,6 +44,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` in batches small enough for several Python workers beside an executor's heap."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def arrow_schema(schema: str | StructType) -> pa.Schema:
     """The Arrow form of a schema."""
     of = StructType.fromDDL(schema) if isinstance(schema, str) else schema

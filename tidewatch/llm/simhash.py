@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import arrow_schema, stored, with_row_id
+from tidewatch.llm.common import arrow_schema, in_arrow, stored, with_row_id
 from tidewatch.llm.components import components
 
 #: Words of a shingle, the distance and the blocks of the narrow form.
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, wi
             yield pa.RecordBatch.from_arrays([b.column("_rid"), b.column("doc_id"), *words], schema=kind)
 
     rows = with_row_id(docs.select(F.col("doc_id").cast("long"), F.col(text).alias("_text")))
-    return rows.select("_rid", "doc_id", "_text").mapInArrow(run, schema)
+    return rows.select("_rid", "doc_id", "_text").transform(in_arrow, run, schema)
 
 
 def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
@@ -116,7 +116,7 @@ def sampled_keys(nodes: DataFrame, width: int, samples: int, bits: int, seed: in
                 columns = [pa.array(np.full(len(words), t)), key, b.column("node"), *(b.column(c) for c in names)]
                 yield pa.RecordBatch.from_arrays(columns, schema=kind)
 
-    return nodes.select("node", *names).mapInArrow(run, schema)
+    return nodes.select("node", *names).transform(in_arrow, run, schema)
 
 
 def _near(left: tuple, right: tuple | None, distance: int) -> list[tuple[int, int]]:
@@ -229,7 +229,7 @@ def _packed_links(rows: DataFrame, names: list[str], distance: int, few: int = 1
     def of(found: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=kind)
 
-    return rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(walk, "a long, b long")
+    return rows.repartition("t", "key").sortWithinPartitions("t", "key").transform(in_arrow, walk, "a long, b long")
 
 
 def _labelled(rows: DataFrame, keys_of, width: int, distance: int) -> DataFrame:
