@@ -44,6 +44,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def chunk_of(rows: DataFrame, key: str = "_rid", chunk_bytes: int = 16 << 20) -> Column:
+    """A number for the rows that one task reads of the same bounded piece of a stored table.
+
+    The same scan gives a row the same chunk each time it is read.
+    """
+    named = rows.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
+    digits = named.rstrip("kmgt")
+    read = int(digits) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[named[len(digits) :]]
+    pieces = max(1, -(-read // chunk_bytes))
+    return (F.spark_partition_id() * pieces + F.pmod(F.xxhash64(key), F.lit(pieces))).cast("long")
+
+
 def in_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` in batches small enough for several Python workers beside an executor's heap."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, brown, languages, licenses, mixing, naming, pages, quality, simhash
+from tidewatch.llm import bpe, brown, languages, licenses, mixing, naming, pages, quality, simhash, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,3 +166,35 @@ def op7_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
     return brown.scores(docs, held_out).drop("_rid")
+
+
+OP8_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS body
+  FROM words, unnest(generate_series(1, len(w) - 12)) AS t(i)
+),
+repeated AS (
+  SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY body) AS first FROM windows) WHERE first < doc_id
+),
+covered AS (
+  SELECT DISTINCT doc_id, p FROM repeated, unnest(generate_series(i, i + 12)) AS t(p)
+),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS body FROM (
+    SELECT doc_id, p, w[p] AS word FROM words, unnest(generate_series(1, len(w))) AS t(p)
+  ) ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id
+),
+removed AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(removed.n, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept.body, '')) AS kept_sha256
+FROM words LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@register("op8_substring_dedup", OP8_SQL)
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = spans.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
