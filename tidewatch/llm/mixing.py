@@ -158,6 +158,7 @@ def mixed_documents(docs: DataFrame, source: str = "source", text: str = "text",
     sources = stored(targets(sizes), "targets")
     whole = takes(sizes, sources, **how).join(sizes.select("_rid", "size"), "_rid").where("2 * _taken >= size")
     copies = whole.groupBy("_rid").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
-    rows = with_row_id(docs, "_row_number").join(copies, F.col("_row_number") == F.col("_rid"))
-    again = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")
-    return rows.select(*docs.columns, again).drop("_copy")
+    copies = copies.select(F.col("_rid").alias("__row_of_copies"), F.col("_copies").alias("__copies"))
+    rows = with_row_id(docs, "__row").join(copies, F.col("__row") == F.col("__row_of_copies"))
+    again = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")
+    return rows.select(*docs.columns, again).drop("__copy")

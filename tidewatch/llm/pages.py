@@ -51,10 +51,12 @@ _NAMES = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*("
 _WORDS = re.compile(r"[a-z]+")
 _RIGHTS = re.compile(r"©|\(c\)\s*\d{4}|\ball rights reserved\b|\bcookies?\b.*\baccept\b", re.I)
 
+#: Elements inside each other; deeper ones count as part of the last.
+DEPTH = 512
 #: Classifier weights (log odds of content) and smoothness weights.
 OUTSIDE, INSIDE, IN_BOILER = -2.5, 3.0, -8.0
-LONG, SHORT, LINKS, RIGHTS, HEADING = 1.5, -0.5, -3.0, -3.0, 1.0
-NEXT, SIBLING = 0.6, 1.2
+LONG, SENTENCE, SHORT, LINKS, RIGHTS, HEADING = 1.5, 0.5, -0.5, -3.0, -3.0, 1.0
+NEXT, SIBLING, COUSIN = 0.4, 0.8, 0.3
 
 
 class Element:
@@ -88,7 +90,7 @@ def blocks_of(html: str) -> list[tuple[Element, str, int]]:
     """The visible text blocks of a page in order: (element, text, characters inside links)."""
     here, blocks = Element("#page", None, ""), []
     pieces: list[str] = []
-    linked, in_link = 0, 0
+    linked, in_link, beyond = 0, 0, 0
     owner = here
 
     def flush() -> None:
@@ -122,6 +124,11 @@ def blocks_of(html: str) -> list[tuple[Element, str, int]]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if m[1] and beyond and tag not in VOID:
+            beyond -= 1
+            if tag in BLOCKS:
+                flush()
+            continue
         if m[1]:
             node = here
             while node.parent and node.tag != tag:
@@ -146,6 +153,8 @@ def blocks_of(html: str) -> list[tuple[Element, str, int]]:
         if tag == "br":
             if pieces:
                 pieces.append(" ")
+        elif here.depth >= DEPTH and tag not in VOID and tag not in RAW:
+            beyond += 1
         elif tag not in VOID and not (m[3] or "").endswith("/"):
             here = Element(tag, here, m[3])
             in_link += tag == "a"
@@ -187,7 +196,8 @@ def costs(blocks: list[tuple[Element, str, int]]) -> list[float]:
         else:
             score = INSIDE if inside else OUTSIDE if framed else 0.0
         size = len(text)
-        score += LONG if size >= 80 and text[-1] in ".!?\"'”»…:;" else SHORT if size < 25 else 0.0
+        ended = text[-1] in ".!?\"'”»…:;"
+        score += SHORT if size < 25 else LONG if ended and size >= 80 else SENTENCE if ended else 0.0
         if 2 * linked > size:
             score += LINKS
         if size < 300 and _RIGHTS.search(text):
@@ -205,7 +215,8 @@ def _container(element: Element | None) -> bool:
 
 
 def smoothness(blocks: list[tuple[Element, str, int]]) -> list[tuple[int, int, float]]:
-    """Edges between blocks: each with the next, and with the next of the same parent."""
+    """Edges between blocks: each with the next, and with the next of the same parent, more firmly if
+    both are the same kind of element."""
     edges, last = [], {}
     for i, (element, _, _) in enumerate(blocks):
         parent = element.parent or element
@@ -221,7 +232,8 @@ def smoothness(blocks: list[tuple[Element, str, int]]) -> list[tuple[int, int, f
                 steps += 1
             edges.append((i - 1, i, NEXT * 2.0 / max(2, steps)))
         if id(parent) in last:
-            edges.append((last[id(parent)], i, SIBLING))
+            same = blocks[last[id(parent)]][0].tag == element.tag
+            edges.append((last[id(parent)], i, SIBLING if same else COUSIN))
         last[id(parent)] = i
     return edges
 
@@ -304,13 +316,13 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     n_chars are replaced. The whole page is read, whatever its length.
     """
     carried = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    rows = pages.select(*carried, F.col(html).alias("_html"))
+    rows = pages.select(*carried, F.col(html).alias("__html"))
     schema = rows.select(*carried, F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
     kind = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x.as_py()) for x in b.column("_html")]
+            texts = [main_text(x.as_py()) for x in b.column("__html")]
             columns = [*(b.column(c) for c in carried), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, kind)], schema=kind)
 

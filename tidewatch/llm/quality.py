@@ -130,6 +130,6 @@ def judged(docs: DataFrame, host: str = "source", text: str = "text") -> DataFra
 
 def quality_filter(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """The rows whose verdict is to keep them, with all their columns. ``docs`` is a stored table."""
-    good = judged(docs, host, text).where("kept").select(F.col("_rid").alias("_good"))
-    rows = with_row_id(docs, "_row_number")
-    return rows.join(good, F.col("_row_number") == F.col("_good"), "left_semi").drop("_row_number")
+    good = judged(docs, host, text).where("kept").select(F.col("_rid").alias("__kept_row"))
+    rows = with_row_id(docs, "__row")
+    return rows.join(good, F.col("__row") == F.col("__kept_row"), "left_semi").drop("__row")
