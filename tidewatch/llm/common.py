@@ -15,6 +15,8 @@ from tidewatch.session import scratch_table
 #: Fixed value: what separates words.
 SPACES = r"[\x20\x09-\x0D]+"
 
+#: Narrow rows that one task takes on easily.
+TASK_ROWS = 250_000
 #: Rows and bytes of an Arrow batch at most.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
@@ -39,6 +41,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized_for(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as many partitions as ``rows`` rows need, where that is fewer than it has.
+
+    Rounds over a small table then start a few tasks each, and over a large one as many as before.
+    """
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session is set up for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

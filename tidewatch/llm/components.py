@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import stored
+from tidewatch.llm.common import sized_for, stored
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
     return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _hung_on_least(neighbours: DataFrame, small: bool) -> DataFrame:
+def _hung_on_least(neighbours: DataFrame, small: bool, rows: int) -> DataFrame:
     """Hang each node's neighbours on the least of them and the node itself.
 
     ``small``: only the neighbours below a node move, and the node with them (small star);
     otherwise those above it move (large star).
     """
     ways = neighbours.where("b < a") if small else neighbours
-    least = stored(ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "least")
+    least = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+    least = stored(sized_for(least, rows), "least")
     met = ways.join(least, "a")
     if small:
         moved = met.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(
@@ -27,7 +28,7 @@ def _hung_on_least(neighbours: DataFrame, small: bool) -> DataFrame:
         )
     else:
         moved = met.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    return moved.where("a <> b").distinct()
+    return sized_for(moved.where("a <> b").distinct(), rows)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -37,10 +38,10 @@ def components(links: DataFrame) -> DataFrame:
     aggregations and joins over tables in the shared folder, and chains shrink geometrically.
     """
     now = stored(links.where("a <> b").distinct(), "links")
-    seen = None
+    rows, seen = 2 * now.count(), None
     while True:
-        now = stored(_hung_on_least(_both_ways(now), small=False), "large-star")
-        now = stored(_hung_on_least(_both_ways(now), small=True), "small-star")
+        now = stored(_hung_on_least(_both_ways(now), False, rows), "large-star")
+        now = stored(_hung_on_least(_both_ways(now), True, rows), "small-star")
         state = now.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         ).first()

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import partitions, stored, with_row_id
+from tidewatch.llm.common import partitions, sized_for, stored, with_row_id
 
 #: Characters of a block.
 BLOCK = 1024
@@ -41,8 +41,8 @@ def _name_blocks(blocks: DataFrame, spread: int) -> DataFrame:
     )
 
 
-def _name_pairs(named: DataFrame) -> DataFrame:
-    """One level up: adjacent names become pairs, distinct pairs become names."""
+def _name_pairs(named: DataFrame, rows: int) -> DataFrame:
+    """One level up: adjacent names become pairs, distinct pairs become names. At most ``rows`` pairs."""
 
     def half(k: int) -> Column:
         return F.max(F.when(F.col("_pos") % 2 == k, F.col("_name")))
@@ -50,9 +50,10 @@ def _name_pairs(named: DataFrame) -> DataFrame:
     pairs = named.groupBy("_rid", (F.col("_pos") / 2).cast("int").alias("_up")).agg(
         F.coalesce(half(0), F.lit(-1)).alias("_a"), F.coalesce(half(1), F.lit(-1)).alias("_b")
     )
-    pairs = stored(pairs, "pairs")
-    names = stored(_numbered(pairs.select("_a", "_b").distinct(), ["_a", "_b"]), "pair-names")
-    return pairs.join(names, ["_a", "_b"]).select("_rid", F.col("_up").alias("_pos"), "_name")
+    pairs = stored(sized_for(pairs, rows), "pairs")
+    distinct = sized_for(pairs.select("_a", "_b").distinct(), rows)
+    names = stored(_numbered(distinct, ["_a", "_b"]), "pair-names")
+    return sized_for(pairs.join(names, ["_a", "_b"]), rows).select("_rid", F.col("_up").alias("_pos"), "_name")
 
 
 def identities(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -68,7 +69,8 @@ def identities(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataF
     cut = F.when(F.length("_text") == 0, F.array(F.lit(""))).otherwise(cut)
     blocks = rows.select("_rid", F.posexplode(cut).alias("_pos", "_block"))
     named = stored(_name_blocks(blocks, partitions(docs.sparkSession)), "block-names")
-    depth = (named.agg(F.max("_pos")).first()[0] or 0).bit_length()
+    most, left = named.agg(F.max("_pos"), F.count(F.lit(1))).first()
+    depth = (most or 0).bit_length()
     levels, ended = named, []
     for level in range(depth + 1):
         # A row with one name left has nothing at position 1; only position 0 can be its last.
@@ -76,7 +78,8 @@ def identities(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataF
         ended.append(last.where("_most = 0").select("_rid", F.lit(level).alias("_level"), "_name"))
         if level < depth:
             longer = last.where("_most > 0").select("_rid")
-            levels = stored(_name_pairs(levels.join(longer, "_rid", "left_semi")), "level")
+            levels = stored(_name_pairs(levels.join(longer, "_rid", "left_semi"), left), "level")
+            left = levels.count()
     named_rows = ended[0]
     for e in ended[1:]:
         named_rows = named_rows.unionByName(e)
@@ -110,6 +113,6 @@ def duplicates(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataF
 
 def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns. ``docs`` is a stored table."""
-    stay = duplicates(docs, text).where("kept").select(F.col("_rid").alias("_stay"))
-    rows = with_row_id(docs, "_row_number")
-    return rows.join(stay, F.col("_row_number") == F.col("_stay"), "left_semi").drop("_row_number")
+    stay = duplicates(docs, text).where("kept").select(F.col("_rid").alias("__kept_row"))
+    rows = with_row_id(docs, "__row")
+    return rows.join(stay, F.col("__row") == F.col("__kept_row"), "left_semi").drop("__row")

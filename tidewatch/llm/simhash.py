@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import arrow_schema, in_arrow, stored, with_row_id
+from tidewatch.llm.common import arrow_schema, in_arrow, sized_for, stored, with_row_id
 from tidewatch.llm.components import components
 
 #: Words of a shingle, the distance and the blocks of the narrow form.
@@ -236,13 +236,16 @@ def _labelled(rows: DataFrame, keys_of, width: int, distance: int) -> DataFrame:
     """Fingerprint rows → each with component_id and kept."""
     names = [f"f{k}" for k in range(width)]
     # Copies collapse here: what follows has one row per fingerprint, named by its first row.
-    own = stored(rows.groupBy(*names).agg(F.min("doc_id").alias("least"), F.min(_first_of()).alias("head")), "nodes")
+    n = rows.count()
+    own = rows.groupBy(*names).agg(F.min("doc_id").alias("least"), F.min(_first_of()).alias("head"))
+    own = stored(sized_for(own, n), "nodes")
     own = own.withColumn("node", F.col("head.rid"))
     found = components(links(keys_of(own.select("node", *names)), width, distance))
     named = own.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    named = stored(named.select(*names, "least", "head", F.coalesce("component", "node").alias("component")), "named")
+    named = named.select(*names, "least", "head", F.coalesce("component", "node").alias("component"))
+    named = stored(sized_for(named, n), "named")
     whole = named.groupBy("component").agg(F.min("least").alias("component_id"), F.min("head").alias("first"))
-    of_fp = stored(named.select(*names, "component").join(whole, "component"), "of-fingerprint")
+    of_fp = stored(sized_for(named.select(*names, "component").join(whole, "component"), n), "of-fingerprint")
     return rows.join(of_fp, names).withColumn("kept", F.col("_rid") == F.col("first.rid"))
 
 
@@ -303,6 +306,6 @@ def similar(
 
 def one_of_each(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """One row of each group of similar texts, with all columns. ``docs`` is a stored table."""
-    stay = similar(docs, text, **how).where("kept").select(F.col("_rid").alias("_stay"))
-    rows = with_row_id(docs, "_row_number")
-    return rows.join(stay, F.col("_row_number") == F.col("_stay"), "left_semi").drop("_row_number")
+    stay = similar(docs, text, **how).where("kept").select(F.col("_rid").alias("__kept_row"))
+    rows = with_row_id(docs, "__row")
+    return rows.join(stay, F.col("__row") == F.col("__kept_row"), "left_semi").drop("__row")
