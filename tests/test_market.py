@@ -53,10 +53,10 @@ def test_web_recovers_the_planted_beta(spark, series, candles):
     assert got["C1"] > got["C0"] > got["C2"]
 
 
-@pytest.mark.parametrize("blocks", [1, 3])
-def test_strings_match_pairwise_loop(spark, series, candles, blocks):
+@pytest.mark.parametrize("block_coins", [1, 256])
+def test_strings_match_pairwise_loop(spark, series, candles, block_coins):
     rets = returns(series)
-    got = {r["coin"]: r for r in rotation.strings(rotation.grid(candles, W), W, blocks).collect()}
+    got = {r["coin"]: r for r in rotation.strings(rotation.grid(candles, W), W, block_coins).collect()}
     for coin in rets:
         top = weight = 0.0
         strung = 0

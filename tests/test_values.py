@@ -64,8 +64,10 @@ def test_chain_names(spark):
     assert tuple(r) == ("bnb", None, False, None)
     with pytest.raises(ValueError):
         chains.requested(spark.range(1).select(F.lit("x").alias("chain")), ["robinhood"])
-    bound = chains.with_overrides("robinhood=rh-1, junk, new=n1")
-    assert chains.default_names(bound)[-2:] == ["robinhood", "new"]
+    bound = {r.name: r for r in chains.bound_sources(spark, "robinhood=rh-0, junk, New = n1,=x,robinhood=rh-1,base=base").collect()}
+    assert {n for n, r in bound.items() if r.offered} == {*chains.DEFAULT_NAMES, "robinhood", "new"}
+    assert (bound["robinhood"].source_id, bound["robinhood"].known, bound["new"].label) == ("rh-1", True, "new")
+    assert not bound["new"].known and bound["sui"].source_id == "sui"
 
 
 def test_links_keep_order_and_unknown(spark):

@@ -97,9 +97,9 @@ def w06(spark, d):
     return ranked(spark, d).select("snapshot_id", "excluded", "rank")
 
 
-@register("o03_best_first", "SELECT snapshot_id, rank FROM ranked_run_ WHERE rank IS NOT NULL ORDER BY rank LIMIT 20")
+@register("o03_best_first", "SELECT snapshot_id, rank FROM ranked_run_ WHERE rank IS NOT NULL")
 def o03(spark, d):
-    return ranked(spark, d).where("rank is not null").orderBy("rank").limit(20).select("snapshot_id", "rank")
+    return ranked(spark, d).where("rank is not null").select("snapshot_id", "rank")
 
 
 @register(
@@ -131,17 +131,23 @@ def f22(spark, d):
     return scoring.batch_verdict(ranked(spark, d)).select("verdict")
 
 
-define(
-    "boardv_",
-    f"""SELECT n.*, s.ts FROM (SELECT * FROM snap_ ORDER BY ts DESC, snapshot_id LIMIT 80) s JOIN (SELECT * FROM score_ QUALIFY row_number() OVER
+def board_sql(newest: str, name: str) -> None:
+    """Define the current board of the ``newest`` snapshots as a view."""
+    define(
+        f"{name}v_",
+        f"""SELECT n.*, s.ts FROM {newest} s JOIN (SELECT * FROM score_ QUALIFY row_number() OVER
   (PARTITION BY snapshot_id ORDER BY scored_at_ms DESC, score_id DESC) = 1) n USING (snapshot_id)""",
-)
-define(
-    "board_",
-    f"""SELECT *, CASE WHEN NOT excluded AND ts >= {LATE} - 10080 * 60000 THEN row_number() OVER (PARTITION BY excluded OR ts < {LATE} - 10080 * 60000
-  ORDER BY score DESC NULLS LAST, snapshot_id) END AS board_rank FROM boardv_ WHERE (prompt_version, weights_version) =
-  (SELECT arg_max((prompt_version, weights_version), (scored_at_ms, score_id)) FROM boardv_)""",
-)
+    )
+    define(
+        f"{name}_",
+        f"""SELECT *, CASE WHEN NOT excluded AND ts >= {LATE} - 10080 * 60000 THEN row_number() OVER (PARTITION BY excluded OR ts < {LATE} - 10080 * 60000
+  ORDER BY score DESC NULLS LAST, snapshot_id) END AS board_rank FROM {name}v_ WHERE (prompt_version, weights_version) =
+  (SELECT arg_max((prompt_version, weights_version), (scored_at_ms, score_id)) FROM {name}v_)""",
+    )
+
+
+board_sql("(SELECT * FROM snap_ ORDER BY ts DESC, snapshot_id LIMIT 80)", "board")
+board_sql("snap_", "boardall")
 
 
 @register("o02_current_board", "SELECT snapshot_id, score, excluded, board_rank FROM board_")
@@ -157,13 +163,13 @@ def o02(spark, d):
     f"""SELECT s.snapshot_id, b.score, b.board_rank AS rank, l.max_multiple_24h, f.honeypot, f.contract IS NOT NULL AS has_safety,
     s.ts < {LATE} - 10080 * 60000 AS outcome_window_closed, CASE s.chain WHEN 'c0' THEN 'Chain 0' WHEN 'c1' THEN 'Chain 1' WHEN 'c2' THEN 'Chain 2' ELSE s.chain END AS chain_label,
     CASE WHEN s.chain <> 'c3' THEN 'https://pages.example/s' || substr(s.chain, 2) || '/' || s.contract END AS page_url
-    FROM (SELECT * FROM snap_ ORDER BY ts DESC, snapshot_id LIMIT 120) s LEFT JOIN board_ b USING (snapshot_id) LEFT JOIN labels_late_ l USING (snapshot_id)
+    FROM snap_ s LEFT JOIN boardall_ b USING (snapshot_id) LEFT JOIN labels_late_ l USING (snapshot_id)
     LEFT JOIN safety0_ f USING (chain, contract)""",
 )
 def s26(spark, d):
     labels = I.labels(spark, d).withColumns({"filled_at_ms": F.lit(LATE), "label_id": F.col("snapshot_id")})
     rows = board.payload(
-        I.snapshots(spark, d), scores(spark, d), labels, I.safety(spark, d), LATE, 120, 80, registry=I.STAND_IN_CHAINS
+        I.snapshots(spark, d), scores(spark, d), labels, I.safety(spark, d), LATE, None, registry=I.STAND_IN_CHAINS
     )
     return rows.select(
         "snapshot_id", "score", "rank", "max_multiple_24h", F.col("safety.honeypot").alias("honeypot"),
@@ -277,12 +283,11 @@ def p25(spark, d):
 
 @register(
     "x13_scoring_run",
-    """SELECT snapshot_id, excluded, CASE WHEN NOT excluded THEN would_score END AS score FROM run_ JOIN (SELECT snapshot_id FROM snap_ ORDER BY ts DESC, snapshot_id LIMIT 100)
-    USING (snapshot_id)""",
+    """SELECT snapshot_id, excluded, CASE WHEN NOT excluded THEN would_score END AS score FROM run_""",
 )
 def x13(spark, d):
     none = I.social(spark, d).where("snapshot_id is null")
-    out = scoring.run(I.features(spark, d), none, I.safety(spark, d), LATE, 100, registry=I.STAND_IN_CHAINS)
+    out = scoring.run(I.features(spark, d), none, I.safety(spark, d), LATE, None, registry=I.STAND_IN_CHAINS)
     return out.select("snapshot_id", "excluded", F.round("score", DIG).alias("score"))
 
 
@@ -290,7 +295,7 @@ def x13(spark, d):
 
 define(
     "train_",
-    f"""SELECT p.snapshot_id, p.ts, 'd' || (p.user_id % 40) AS deployer, CASE p.user_id % 3 WHEN 0 THEN 'hot' WHEN 1 THEN 'neutral' ELSE 'cold' END AS regime,
+    f"""SELECT p.snapshot_id, p.ts, 'd' || p.user_id AS deployer, CASE p.user_id % 3 WHEN 0 THEN 'hot' WHEN 1 THEN 'neutral' ELSE 'cold' END AS regime,
   (l.max_multiple_24h >= 1.05)::INT AS label, {', '.join('p.' + n for n in pillars.NAMES)} FROM pillars_ p JOIN labels_late_ l USING (snapshot_id)
   WHERE l.max_multiple_24h IS NOT NULL""",
 )
@@ -300,22 +305,22 @@ define(
 )
 define(
     "tsplit_",
-    """SELECT * EXCLUDE (part), CASE WHEN part = 'test' AND deployer IN (SELECT deployer FROM tsplit0_ WHERE part = 'train' AND ts % 3 = 0) THEN 'train' ELSE part END AS split
-  FROM tsplit0_ WHERE part = 'test' OR ts % 3 = 0""",
+    """SELECT * EXCLUDE (part), CASE WHEN part = 'test' AND deployer IN (SELECT deployer FROM tsplit0_ WHERE part = 'train') THEN 'train' ELSE part END AS split
+  FROM tsplit0_""",
 )
 
 
 def training(spark, d):
     u = F.col("user_id")
     regime = F.element_at(F.array(F.lit("hot"), F.lit("neutral"), F.lit("cold")), (u % 3 + 1).cast("int"))
-    first = I.features(spark, d).withColumns({"deployer": F.concat(F.lit("d"), u % 40), "regime": regime})
+    first = I.features(spark, d).withColumns({"deployer": F.concat(F.lit("d"), u), "regime": regime})
     return calibration.training_rows(first, I.labels(spark, d), "max_multiple_24h", 1.05)
 
 
 def held_out(spark, d):
-    """Split rows with a thinned training side, so that some deployers never straddle the cut."""
+    """Split rows; test rows whose deployer has training rows move there."""
     split = stats.time_split(training(spark, d), "ts", "snapshot_id")
-    return stats.repair_leakage(split.where("split = 'test' or ts % 3 = 0"))
+    return stats.repair_leakage(split)
 
 
 _IN_FORCE, _ = screen.composite_sql(pillars.FITTED_V1)

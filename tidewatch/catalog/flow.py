@@ -304,7 +304,12 @@ def t08(spark, d):
     )
 
 
-@register("t04_streamed_bars")
+@register(
+    "t04_streamed_bars",
+    """SELECT contract, observed_at_ms // 14400000 * 14400000 AS t, arg_min_null(mcap_usd, (observed_at_ms, pos)) AS o, max(mcap_usd) AS h, min(mcap_usd) AS l,
+    arg_max_null(mcap_usd, (observed_at_ms, pos)) AS c, count(*) AS v FROM poll_
+    WHERE observed_at_ms // 14400000 * 14400000 + 14400000 <= (SELECT max(observed_at_ms) FROM poll_) - 1200000 GROUP BY 1, 2""",
+)
 def t04_bars(spark, d):
     """Candles by tumbling event-time windows over the stream; only closed windows appear."""
     out, mark = scratch_table(spark, "bars"), scratch_table(spark, "stream")

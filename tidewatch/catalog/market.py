@@ -24,9 +24,9 @@ define(
 )
 define(
     "grid0_",
-    f"""SELECT c.coin, g.i, g.t, least(g.n_all, {NEED + 1}) AS n_bars, CASE WHEN b.o > 0 THEN b.o END AS o, CASE WHEN b.c > 0 THEN b.c END AS c,
+    """SELECT c.coin, g.i, g.t, g.n_all AS n_bars, CASE WHEN b.o > 0 THEN b.o END AS o, CASE WHEN b.c > 0 THEN b.c END AS c,
   b.v * (b.h + b.l + b.c) / 3.0::DOUBLE AS money FROM (SELECT DISTINCT coin FROM bar_) c CROSS JOIN gridt_ g
-  LEFT JOIN bar_ b ON b.coin = c.coin AND b.t = g.t WHERE g.i <= {NEED}""",
+  LEFT JOIN bar_ b ON b.coin = c.coin AND b.t = g.t""",
 )
 define("grid1_", "SELECT *, ln(c / lag(c) OVER (PARTITION BY coin ORDER BY t)) AS ret FROM grid0_")
 define(
@@ -137,9 +137,9 @@ define(
 )
 
 
-@register("w07_log_returns", f"SELECT coin, t, round(ret, {DIG}) AS ret FROM grid_ WHERE i < {W}")
+@register("w07_log_returns", f"SELECT coin, t, round(ret, {DIG}) AS ret FROM grid_")
 def w07(spark, d):
-    return grid(spark, d).where(F.col("i") < W).select("coin", "t", F.round("ret", DIG).alias("ret"))
+    return grid(spark, d).select("coin", "t", F.round("ret", DIG).alias("ret"))
 
 
 @register("k02_rotation", f"SELECT coin, round(ratio, {DIG}) AS ratio, round(momentum, {DIG}) AS momentum, quadrant FROM rot_")
@@ -331,14 +331,16 @@ def f17(spark, d):
 # --- chart ---------------------------------------------------------------------
 
 BARS = 120
+define("cut_", "SELECT *, row_number() OVER (PARTITION BY coin ORDER BY t) - 1 AS i FROM bar_")
 define(
-    "cut_",
-    f"""SELECT *, row_number() OVER (PARTITION BY coin ORDER BY t) - 1 AS i FROM (SELECT *, row_number() OVER (PARTITION BY coin ORDER BY t DESC) AS k FROM bar_) WHERE k <= {BARS}""",
+    "asked_",
+    f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coin ORDER BY t DESC) AS k FROM bar_) WHERE k <= {BARS}""",
 )
 
 
 def cut(spark, d):
-    return chart.newest_bars(bars(spark, d), "4h", BARS)
+    """All bars of every coin, numbered."""
+    return chart.numbered(bars(spark, d))
 
 
 @register(
@@ -449,10 +451,10 @@ def k11(spark, d):
 
 @register(
     "k11_chart_headline",
-    """SELECT coin, coin || ' · 4h · ' || count(*) || ' bars · ' || printf('%.1f d of tape', count(*) * 4 / 24.0) || ' · up-rung 1d' AS headline FROM cut_ GROUP BY 1""",
+    """SELECT coin, coin || ' · 4h · ' || count(*) || ' bars · ' || printf('%.1f d of tape', count(*) * 4 / 24.0) || ' · up-rung 1d' AS headline FROM asked_ GROUP BY 1""",
 )
 def k11_headline(spark, d):
-    return chart.headline(cut(spark, d), "4h")
+    return chart.headline(chart.newest_bars(bars(spark, d), "4h", BARS), "4h")
 
 
 @register(
@@ -520,7 +522,7 @@ def a21(spark, d):
 
 @register("j14_strung_partners", "SELECT coin, count(*) AS strung FROM pull_ GROUP BY 1")
 def j14(spark, d):
-    return rotation.strings(pair_grid(spark, d), W, blocks=2).select("coin", "strung")
+    return rotation.strings(pair_grid(spark, d), W, block_coins=2).select("coin", "strung")
 
 
 @register("a22_liquidity_ratio", f"SELECT coin, round(rel, {DIG}) AS rel FROM liq_")

@@ -161,7 +161,7 @@ def listed_payloads(spark, d):
     empty = F.struct(_chain_id().alias("chainId"), F.lit(None).cast("string").alias("tokenAddress"))
     both = F.concat(F.lit("["), F.to_json(entry), F.lit(","), F.to_json(empty), F.lit("]"))
     kind = F.element_at(F.array(F.lit("boost_top"), F.lit("boost_latest"), F.lit("profile")), (P() % 3 + 1).cast("int"))
-    return I.events(spark, d).where("event_type <> 'view'").select(
+    return I.events(spark, d).select(
         "pos", kind.alias("kind"), F.when(P() % 43 == 0, '{"no": 1}').otherwise(both).alias("payload")
     )
 
@@ -175,7 +175,7 @@ define(
   CASE WHEN pos % 5 <> 0 THEN false END AS declared_x,
   CASE WHEN pos % 5 <> 0 THEN pos % 3 = 1 END AS declared_website,
   CASE WHEN pos % 5 <> 0 AND pos % 2 = 1 THEN 'https://t.me/q' END AS telegram_url
-  FROM pev_ WHERE pos % 43 <> 0 AND event_type <> 'view'""",
+  FROM pev_ WHERE pos % 43 <> 0""",
 )
 DISC = (
     "chain", "contract", "discovery", "boost_amount", "boost_total", "declared_telegram",
@@ -212,7 +212,12 @@ def u02(spark, d):
 
 @register("o04_capped_candidates", "SELECT chain, contract FROM cand_ ORDER BY chain, contract LIMIT 120")
 def o04(spark, d):
-    return pairs.capped(pairs.candidates(discovered(spark, d))).select("chain", "contract")
+    return pairs.capped(pairs.candidates(discovered(spark, d)), 120).select("chain", "contract")
+
+
+@register("o04_all_candidates", "SELECT chain, contract FROM cand_")
+def o04_all(spark, d):
+    return pairs.capped(pairs.candidates(discovered(spark, d)), None).select("chain", "contract")
 
 
 @register(
@@ -330,14 +335,13 @@ define(
     """SELECT pos, contract, observed_at_ms, observed_at_ms // 1000 * 1000 AS first_seen_at_ms, 'P' || (pos % 4) AS ticker,
   value AS liquidity_usd, CASE WHEN pos % 6 < 2 THEN pos % 6 = 0 END AS declared_telegram,
   CASE WHEN pos % 6 < 2 THEN false END AS declared_x, CASE WHEN pos % 6 < 2 THEN pos % 6 = 0 END AS declared_website
-  FROM ev_ WHERE event_type = 'signup'""",
+  FROM ev_""",
 )
 
 
 @register("s15_new_pools", "SELECT * FROM pooled_")
 def s15(spark, d):
-    rows = trade_payloads(spark, d).where("event_type = 'signup'")
-    return trades.new_pools(rows, "observed_at_ms", "pool").select(
+    return trades.new_pools(trade_payloads(spark, d), "observed_at_ms", "pool").select(
         F.col("at.pos").alias("pos"), "contract", "observed_at_ms", "first_seen_at_ms", "ticker", "liquidity_usd",
         "declared_telegram", "declared_x", "declared_website",
     )
@@ -376,7 +380,7 @@ def s17(spark, d):
 
 def _layered(spark, d):
     raw = trade_payloads(spark, d)
-    pools_ = trades.new_pools(raw.where("event_type = 'signup'"), "observed_at_ms", "pool")
+    pools_ = trades.new_pools(raw, "observed_at_ms", "pool")
     return trades.layered(pools_, trades.token_metrics(raw, "metrics"), trades.holder_counts(raw, "holders"))
 
 
@@ -734,6 +738,15 @@ def o06(spark, d):
     return safety.busiest_deployers(safety.deployer_keys(I.safety(spark, d), ["c0", "c2"]), 10)
 
 
+@register(
+    "o06_all_deployers",
+    """SELECT chain, deployer_address AS deployer_key, count(*) AS tokens FROM safety0_ WHERE chain IN ('c0', 'c2') AND deployer_address IS NOT NULL
+    GROUP BY 1, 2""",
+)
+def o06_all(spark, d):
+    return safety.busiest_deployers(safety.deployer_keys(I.safety(spark, d), ["c0", "c2"]), None)
+
+
 @register(
     "j18_safety_with_snapshot",
     "SELECT f.chain, f.contract, s.snapshot_id FROM safety0_ f LEFT JOIN (SELECT * FROM snap_ WHERE user_id % 4 <> 0) s USING (chain, contract)",
@@ -912,12 +925,12 @@ def f07(spark, d):
     """SELECT chain, ['s-nine', NULL, NULL, NULL][user_id % 4 + 1] AS source_id, user_id % 4 = 0 AS offered, count(*) AS n FROM ev_ GROUP BY 1, 2, 3""",
 )
 def f08(spark, d):
-    registry = chains.with_overrides("c0=s-nine, broken, =x,", ())
-    sid = chains.source_id("chain", registry)
+    bound = chains.bound_sources(spark, "c0=s-nine, broken, =x,", ())
     return (
         I.events(spark, d)
-        .select("chain", sid.alias("source_id"), F.col("chain").isin(chains.default_names(registry)).alias("offered"))
-        .groupBy("chain", "source_id", "offered")
+        .select("chain")
+        .join(bound.select(F.col("name").alias("chain"), "source_id", "offered"), "chain", "left")
+        .groupBy("chain", "source_id", F.coalesce("offered", F.lit(False)).alias("offered"))
         .agg(F.count("*").alias("n"))
     )
 
@@ -980,12 +993,13 @@ def f18(spark, d):
 
 @register(
     "o05_top_by_notional",
-    "SELECT coin, day_ntl_vlm FROM ctx_ WHERE day = 19730 ORDER BY day_ntl_vlm DESC, coin LIMIT 3",
+    """SELECT day, coin, day_ntl_vlm FROM ctx_ WHERE day_ntl_vlm IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY day ORDER BY day_ntl_vlm DESC, coin) <= 3""",
 )
 def o05(spark, d):
     from tidewatch.plans import rotation
 
-    return rotation.choose_names(contexts(spark, d).where("day = 19730"), 3).select("coin", "day_ntl_vlm")
+    return rotation.choose_names(contexts(spark, d), 3, ["day"]).select("day", "coin", "day_ntl_vlm")
 
 
 # --- scalar parsing ----------------------------------------------------------------

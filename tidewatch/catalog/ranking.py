@@ -128,13 +128,13 @@ def w20(spark, d):
 
 @register(
     "m09_deployer_repair",
-    """SELECT doc_id, CASE WHEN split = 'test' AND deployer IN (SELECT deployer FROM split_ WHERE split = 'train' AND doc_id % 2 = 0)
-    THEN 'train' ELSE split END AS split, split = 'test' AND deployer IN (SELECT deployer FROM split_ WHERE split = 'train'
-    AND doc_id % 2 = 0) AS moved FROM split_ WHERE split = 'test' OR doc_id % 2 = 0""",
+    """SELECT doc_id, CASE WHEN split = 'test' AND deployer IN (SELECT deployer FROM split_ WHERE split = 'train')
+    THEN 'train' ELSE split END AS split, split = 'test' AND deployer IN (SELECT deployer FROM split_ WHERE split = 'train')
+    AS moved FROM split_""",
 )
 def m09(spark, d):
     s = stats.time_split(I.labelled(spark, d), "ts", "doc_id")
-    r = stats.repair_leakage(s.where("split = 'test' or doc_id % 2 = 0"))
+    r = stats.repair_leakage(s)
     return r.select("doc_id", "split", "moved")
 
 

@@ -31,6 +31,13 @@ def first(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFram
     return _pick(df, keys, order, F.min_by)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which null is a value like any other."""
+    side = right.select(*[F.col(k).alias(f"_on_{k}") for k in on], *[c for c in right.columns if c not in on])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in on])
+    return left.join(side, same, how).drop(*[f"_on_{k}" for k in on])
+
+
 def append_new(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key the table does not hold yet."""
     return new.join(existing.select(*keys).distinct(), keys, "left_anti")

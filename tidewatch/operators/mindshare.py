@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.values import non_negative
+from tidewatch.operators.keys import join_null_safe
 from tidewatch.operators.ordered import row_numbers
 
 # The components and their weights.
@@ -41,7 +42,7 @@ def shares(tokens: DataFrame, universe: str, weights: dict[str, float] | None =
     execution may split a hot universe on the token side.
     """
     weights = weights or COMPONENT_WEIGHTS
-    joined = tokens.join(totals(tokens, universe), universe)
+    joined = join_null_safe(tokens, totals(tokens, universe), [universe])
     pairs = {c: (F.col(c), F.col(f"universe_{c}")) for c in COMPONENT_WEIGHTS}
     return joined.withColumn("share_pct", weighted_share(pairs, weights))
 
@@ -61,7 +62,7 @@ def ranked(tokens: DataFrame, universe: str, tie: str, digits: int | None = None
     counts = placed.groupBy(universe).agg(F.count("share_pct").alias("_measured"))
     rank = F.when(F.col("share_pct").isNotNull(), F.col("_at"))
     return (
-        placed.join(counts, universe)
+        join_null_safe(placed, counts, [universe])
         .withColumn("rank", rank)
         .withColumn("percentile", (F.col("_measured") - F.col("rank") + 1) / F.col("_measured") * 100.0)
         .drop("_measured", "_at")

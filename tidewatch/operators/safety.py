@@ -170,15 +170,10 @@ def deployer_keys(reports: DataFrame, supported: list[str]) -> DataFrame:
     return reports.withColumn("deployer_key", key)
 
 
-def busiest_deployers(reports: DataFrame, limit: int = 25) -> DataFrame:
-    """Deployers behind the most tokens, each once: one lookup answers all their tokens."""
-    return (
-        reports.where("deployer_key is not null")
-        .groupBy("chain", "deployer_key")
-        .agg(F.count("*").alias("tokens"))
-        .orderBy(F.desc("tokens"), "chain", "deployer_key")
-        .limit(limit)
-    )
+def busiest_deployers(reports: DataFrame, limit: int | None) -> DataFrame:
+    """Deployers behind the most tokens, each once, all with ``None``: one lookup answers all their tokens."""
+    per = reports.where("deployer_key is not null").groupBy("chain", "deployer_key").agg(F.count("*").alias("tokens"))
+    return per if limit is None else per.orderBy(F.desc("tokens"), "chain", "deployer_key").limit(limit)
 
 
 def attach_history(reports: DataFrame, history: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.values import auc_interval, wilson
+from tidewatch.operators.keys import join_null_safe
 from tidewatch.operators.ordered import prefix_sums, row_numbers
 
 # Held-out share and the exit gate.
@@ -49,19 +50,16 @@ def decile_lift(
 ) -> DataFrame:
     """Positive rate of the first max(1, n // 10) rows over the base rate, with its interval."""
     ranked = row_numbers(df, groups, order, "_rank")
-    sizes = df.groupBy(*groups).agg(
-        F.count("*").alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_pos")
-    )
-    sizes = sizes.withColumn(
-        "decile_size", F.greatest(F.lit(1), F.floor(F.col("_n") / 10)).cast("bigint")
-    )
-    key = groups or ["_one"]
-    if not groups:
-        ranked, sizes = ranked.withColumn("_one", F.lit(1)), sizes.withColumn("_one", F.lit(1))
+    totals = [F.count("*").alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_pos")]
+    if groups:
+        met = join_null_safe(ranked, ranked.groupBy(*groups).agg(*totals), groups)
+    else:
+        whole = ranked.agg(*totals).first()
+        met = ranked.withColumns({"_n": F.lit(whole["_n"]), "_pos": F.lit(whole["_pos"]).cast("bigint")})
+    met = met.withColumn("decile_size", F.greatest(F.lit(1), F.floor(F.col("_n") / 10)).cast("bigint"))
     hits = (
-        ranked.join(sizes, key)
-        .where("_rank <= decile_size")
-        .groupBy(*key, "_n", "_pos", "decile_size")
+        met.where("_rank <= decile_size")
+        .groupBy(*groups, "_n", "_pos", "decile_size")
         .agg(F.sum(F.col(label).cast("bigint")).alias("decile_positives"))
     )
     base = F.col("_pos") / F.col("_n")
@@ -103,10 +101,12 @@ def time_split(
     ranked = row_numbers(df, groups, [F.col(ts), F.col(tie)], "_at")
     share = 1 - test_fraction
     if groups:
-        sizes = df.groupBy(*groups).agg(F.floor(F.count("*") * F.lit(share)).alias("_cut"))
-        ranked = ranked.join(sizes, groups)
+        sizes = ranked.groupBy(*groups).agg(F.floor(F.max("_at") * F.lit(share)).alias("_cut"))
+        ranked = join_null_safe(ranked, sizes, groups)
     else:
-        ranked = ranked.withColumn("_cut", F.lit(cut_position(df.count(), test_fraction)))
+        # The ranks are stored, so their largest is a read and not another run of the input.
+        n = ranked.agg(F.max("_at")).first()[0] or 0
+        ranked = ranked.withColumn("_cut", F.lit(cut_position(n, test_fraction)))
     return ranked.withColumn("split", F.when(F.col("_at") <= F.col("_cut"), "train").otherwise("test")).drop(
         "_at", "_cut"
     )

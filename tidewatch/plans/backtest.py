@@ -15,7 +15,6 @@ TIE_WARNING = 0.30
 MIN_STRATUM_ROWS = 12
 CONTROL = "age_minutes"
 BANDS = ("<1h", "1-6h", "6-48h", ">48h")
-ROW_LIMIT = 5000
 
 
 def _share(buys: str, sells: str) -> Column:
@@ -95,9 +94,9 @@ def rows(
     safety: DataFrame | None = None,
     label: str = LABEL,
     threshold: float | None = THRESHOLD,
-    limit: int | None = ROW_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Newest snapshots (all of them with ``limit=None``) with a resolved label, as features and 1/0."""
+    """Snapshots (the newest ``limit`` if given) with a resolved label, as features and 1/0."""
     newest = snapshots if limit is None else snapshots.orderBy(F.desc("ts"), "snapshot_id").limit(limit)
     answers = labels.select("snapshot_id", outcome(label, threshold).alias("label"))
     joined = newest.join(answers.where("label is not null"), "snapshot_id")

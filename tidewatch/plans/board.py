@@ -60,15 +60,14 @@ def payload(
     labels: DataFrame,
     safety: DataFrame,
     as_of_ms: int,
-    limit: int = 500,
-    score_window: int = scoring.SCORE_WINDOW,
+    limit: int | None,
     page_base: str = "https://pages.example",
     registry=chains.REGISTRY,
 ) -> DataFrame:
-    """Board rows: newest snapshots with current score, latest label and latest safety."""
+    """Board rows: the newest ``limit`` snapshots (all with ``None``) with current score, latest label and latest safety."""
     since = as_of_ms - WINDOW_MINUTES * 60_000
     recent = scoring.newest(snapshots, limit)
-    board = scoring.current_board(snapshots, scores, score_window, since).select(
+    board = scoring.current_board(snapshots, scores, limit, since).select(
         "snapshot_id", "score", "excluded", F.col("board_rank").alias("rank")
     )
     label = keys.latest(labels, ["snapshot_id"], ["filled_at_ms", "label_id"]).select(

@@ -1,7 +1,7 @@
 """Relative rotation, richness, pair spreads and liquidity over candles.
 
-Readings use the newest bars only. The bar times are cut to that window first (a top-k over
-distinct times), so everything per instrument afterwards has a fixed number of rows.
+The grid covers all bars; each reading filters the newest bars it needs, so what it does per
+instrument has a fixed number of rows.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.chains import lookup
+from tidewatch.operators.ordered import row_numbers
+from tidewatch.session import durable
 from tidewatch.sources.candles import notional
 
 # Coverage and label thresholds, tail length and read-on windows.
@@ -22,6 +24,8 @@ MIN_CORR = 0.5
 HOT_AT, THIN_AT = 1.5, 0.67
 TAIL = 6
 DAY_MS = 86_400_000
+#: Bar times of a stretch of the grid; coins of a block of pair spreads.
+STRETCH, BLOCK_COINS = 512, 256
 READ_ON = {"15m": 96, "1h": 48, "4h": 42, "1d": 30}
 QUADRANTS = ("LEADING", "WEAKENING", "LAGGING", "IMPROVING")
 # One phrase per (richness, quadrant).
@@ -53,33 +57,38 @@ def bars_needed(window: int) -> int:
     return 2 * window + momentum_lag(window) + TAIL
 
 
-def choose_names(contexts: DataFrame, n: int) -> DataFrame:
-    """The n assets that traded most money; unknown volume is left out."""
-    return contexts.where("day_ntl_vlm is not null").orderBy(F.desc("day_ntl_vlm"), "coin").limit(n)
+def choose_names(contexts: DataFrame, n: int, per: list[str] = ()) -> DataFrame:
+    """The n assets that traded most money, of each ``per`` if given; unknown volume is left out."""
+    known = contexts.where("day_ntl_vlm is not null")
+    ranked = row_numbers(known, list(per), [F.desc("day_ntl_vlm"), F.col("coin")], "_nth")
+    return ranked.where(F.col("_nth") <= n).drop("_nth")
 
 
 def grid(candles: DataFrame, window: int) -> DataFrame:
-    """Every coin on the newest shared bar times, gaps null: (coin, i, t, o, c, money, ret, bench).
+    """Every coin on the union of all bar times, gaps null: (coin, i, t, o, c, money, ret, bench).
 
-    ``i`` counts backwards from 0, the newest bar. One bar more than the readings need is kept so
-    the oldest return has its predecessor; ``n_bars`` says how many bars the history offers.
+    ``i`` counts backwards from 0, the newest bar; ``n_bars`` is the number of bar times. Readings
+    take the bars they need by ``i``; a time range is the caller's filter on ``candles``. Coins and
+    times meet in stretches of times, and a stretch carries the bar before it, so a return needs no
+    other stretch.
     """
-    times = candles.select("t").distinct().orderBy(F.desc("t")).limit(bars_needed(window) + 1)
-    # At most bars_needed + 1 rows: one task is enough, and broadcasting them is safe.
-    numbered = times.withColumn("i", F.row_number().over(Window.orderBy(F.desc("t"))) - 1).withColumn(
-        "n_bars", F.count("*").over(Window.partitionBy())
+    times = row_numbers(candles.select("t").distinct(), [], [F.desc("t")], "i").withColumn("i", F.col("i") - 1)
+    offered = times.agg(F.max("i")).first()[0]
+    n_bars = 0 if offered is None else offered + 1
+    home = F.floor(F.col("i") / STRETCH)
+    # The bar before the oldest of a stretch is the newest of the next one.
+    edge = F.when((F.col("i") % STRETCH == 0) & (F.col("i") > 0), home - 1)
+    slots = times.withColumn("_stretch", F.explode(F.array_compact(F.array(home, edge))))
+    coins = candles.select("coin").distinct().withColumn(
+        "_stretch", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_bars - 1) // STRETCH)))
     )
-    slots = numbered.agg(F.sort_array(F.collect_list(F.struct("i", "t", "n_bars"))).alias("_slots"))
-    coins = candles.select("coin").distinct().withColumn("_one", F.lit(1))
-    frame = coins.join(F.broadcast(slots.withColumn("_one", F.lit(1))), "_one").select(
-        "coin", F.inline("_slots")
-    )
-    near = candles.join(F.broadcast(numbered.select("t")), "t", "left_semi")
-    joined = frame.join(near, ["coin", "t"], "left")
-    by_coin = Window.partitionBy("coin").orderBy("t")
+    frame = coins.join(slots, "_stretch").withColumn("n_bars", F.lit(n_bars).cast("bigint"))
+    joined = frame.join(candles, ["coin", "t"], "left")
+    by_coin = Window.partitionBy("coin", "_stretch").orderBy("t")
     close = F.when(F.col("c") > 0, F.col("c"))
     rows = joined.select(
         "coin",
+        "_stretch",
         "i",
         "t",
         "n_bars",
@@ -87,6 +96,7 @@ def grid(candles: DataFrame, window: int) -> DataFrame:
         close.alias("c"),
         notional().alias("money"),
     ).withColumn("ret", F.log(F.try_divide(F.col("c"), F.lag("c").over(by_coin))))
+    rows = rows.where(F.col("_stretch") == F.floor(F.col("i") / STRETCH)).drop("_stretch")
     per_bar = rows.groupBy("i").agg(
         F.avg("ret").alias("_mean"), F.count("ret").alias("_present"), F.count("*").alias("_members")
     )
@@ -232,17 +242,20 @@ def _pull_block(left: pd.DataFrame, right: pd.DataFrame, window: int) -> list[di
     return out
 
 
-def strings(g: DataFrame, window: int, blocks: int = 4) -> DataFrame:
+def strings(g: DataFrame, window: int, block_coins: int = BLOCK_COINS) -> DataFrame:
     """(coin, score, label, strung, tautest partner) from correlation-weighted pair spreads.
 
-    One row per coin holds its window of returns. Coins fall into blocks by hash, every pair of
-    blocks is one task, and each task returns one partial row per coin, never the pairs.
+    One row per coin holds its window of returns. Coins fall into blocks by hash, as many as keep a
+    block near ``block_coins`` coins; every pair of blocks is one task, and each task returns one
+    partial row per coin, never the pairs.
     """
     rows = g.where((F.col("i") < window) & (F.col("n_bars") >= window))
     by_time = F.sort_array(F.collect_list(F.struct((-F.col("i")).alias("k"), "ret")))
     vectors = rows.groupBy("coin").agg(
         F.transform(by_time, lambda p: F.coalesce(p["ret"], F.lit(float("nan")))).alias("ret")
     )
+    vectors = durable(vectors)
+    blocks = max(1, -(-vectors.count() // block_coins))
     home = vectors.withColumn("_b", F.pmod(F.xxhash64("coin"), F.lit(blocks)).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = home.select(F.col("_b").alias("bi"), others.alias("bj"), F.lit(0).alias("side"), "coin", "ret")
@@ -316,16 +329,20 @@ def session_change(candles: DataFrame) -> DataFrame:
 
 
 def carpet(candles: DataFrame, contexts: DataFrame, window: int, group_label: str) -> DataFrame:
-    """One row per coin with all readings, its sentence, and why it could not be placed."""
-    g = grid(candles, window)
+    """One row per name of ``contexts`` with all readings, its sentence, and why it could not be placed.
+
+    A name without candles keeps its row. The grid is cut to the bars that readings take and kept
+    once; each reading is a narrow aggregate over it.
+    """
+    g = durable(grid(candles, window).where(F.col("i") < bars_needed(window) + 1))
     rot = rotation(g, window).select("coin", "ratio", "momentum", "quadrant", "tail")
     w = web(g, window).select("coin", F.col("z").alias("web_z"), "beta", F.col("label").alias("web_label"))
     st = strings(g, window).select(
         "coin", F.col("score").alias("strings_score"), F.col("label").alias("strings_label"), "strung", "partner"
     )
     liq = liquidity(g, window).select("coin", F.col("rel").alias("liquidity_rel"), F.col("label").alias("liquidity_label"))
-    out = session_change(candles)
-    for part in (contexts.select("coin", F.col("day_ntl_vlm").alias("money_usd")), rot, w, st, liq):
+    out = contexts.select("coin", F.col("day_ntl_vlm").alias("money_usd"))
+    for part in (session_change(candles), rot, w, st, liq):
         out = out.join(part, "coin", "left")
     loud = F.when(F.col("liquidity_label") != "normal", F.concat("liquidity_label", F.lit(" liquidity")))
     lead = F.concat(F.upper("web_label"), F.lit(f" to {group_label}"))

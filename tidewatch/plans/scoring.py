@@ -11,18 +11,17 @@ from tidewatch.operators import filters, keys, pillars, social
 from tidewatch.operators.ordered import row_numbers
 from tidewatch.operators.outcomes import window_closed
 
-# Reuse age of a safety verdict, scored tokens per run, and the no-edge line.
+# Reuse age of a safety verdict and the no-edge line.
 SAFETY_MAX_AGE_MS = 6 * 60 * 60 * 1000
-SCORE_WINDOW = 200
 NO_EDGE_BELOW = 55.0
 TOKEN = ["chain", "contract"]
 # What a re-score may differ in and still be the same score.
 IDENTITY = ("score_id", "run_id", "scored_at_ms", "rank")
 
 
-def newest(snapshots: DataFrame, limit: int) -> DataFrame:
-    """The most recently triggered snapshots: a top-k, never a full sort."""
-    return snapshots.orderBy(F.desc("ts"), "snapshot_id").limit(limit)
+def newest(snapshots: DataFrame, limit: int | None) -> DataFrame:
+    """The most recently triggered snapshots, all with ``None``: a top-k, never a full sort."""
+    return snapshots if limit is None else snapshots.orderBy(F.desc("ts"), "snapshot_id").limit(limit)
 
 
 def completeness(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -102,11 +101,11 @@ def run(
     social_rows: DataFrame,
     safety_rows: DataFrame,
     as_of_ms: int,
-    limit: int = SCORE_WINDOW,
+    limit: int | None,
     regime: str | None = None,
     registry=chains.REGISTRY,
 ) -> DataFrame:
-    """Score the newest ``limit`` snapshots with social counts folded in and safety reused."""
+    """Score the newest ``limit`` snapshots (all with ``None``) with social counts folded in and safety reused."""
     candidates = social.fold_into(newest(snapshots, limit), social_rows)
     latest = keys.latest(safety_rows, TOKEN, ["collected_at_ms", "source"])
     return score_rows(candidates, latest, as_of_ms, regime, registry=registry)
@@ -157,9 +156,9 @@ def batch_verdict(rows: DataFrame) -> DataFrame:
 
 
 def current_board(
-    snapshots: DataFrame, scores: DataFrame, limit: int, rank_since_ms: int
+    snapshots: DataFrame, scores: DataFrame, limit: int | None, rank_since_ms: int
 ) -> DataFrame:
-    """Newest score of each of the newest tokens, one scoring version only, ranked.
+    """Newest score of each of the ``limit`` newest tokens (all with ``None``), one scoring version only, ranked.
 
     Rows scored under an older prompt or weights version than the newest row are dropped; only
     survivors triggered inside the open window hold a rank.

@@ -195,9 +195,9 @@ def with_discovery(token_rows: DataFrame, found: DataFrame, how: str = "left") -
     )
 
 
-def capped(found: DataFrame, limit: int = 120) -> DataFrame:
-    """The first candidates in key order, so the cap prefers no loud token."""
-    return found.orderBy("chain", "contract").limit(limit)
+def capped(found: DataFrame, limit: int | None) -> DataFrame:
+    """The first candidates in key order, so the cap prefers no loud token; all with ``None``."""
+    return found if limit is None else found.orderBy("chain", "contract").limit(limit)
 
 
 def address_key(c: Column | str) -> Column:
