@@ -1,7 +1,10 @@
 """Streams leave the same tables however they are batched, and re-running adds nothing."""
 
+from pyspark.sql import functions as F
+
 from tidewatch.catalog import flow
 from tidewatch.catalog import inputs as I
+from tidewatch.operators import keys
 from tidewatch.session import scratch_table
 from tidewatch.streaming import cycle, replay
 from tidewatch.streaming.tables import Tables
@@ -29,3 +32,22 @@ def test_batching_and_restarts_do_not_change_the_result(spark, sf):
     assert sum(s["fired"] for s in summary) == 0
     assert facts(spark.read.parquet(tables.path("snapshots"))) == results[0]
     assert spark.read.parquet(tables.path("trigger_events")).count() == len(results[0])
+
+
+def test_labels_do_not_depend_on_batching_and_a_batch_reads_its_own_dates(spark, sf):
+    path, newest = flow.poll_files(spark, sf), []
+    for files in (1, 7):
+        tables = Tables(spark, scratch_table(spark, "t"))
+        mark = scratch_table(spark, "s")
+        replay.drain(replay.polls(spark, f"{path}/*", files), mark, cycle.on_batch(tables, "replay"))
+        # A restart with the same checkpoint has nothing left to do.
+        replay.drain(replay.polls(spark, f"{path}/*", files), mark, cycle.on_batch(tables, "replay"))
+        rows = keys.latest(spark.read.parquet(tables.path("labels")), ["snapshot_id"], ["filled_at_ms", "label_id"])
+        newest.append(sorted(map(tuple, rows.select("snapshot_id", "max_multiple_1h", "max_multiple_24h", "survived_24h").collect()), key=str))
+    assert newest[0] == newest[1] and newest[0]
+    stored = spark.read.parquet(tables.path("outcome_observations"))
+    days = [r[0] for r in stored.select("observed_date").distinct().orderBy("observed_date").collect()]
+    one = stored.where(F.col("observed_date").isin(days[:1]))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert len(days) > 1 and "PartitionFilters: [observed_date" in plan.replace("isnotnull(observed_date", "observed_date")
+    assert len(one.inputFiles()) <= len(stored.inputFiles())

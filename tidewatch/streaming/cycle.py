@@ -32,15 +32,18 @@ def fire(tables: Tables, batch: DataFrame, source: str) -> dict[str, int]:
     return {"observed": batch.count(), "fired": written, "already_triggered": snapshots.count() - written}
 
 
-def track(tables: Tables, batch: DataFrame) -> int:
-    """Append this batch's observations of tokens that have a snapshot."""
+def observed(rows: DataFrame) -> DataFrame:
+    """Outcome observations as stored: with the UTC date that partitions them."""
+    day = F.to_date(F.timestamp_millis("observed_at_ms"))
+    return rows.select("snapshot_id", *TOKEN, "observed_at_ms", "pos", "mcap_usd", "holder_count", day.alias("observed_date"))
+
+
+def track(tables: Tables, batch: DataFrame) -> DataFrame:
+    """Append this batch's observations of tokens that have a snapshot; returns them."""
     known = tables.read("snapshots", _snapshot_like(batch)).select("snapshot_id", *TOKEN, F.col("ts").alias("_ts"))
-    rows = (
-        batch.join(known, TOKEN)
-        .where("observed_at_ms >= _ts")
-        .select("snapshot_id", *TOKEN, "observed_at_ms", "pos", "mcap_usd", "holder_count")
-    )
-    return tables.append_new("outcome_observations", rows, ["snapshot_id", "pos"])
+    rows = durable(observed(batch.join(known, TOKEN).where("observed_at_ms >= _ts")))
+    tables.append_new("outcome_observations", rows, ["snapshot_id", "pos"], within="observed_date")
+    return rows
 
 
 def _snapshot_like(batch: DataFrame) -> DataFrame:
@@ -49,33 +52,65 @@ def _snapshot_like(batch: DataFrame) -> DataFrame:
     return board.snapshot_rows(blank, "", keep=CARRIED)
 
 
-def refresh_labels(tables: Tables, batch: DataFrame, as_of_ms: int) -> int:
-    """Recompute labels as of a time and append those that changed."""
-    snaps = tables.read("snapshots", _snapshot_like(batch))
-    obs = batch.select(F.lit("").alias("snapshot_id"), *TOKEN, "observed_at_ms", "pos", "mcap_usd", "holder_count")
-    path = tables.read("outcome_observations", obs)
+def touched(snapshots: DataFrame, tracked: DataFrame, since_ms: int, as_of_ms: int) -> DataFrame:
+    """Snapshots whose labels may have changed: observed in this batch inside the window, or with a
+    horizon that closed after ``since_ms`` and by ``as_of_ms``."""
+    closing = F.lit(False)
+    for minutes in outcomes.HORIZONS.values():
+        closes = F.col("ts") + minutes * 60_000
+        closing = closing | ((closes > since_ms) & (closes <= as_of_ms))
+    seen = tracked.groupBy("snapshot_id").agg(F.min("observed_at_ms").alias("_seen"))
+    met = snapshots.join(seen, "snapshot_id", "left")
+    inside = F.col("_seen") <= F.col("ts") + outcomes.WINDOW_MINUTES * 60_000
+    return met.where(closing | F.coalesce(inside, F.lit(False))).drop("_seen")
+
+
+def refresh_labels(tables: Tables, batch: DataFrame, tracked: DataFrame, since_ms: int, as_of_ms: int) -> int:
+    """Recompute the labels that this batch may change, as of a time, and append those that did.
+
+    Only the dates from the oldest such snapshot to the end of the newest one's window are read.
+    """
+    snaps = durable(touched(tables.read("snapshots", _snapshot_like(batch)), tracked, since_ms, as_of_ms))
+    span = snaps.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    if span["lo"] is None:
+        return 0
+    day = [F.to_date(F.timestamp_millis(F.lit(t))) for t in (span["lo"], span["hi"] + outcomes.WINDOW_MINUTES * 60_000)]
+    path = tables.read("outcome_observations", tracked).where(F.col("observed_date").between(*day))
     fresh = outcomes.labels(snaps, path, as_of_ms)
     stamped = fresh.select(
         F.concat(F.lit(f"l-{as_of_ms}-"), "snapshot_id").alias("label_id"),
         F.lit(as_of_ms).cast("bigint").alias("filled_at_ms"),
         "*",
     )
-    changed = outcomes.refresh(stamped, tables.read("labels", stamped))
-    return tables.append_new("labels", changed, ["label_id"])
+    # No label is older than its snapshot, so file statistics leave out older files.
+    stored = tables.read("labels", stamped).where(F.col("filled_at_ms") >= span["lo"])
+    changed = outcomes.refresh(stamped, stored.join(snaps.select("snapshot_id"), "snapshot_id", "left_semi"))
+    return tables.append_new("labels", changed, ["label_id"], only=F.col("filled_at_ms") == as_of_ms)
+
+
+def last_label_time(tables: Tables) -> int:
+    """The newest as-of time that labels were written for; before all times if there is none."""
+    if not tables.exists("labels"):
+        return -(1 << 62)
+    newest = tables.spark.read.parquet(tables.path("labels")).agg(F.max("filled_at_ms")).first()[0]
+    return -(1 << 62) if newest is None else newest
 
 
 def on_batch(tables: Tables, source: str, summary: list[dict] | None = None, label: bool = True):
-    """The foreachBatch handler of a full cycle."""
+    """The foreachBatch handler of a full cycle. Label times never step back, also after a restart."""
+    labelled: list[int] = []
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = durable(batch)
         if batch.isEmpty():
             return
         counts = fire(tables, batch, source)
-        counts["tracked"] = track(tables, batch)
+        tracked = track(tables, batch)
         if label:
-            as_of = batch.agg(F.max("observed_at_ms")).first()[0]
-            counts["labels"] = refresh_labels(tables, batch, as_of)
+            since = labelled[-1] if labelled else last_label_time(tables)
+            as_of = max(since, batch.agg(F.max("observed_at_ms")).first()[0])
+            counts["labels"] = refresh_labels(tables, batch, tracked, since, as_of)
+            labelled.append(as_of)
         if summary is not None:
             summary.append({"batch_id": batch_id, **counts})
 
