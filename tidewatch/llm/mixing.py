@@ -105,11 +105,12 @@ def schedule(scale: DataFrame, passes: int = PASSES) -> DataFrame:
     ).where(F.col("_pass") < passes)
 
 
-def pieces(sizes: DataFrame, scale: DataFrame, seed: int = 1) -> DataFrame:
-    """The shuffled documents of each source cut at block borders: _rid, _sid, _no, _words."""
+def pieces(sizes: DataFrame, scale: DataFrame) -> DataFrame:
+    """The documents of each source, shuffled by the MD5 of their doc_id and cut at block borders:
+    _rid, _sid, _no, _words."""
     own = scale.select("_source", "_sid", "_block").withColumnRenamed("_source", "_of")
     rows = sizes.where("size > 0").join(own, F.col("_source").eqNullSafe(F.col("_of")))
-    rows = rows.select("_rid", "_sid", "_block", "size", F.xxhash64("doc_id", F.lit(seed)).alias("_mixed"))
+    rows = rows.select("_rid", "_sid", "_block", "size", F.md5(F.col("doc_id").cast("string")).alias("_mixed"))
     placed = prefix_sums(rows, ["_sid"], [F.col("_mixed"), F.col("_rid")], {"_end": "size"})
     start = F.col("_end") - F.col("size")
     spread = placed.withColumn("_start", start).withColumn(

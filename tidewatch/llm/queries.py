@@ -116,7 +116,59 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
-@register("op6_mix_sources")
+OP6_SQL = rf"""
+WITH RECURSIVE sizes AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+),
+sources AS (
+  SELECT *, [5, 2, 1][(sid - 1) % 3 + 1] AS weight FROM (
+    SELECT source, sum(size)::BIGINT AS s, row_number() OVER (ORDER BY source IS NULL, source) AS sid FROM sizes GROUP BY source
+  )
+),
+levels AS (
+  SELECT 0 AS step, sum(s)::DOUBLE / sum(weight) AS level FROM sources
+  UNION ALL
+  SELECT step + 1, (all_s - stopped_s)::DOUBLE / (all_w - stopped_w) FROM (
+    SELECT step, sum(s) AS all_s, sum(weight) AS all_w, sum(CASE WHEN 3 * s <= level * weight THEN 3 * s ELSE 0 END) AS stopped_s,
+           sum(CASE WHEN 3 * s <= level * weight THEN weight ELSE 0 END) AS stopped_w
+    FROM levels CROSS JOIN sources GROUP BY step
+  ) WHERE all_w > stopped_w AND step <= (SELECT count(*) FROM sources)
+),
+scale AS (
+  SELECT *, sum(share) OVER (ORDER BY sid)::BIGINT AS upto FROM (
+    SELECT *, CASE WHEN s > 0 THEN round(target / s * blocks * 1048576)::BIGINT ELSE 0 END AS share FROM (
+      SELECT *, ceil(s / b)::BIGINT AS blocks FROM (
+        SELECT *, least((3 * s)::DOUBLE, (SELECT arg_max(level, step) FROM levels) * weight) AS target,
+               greatest(1, least({mixing.BLOCK}, ceil(s / {mixing.LEAST_BLOCKS})))::BIGINT AS b FROM sources
+      )
+    )
+  )
+),
+points AS (
+  SELECT slot, floor(((slot % 1048576) * {mixing._GOLDEN!r}::DOUBLE
+    + ((slot // 1048576) * {(mixing._UNIT * mixing._GOLDEN) % 1.0!r}::DOUBLE) % 1.0::DOUBLE) % 1.0::DOUBLE * whole)::BIGINT AS place
+  FROM (SELECT max(upto) AS whole FROM scale), unnest(generate_series(0, (whole + 1048575) // 1048576 - 1)) AS t(slot)
+),
+slots AS (
+  SELECT sid, blocks, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS nth
+  FROM points JOIN scale ON place >= upto - share AND place < upto
+),
+times AS (SELECT sid, nth % blocks AS no, count(*) AS n FROM slots WHERE nth // blocks < 3 GROUP BY ALL),
+placed AS (
+  SELECT doc_id, sid, b, size, sum(size) OVER (PARTITION BY sid ORDER BY md5(doc_id::VARCHAR), doc_id)::BIGINT AS e
+  FROM sizes JOIN scale ON sizes.source IS NOT DISTINCT FROM scale.source WHERE size > 0
+),
+pieces AS (
+  SELECT doc_id, sid, no, least(e, (no + 1) * b) - greatest(e - size, no * b) AS words
+  FROM placed, unnest(generate_series((e - size) // b, (e - 1) // b)) AS t(no)
+),
+taken AS (SELECT doc_id, sum(words * n)::BIGINT AS taken FROM pieces JOIN times USING (sid, no) GROUP BY doc_id)
+SELECT sizes.doc_id, size, s AS source_size, target, coalesce(taken.taken, 0)::BIGINT AS taken
+FROM sizes JOIN scale ON sizes.source IS NOT DISTINCT FROM scale.source LEFT JOIN taken USING (doc_id)
+"""
+
+
+@register("op6_mix_sources", OP6_SQL)
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir)).drop("_rid")
 
