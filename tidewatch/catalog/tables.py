@@ -179,7 +179,22 @@ def u01(spark, d):
     return keys.first_wins(e, "pos", [["pos"], ["chain", "contract"]], ["contract"])
 
 
-@register("u01_first_wins_two_groups")
+define(
+    "claim_",
+    """SELECT pos, pos * 7 % 1009 AS row_key, chain, CASE WHEN pos % 19 <> 0 THEN contract END AS contract, row_number() OVER (ORDER BY pos) AS k FROM ev_""",
+)
+define(
+    "claimed_",
+    """WITH RECURSIVE w AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS held_rows, []::VARCHAR[] AS held_tokens, false AS won
+  UNION ALL SELECT k, CASE WHEN won THEN list_append(held_rows, row_key) ELSE held_rows END,
+    CASE WHEN won AND token IS NOT NULL THEN list_append(held_tokens, token) ELSE held_tokens END, won
+  FROM (SELECT c.k, held_rows, held_tokens, row_key, chain || '/' || contract AS token, NOT list_contains(held_rows, row_key)
+    AND (contract IS NULL OR NOT list_contains(held_tokens, chain || '/' || contract)) AS won FROM w JOIN claim_ c ON c.k = w.k + 1))
+  SELECT k FROM w WHERE won""",
+)
+
+
+@register("u01_first_wins_two_groups", "SELECT pos, row_key, chain, contract FROM claim_ JOIN claimed_ USING (k)")
 def u01_two(spark, d):
     e = I.events(spark, d).select(
         "pos",

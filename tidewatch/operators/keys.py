@@ -116,10 +116,12 @@ def first_wins(
 
     if existing is not None:
         open_rows = unclaimed(open_rows, existing)
-    open_rows = durable(open_rows.select(*new.columns))
+    # Rounds carry only the order and the keys; whole rows are fetched once at the end.
+    names = [order, *sorted({c for g in groups for c in g} - {order})]
+    open_rows = durable(open_rows.select(*names))
     accepted = None
     while not open_rows.isEmpty():
-        leading = open_rows.select(order, *sorted({c for g in groups for c in g}))
+        leading = open_rows
         for i, g in enumerate(groups):
             head = leading.where(complete(g)).groupBy(*g).agg(F.min(order).alias(f"_head{i}"))
             leading = leading.join(head, g, "left")
@@ -130,8 +132,10 @@ def first_wins(
                 for i in range(len(groups))
             ],
         )
-        won = durable(open_rows.join(leading.where(winners).select(order), order, "left_semi"))
+        won = durable(leading.where(winners).select(*names))
         accepted = won if accepted is None else accepted.unionByName(won)
         left = open_rows.join(won.select(order), order, "left_anti")
-        open_rows = durable(unclaimed(left, won).select(*new.columns))
-    return accepted if accepted is not None else open_rows
+        open_rows = durable(unclaimed(left, won).select(*names))
+    if accepted is None:
+        return new.where(F.lit(False))
+    return new.join(accepted.select(order), order, "left_semi").select(*new.columns)
