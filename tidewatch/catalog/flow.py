@@ -82,29 +82,27 @@ def s05(spark, d):
 
 @register(
     "s02_append_by_day",
-    "SELECT strftime(make_timestamp(ts * 1000), '%Y-%m-%d') < '2024-01-10' AS early, count(*) AS n FROM outobs_ GROUP BY 1",
+    "SELECT *, CASE WHEN ts < 1704844800000 THEN '2024-01-10' ELSE '2024-01-11' END AS day FROM outobs_",
 )
 def s02(spark, d):
+    """Two days appended, the second in small files, read back as the journal they are."""
     path = scratch_table(spark, "append")
     rows = observations(spark, d)
     cut = 1704844800000
-    journal.append(rows.where(F.col("ts") < cut), path, "2024-01-10")
-    journal.append(rows.where(F.col("ts") >= cut), path, "2024-01-11", 5000)
-    stored = spark.read.parquet(path)
-    return stored.groupBy((F.col("append_day").cast("string") == "2024-01-10").alias("early")).agg(F.count("*").alias("n"))
+    journal.append(rows.where(F.col("ts") < cut), "outcome_observations", path, "2024-01-10")
+    journal.append(rows.where(F.col("ts") >= cut), "outcome_observations", path, "2024-01-11", 5000)
+    return journal.read(spark, "outcome_observations", path).select(*COLS, F.col("_at.day").alias("day"))
 
 
-@register(
-    "s11_push_twice",
-    "SELECT count(*) AS n, count(DISTINCT observation_id) AS ids FROM outobs_",
-)
+@register("s11_push_twice", "SELECT * FROM outobs_")
 def s11(spark, d):
+    """Pushed in part, then whole, then again, and restored: every row once."""
     path = scratch_table(spark, "push")
     rows = observations(spark, d)
-    journal.sync(rows.where(F.col("ts") < LATE), path, "observation_id", "2024-01-10")
-    journal.sync(rows, path, "observation_id", "2024-01-11")
-    journal.sync(rows, path, "observation_id", "2024-01-12")
-    return spark.read.parquet(path).agg(F.count("*").alias("n"), F.countDistinct("observation_id").alias("ids"))
+    journal.sync(rows.where(F.col("ts") < LATE), "outcome_observations", path, "2024-01-10")
+    journal.sync(rows, "outcome_observations", path, "2024-01-11")
+    journal.sync(rows, "outcome_observations", path, "2024-01-11")
+    return journal.restore(spark, "outcome_observations", path).select(*COLS)
 
 
 @register(

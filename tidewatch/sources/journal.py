@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 from tidewatch.operators import keys
 from tidewatch.schema import TABLES
 
-# Shard names are <table>/<day>[.<rollover>].jsonl after one older <table>.jsonl.
-SHARD = r"/(\d{4}-\d{2}-\d{2})(?:\.(\d+))?\.jsonl$"
+# Shard names are <table>/<day>[.<rollover>].jsonl after one older <table>.jsonl. A shard
+# is a file, or a folder of part files where a Spark job wrote it.
+SHARD = r"/(\d{4}-\d{2}-\d{2})(?:\.(\d+))?\.jsonl(?:/part-[^/]*)?$"
 ROWS_PER_FILE = 500_000
 
 
@@ -60,6 +61,7 @@ def read(spark: SparkSession, table: str, directory: str) -> DataFrame:
         spark.read.schema(text)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_bad")
+        .option("recursiveFileLookup", "true")
         .json(paths)
         .withColumns(
             {
@@ -95,24 +97,29 @@ def restore(spark: SparkSession, table: str, directory: str, existing: DataFrame
     return keys.first_wins(rows, "_at", groups, [spec.key], existing).drop("_at")
 
 
-def append(df: DataFrame, path: str, day: str, rows_per_file: int = ROWS_PER_FILE) -> None:
-    """Append rows under today's day, in files of bounded size. Nothing is rewritten."""
-    (
-        df.withColumn("append_day", F.lit(day))
-        .write.mode("append")
-        .option("maxRecordsPerFile", rows_per_file)
-        .partitionBy("append_day")
-        .parquet(path)
-    )
+def _next_shard(spark: SparkSession, table: str, directory: str, day: str) -> str:
+    """The first shard name of a day that no file or folder has."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{directory}/{table}")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = {s.getPath().getName() for s in fs.listStatus(folder)} if fs.exists(folder) else set()
+    tried = [f"{day}.jsonl", *(f"{day}.{k}.jsonl" for k in range(1, len(names) + 1))]
+    return f"{directory}/{table}/{next(n for n in tried if n not in names)}"
+
+
+def append(df: DataFrame, table: str, directory: str, day: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Append rows to a table's journal as the next shard of a day, in files of bounded size.
+
+    Nothing is rewritten, and a shard appears whole: ``read`` sees it once the job has committed.
+    """
+    doc = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")
+    shard = _next_shard(df.sparkSession, table, directory, day)
+    df.select(doc).write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file).text(shard)
 
 
-def sync(new: DataFrame, path: str, key: str, day: str) -> None:
-    """Append the rows whose key the stored table lacks; a second run appends nothing."""
-    spark = new.sparkSession
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    stored = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    fresh = keys.append_new(new, spark.read.parquet(path), [key]) if stored else new
-    append(fresh, path, day)
+def sync(new: DataFrame, table: str, directory: str, day: str) -> None:
+    """Append the rows whose key the journal lacks; a second run appends nothing."""
+    key = TABLES[table].key
+    append(keys.append_new(new, read(new.sparkSession, table, directory), [key]), table, directory, day)
 
 
 def bulk_load(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
