@@ -51,3 +51,14 @@ def test_labels_do_not_depend_on_batching_and_a_batch_reads_its_own_dates(spark,
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert len(days) > 1 and "PartitionFilters: [observed_date" in plan.replace("isnotnull(observed_date", "observed_date")
     assert len(one.inputFiles()) <= len(stored.inputFiles())
+
+
+def test_an_unreadable_poll_is_an_empty_poll(spark, tmp_path):
+    good = '{"poll_id": 1, "pos": %d, "chain": "c0", "contract": "t%d", "observed_at_ms": 1704067200000, "mcap_usd": 300000.0}'
+    (tmp_path / "a.json").write_text(good % (1, 1) + "\n")
+    (tmp_path / "b.json.gz").write_bytes(b"\x1f\x8b\x08\x00 cut short")
+    (tmp_path / "c.json").write_text(good % (2, 2) + "\n{broken\n")
+    tables = Tables(spark, scratch_table(spark, "t"))
+    summary = []
+    replay.drain(replay.polls(spark, str(tmp_path)), scratch_table(spark, "s"), cycle.on_batch(tables, "replay", summary, False))
+    assert sum(s["observed"] for s in summary) == 2 and sum(s["fired"] for s in summary) == 2

@@ -15,7 +15,8 @@ DECIMAL = ("mcap_usd", "volume_24h_usd", "boost_total")
 
 
 def polls(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """Observations of recorded polls; malformed lines are left out, unknown keys dropped.
+    """Observations of recorded polls; malformed lines are left out, unknown keys dropped, and a file
+    that cannot be read is an empty poll.
 
     One poll must land in one file: the file, never the micro-batch, is the unit of a universe.
     """
@@ -24,6 +25,8 @@ def polls(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFra
         spark.readStream.schema(f"{text}, _bad string")
         .option("maxFilesPerTrigger", files_per_trigger)
         .option("columnNameOfCorruptRecord", "_bad")
+        .option("ignoreCorruptFiles", "true")
+        .option("ignoreMissingFiles", "true")
         .json(path)
     )
     typed = {
