@@ -101,6 +101,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 def test_page_text_is_the_article():
     assert pages.main_text(PAGE) == "The Head\nFirst & bold text, next line of the piece.\nShort.\nA quoted line!"
+    cut = '<article><p>One long sentence that says enough to stand.</p><p title="a>b" x"y>Two, with odd quotes in it.</p'
+    assert pages.main_text(cut) == "One long sentence that says enough to stand.\nTwo, with odd quotes in it."
     assert pages.main_text(None) == pages.main_text("") == pages.main_text("<p></p>") == ""
 
 

@@ -46,7 +46,14 @@ CLOSED_BY = {
 }
 #: Elements beyond which a start tag closes nothing.
 FENCES = set("ul ol dl table body html div section article main td th button".split())
-_TAG = re.compile(r"<!--(?:>|->|.*?--!?>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+#: A comment, a tag, another declaration, or what the end of the page cuts off.
+_TAG = re.compile(
+    r"""<!--(?:>|->|.*?--!?>|.*\Z)
+    |<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>
+    |<[!?/][^>]*>
+    |<[a-zA-Z/!?][^>]*+\Z""",
+    re.S | re.X,
+)
 _NAMES = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _RIGHTS = re.compile(r"©|\(c\)\s*\d{4}|\ball rights reserved\b|\bcookies?\b.*\baccept\b", re.I)
