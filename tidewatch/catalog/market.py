@@ -252,22 +252,37 @@ def k06(spark, d):
     return rotation.session_change(bars(spark, d)).withColumn("session_pct", F.round("session_pct", DIG))
 
 
-define("money_", "SELECT coin, sum(v) FILTER (t >= 1706486400000) AS day_ntl_vlm FROM candle_ GROUP BY 1")
+# Every coin has a context; one listed name has no candles.
+define(
+    "money_",
+    """SELECT coin, sum(v) FILTER (t >= 1706486400000) AS day_ntl_vlm, arg_max(c, t) AS mark_px, count(*) AS open_interest FROM candle_ GROUP BY 1
+  UNION ALL SELECT 'unlisted', 5.0::DOUBLE, 2.0::DOUBLE, 10""",
+)
 
 
 def contexts(spark, d):
-    return I.candles(spark, d).groupBy("coin").agg(
-        F.sum(F.when(F.col("t") >= 1706486400000, F.col("v"))).alias("day_ntl_vlm")
+    per = I.candles(spark, d).groupBy("coin").agg(
+        F.sum(F.when(F.col("t") >= 1706486400000, F.col("v"))).alias("day_ntl_vlm"),
+        F.max_by("c", "t").alias("mark_px"),
+        F.count("*").cast("double").alias("open_interest"),
+    )
+    unlisted = spark.range(1).select(
+        F.lit("unlisted").alias("coin"), F.lit(5.0).alias("day_ntl_vlm"), F.lit(2.0).alias("mark_px"), F.lit(10.0).alias("open_interest")
+    )
+    return per.unionByName(unlisted).withColumns(
+        {"funding": F.lit(0.00125), "impact_bid": F.col("mark_px") - 0.25, "impact_ask": F.col("mark_px") + 0.25}
     )
 
 
 _PHRASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rotation.PHRASES.items())
 define(
     "carpet_",
-    f"""SELECT s.coin, s.price, s.session_pct, m.day_ntl_vlm AS money_usd, r.ratio, r.momentum, r.quadrant, w.z AS web_z, w.label AS web_label,
+    f"""SELECT m.coin, s.price, s.session_pct, m.day_ntl_vlm AS money_usd, round(m.open_interest * m.mark_px, 2) AS oi_usd, 0.00125::DOUBLE AS funding_hourly,
+  round(((m.mark_px + 0.25) - (m.mark_px - 0.25)) / m.mark_px * 10000, 2) AS impact_bps,
+  CASE WHEN s.coin IS NULL THEN 'no candles returned' WHEN r.quadrant IS NULL THEN 'not enough bars in the window to place it' END AS unread_reason, r.ratio, r.momentum, r.quadrant, w.z AS web_z, w.label AS web_label,
   q.label AS liquidity_label, CASE WHEN r.quadrant IS NOT NULL AND w.label IS NOT NULL THEN concat_ws(' · ', upper(w.label) || ' to Group',
     CASE WHEN q.label <> 'normal' THEN q.label || ' liquidity' END, r.quadrant) || ' — ' || CASE w.label || ' ' || r.quadrant {_PHRASE} END END AS reading
-  FROM sess_ s LEFT JOIN money_ m USING (coin) LEFT JOIN rot_ r USING (coin) LEFT JOIN webl_ w USING (coin) LEFT JOIN liql_ q USING (coin)""",
+  FROM money_ m LEFT JOIN sess_ s USING (coin) LEFT JOIN rot_ r USING (coin) LEFT JOIN webl_ w USING (coin) LEFT JOIN liql_ q USING (coin)""",
 )
 
 
@@ -277,13 +292,13 @@ def carpet(spark, d):
 
 @register(
     "k07_carpet",
-    f"""SELECT coin, price, session_pct, money_usd, round(ratio, {DIG}) AS ratio, quadrant, round(web_z, {DIG}) AS web_z, web_label, liquidity_label, reading,
-    CASE WHEN quadrant IS NULL THEN 'not enough bars in the window to place it' END AS unread_reason FROM carpet_""",
+    f"""SELECT coin, price, session_pct, money_usd, oi_usd, funding_hourly, impact_bps, round(ratio, {DIG}) AS ratio, quadrant, round(web_z, {DIG}) AS web_z,
+    web_label, liquidity_label, reading, unread_reason FROM carpet_""",
 )
 def k07(spark, d):
     return carpet(spark, d).select(
-        "coin", "price", F.round("session_pct", DIG).alias("session_pct"), "money_usd", F.round("ratio", DIG).alias("ratio"),
-        "quadrant", F.round("web_z", DIG).alias("web_z"), "web_label", "liquidity_label", "reading", "unread_reason",
+        "coin", "price", F.round("session_pct", DIG).alias("session_pct"), "money_usd", "oi_usd", "funding_hourly",
+        "impact_bps", F.round("ratio", DIG).alias("ratio"), "quadrant", F.round("web_z", DIG).alias("web_z"), "web_label", "liquidity_label", "reading", "unread_reason",
     )
 
 

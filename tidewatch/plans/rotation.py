@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.chains import lookup
 from tidewatch.operators.ordered import row_numbers
 from tidewatch.session import durable
-from tidewatch.sources.candles import notional
+from tidewatch.sources.candles import impact_spread_bps, notional, open_interest_usd
 
 # Coverage and label thresholds, tail length and read-on windows.
 MIN_COVERAGE = 0.9
@@ -341,8 +341,15 @@ def carpet(candles: DataFrame, contexts: DataFrame, window: int, group_label: st
         "coin", F.col("score").alias("strings_score"), F.col("label").alias("strings_label"), "strung", "partner"
     )
     liq = liquidity(g, window).select("coin", F.col("rel").alias("liquidity_rel"), F.col("label").alias("liquidity_label"))
-    out = contexts.select("coin", F.col("day_ntl_vlm").alias("money_usd"))
-    for part in (session_change(candles), rot, w, st, liq):
+    out = contexts.select(
+        "coin",
+        F.col("day_ntl_vlm").alias("money_usd"),
+        F.round(open_interest_usd(), 2).alias("oi_usd"),
+        F.col("funding").alias("funding_hourly"),
+        F.round(impact_spread_bps(), 2).alias("impact_bps"),
+    )
+    traded = candles.select("coin").distinct().withColumn("_traded", F.lit(True))
+    for part in (traded, session_change(candles), rot, w, st, liq):
         out = out.join(part, "coin", "left")
     loud = F.when(F.col("liquidity_label") != "normal", F.concat("liquidity_label", F.lit(" liquidity")))
     lead = F.concat(F.upper("web_label"), F.lit(f" to {group_label}"))
@@ -354,8 +361,12 @@ def carpet(candles: DataFrame, contexts: DataFrame, window: int, group_label: st
             "reading", F.when(placed, F.concat(F.concat_ws(" · ", lead, loud, "quadrant"), F.lit(" — "), phrase))
         )
         .withColumn(
-            "unread_reason", F.when(F.col("quadrant").isNull(), "not enough bars in the window to place it")
+            "unread_reason",
+            F.when(F.col("_traded").isNull(), "no candles returned").when(
+                F.col("quadrant").isNull(), "not enough bars in the window to place it"
+            ),
         )
+        .drop("_traded")
     )
 
 
