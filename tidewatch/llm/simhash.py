@@ -34,10 +34,11 @@ _AT_ONCE = 1 << 14
 _SPREAD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) for k in range(64)], np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, width: int = 1) -> list[int]:
+def fingerprint(text: str | None, shingle: int = SHINGLE, width: int = 1, repeats: bool = True) -> list[int]:
     """The SimHash of a text, 64 bits a word: a bit is set if set in over half of the shingle hashes.
 
     The first word comes from XXH64 (seed 42) itself; further words mix it anew. No words: zero.
+    Without ``repeats`` each different shingle counts once, as in the similarity of sets.
     """
     words = (text or "").encode().lower().split()
     if not words:
@@ -46,10 +47,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, width: int = 1) -> lis
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[:-1].tolist()]
     last = (ends - 1)[min(shingle, size) - 1 :].tolist()
-    ones, digest, seen = np.zeros((width, 64), np.int64), xxhash.xxh64_intdigest, len(last)
+    ones, digest = np.zeros((width, 64), np.int64), xxhash.xxh64_intdigest
+    all_hashes = np.fromiter((digest(whole[s:e], 42) for s, e in zip(starts, last)), np.uint64, len(last))
+    all_hashes = all_hashes if repeats else np.unique(all_hashes)
+    seen = len(all_hashes)
     for at in range(0, seen, _AT_ONCE):
-        to = min(at + _AT_ONCE, seen)
-        hashes = np.array([digest(whole[s:e], 42) for s, e in zip(starts[at:to], last[at:to])], np.uint64)
+        hashes = all_hashes[at : at + _AT_ONCE]
         for k in range(width):
             mixed = hashes
             if k:
@@ -61,7 +64,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, width: int = 1) -> lis
     return [int.from_bytes(np.packbits(2 * o > seen).tobytes(), "big") for o in ones]
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, width: int = 1) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, text: str = "text", shingle: int = SHINGLE, width: int = 1, repeats: bool = True
+) -> DataFrame:
     """One row per row of ``docs``: _rid, doc_id, and the words f0, f1, ... as signed longs."""
     names = [f"f{k}" for k in range(width)]
     schema = ", ".join(f"{c} long" for c in ["_rid", "doc_id", *names])
@@ -69,7 +74,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, wi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [fingerprint(t.as_py(), shingle, width) for t in b.column("_text")]
+            got = [fingerprint(t.as_py(), shingle, width, repeats) for t in b.column("_text")]
             got = np.array(got, np.uint64).reshape(-1, width).view(np.int64)
             words = [pa.array(np.ascontiguousarray(got[:, k])) for k in range(width)]
             yield pa.RecordBatch.from_arrays([b.column("_rid"), b.column("doc_id"), *words], schema=kind)
@@ -297,7 +302,7 @@ def similar(
     more often; what shares a block is verified by the Hamming distance of the wide fingerprints.
     Texts without words are one group.
     """
-    rows = stored(fingerprints(docs, text, shingle, width), "fingerprints")
+    rows = stored(fingerprints(docs, text, shingle, width, repeats=False), "fingerprints")
     named = _labelled(
         rows, lambda nodes: sampled_keys(nodes, width, samples, bits), width, reach(similarity, width)
     )
