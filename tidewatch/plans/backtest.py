@@ -16,6 +16,22 @@ MIN_STRATUM_ROWS = 12
 CONTROL = "age_minutes"
 BANDS = ("<1h", "1-6h", "6-48h", ">48h")
 
+# The verdict sentences.
+SAYS = {
+    "unmeasurable": "unmeasurable",
+    "control": "control variable -- ",
+    "younger": "younger surges more",
+    "older": "older surges more",
+    "not_self": "; the strata are cut on it, so it is not checked against itself",
+    "artefact": "artefact: pinned value, and no separation inside an age band",
+    "suspect": "suspect: %.0f%% of rows share one value",
+    "none": "no separation (interval spans 0.5)",
+    "confounded": "confounded with age: separation does not survive stratification",
+    "no_split": "separates in sample only -- no out-of-sample split to confirm it",
+    "turned": "separates in sample only -- the direction learned on the earlier rows did not hold on the later ones",
+    "lead": "separates, out of sample, within age bands -- a lead, not a result",
+}
+
 
 def _share(buys: str, sells: str) -> Column:
     return div(buys, F.col(buys) + F.col(sells))
@@ -211,38 +227,37 @@ def judge(df: DataFrame) -> DataFrame:
         .withColumn("degenerate", pinned)
         .withColumn(
             "verdict",
-            F.when(F.col("auc").isNull(), "unmeasurable")
+            F.when(F.col("auc").isNull(), SAYS["unmeasurable"])
             .when(
                 F.col("is_control"),
                 F.concat(
-                    F.lit("control variable -- "),
-                    F.when(F.col("auc") < 0.5, "younger surges more").otherwise("older surges more"),
-                    F.lit("; the strata are cut on it, so it is not checked against itself"),
+                    F.lit(SAYS["control"]),
+                    F.when(F.col("auc") < 0.5, SAYS["younger"]).otherwise(SAYS["older"]),
+                    F.lit(SAYS["not_self"]),
                 ),
             )
             .when(
                 F.col("degenerate") & ~F.col("survives_strata"),
-                "artefact: pinned value, and no separation inside an age band",
+                SAYS["artefact"],
             )
             .when(
                 F.col("degenerate"),
-                F.format_string("suspect: %.0f%% of rows share one value", F.col("tie_share") * 100),
+                F.format_string(SAYS["suspect"], F.col("tie_share") * 100),
             )
-            .when(~F.col("separates"), "no separation (interval spans 0.5)")
+            .when(~F.col("separates"), SAYS["none"])
             .when(
                 ~F.col("survives_strata"),
-                "confounded with age: separation does not survive stratification",
+                SAYS["confounded"],
             )
             .when(
                 F.col("auc_out_of_sample").isNull(),
-                "separates in sample only -- no out-of-sample split to confirm it",
+                SAYS["no_split"],
             )
             .when(
                 ~F.col("holds_out_of_sample"),
-                "separates in sample only -- the direction learned on the earlier rows did not "
-                "hold on the later ones",
+                SAYS["turned"],
             )
-            .otherwise("separates, out of sample, within age bands -- a lead, not a result"),
+            .otherwise(SAYS["lead"]),
         )
         .withColumn(
             "is_lead",

@@ -27,6 +27,24 @@ LABELS = (
 BANDS = ("<500k", "500k-2m", "2m-10m", ">10m")
 EPOCHS, RATE, L2 = 400, 0.3, 0.01
 
+# The sentences of the verdict, around the figures they hold.
+WAITING = (
+    "Phase 0 has not finished collecting, so no edge can be claimed. ",
+    ". Until this is met, every score the screener emits -- whatever weights are in force -- "
+    "is a logged observation and must not be read as a prediction.",
+)
+EMPTY = (
+    "The held-out set of {n} rows contains no positive events, so nothing can be measured on it. "
+    "This usually means outcomes are clustered in time; collect a longer span before splitting again."
+)
+FLAT = ("The top decile scores ", " the base rate out of sample, so no edge has been measured.")
+EDGE = (
+    "The top decile beats the base rate by ",
+    " out of sample, on %d positive events in a test set of {n}. ",
+    "Concordance %.3f is ",
+    " the published {benchmark} benchmark.",
+)
+
 
 def base_rate_by_band(
     rows: DataFrame, label: str, threshold: float | None, mcap: str = "market_mcap_usd"
@@ -351,28 +369,16 @@ def verdict(metrics: DataFrame, gate_row: DataFrame, test_size: int) -> DataFram
     lift = F.col("lift")
     lift_text = F.when(lift.isNull(), "undefined").otherwise(F.format_string("%.2fx", lift))
     against = F.when(F.col("auc") >= stats.CONCORDANCE_BENCHMARK, "above").otherwise("below")
-    waiting = F.concat(
-        F.lit("Phase 0 has not finished collecting, so no edge can be claimed. "),
-        explain_gate(),
-        F.lit(
-            ". Until this is met, every score the screener emits -- whatever weights are in force -- "
-            "is a logged observation and must not be read as a prediction."
-        ),
-    )
-    empty = (
-        f"The held-out set of {test_size} rows contains no positive events, so nothing can be measured on it. "
-        "This usually means outcomes are clustered in time; collect a longer span before splitting again."
-    )
-    flat = F.concat(
-        F.lit("The top decile scores "), lift_text, F.lit(" the base rate out of sample, so no edge has been measured.")
-    )
+    waiting = F.concat(F.lit(WAITING[0]), explain_gate(), F.lit(WAITING[1]))
+    empty = EMPTY.format(n=test_size)
+    flat = F.concat(F.lit(FLAT[0]), lift_text, F.lit(FLAT[1]))
     edge = F.concat(
-        F.lit("The top decile beats the base rate by "),
+        F.lit(EDGE[0]),
         lift_text,
-        F.format_string(f" out of sample, on %d positive events in a test set of {test_size}. ", "positives"),
-        F.format_string("Concordance %.3f is ", "auc"),
+        F.format_string(EDGE[1].format(n=test_size), "positives"),
+        F.format_string(EDGE[2], "auc"),
         against,
-        F.lit(f" the published {stats.CONCORDANCE_BENCHMARK} benchmark."),
+        F.lit(EDGE[3].format(benchmark=stats.CONCORDANCE_BENCHMARK)),
     )
     ready, measured, some = F.col("met"), F.coalesce(lift > 1.0, F.lit(False)), F.coalesce(F.col("positives") > 0, F.lit(False))
     return joined.select(
