@@ -14,7 +14,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, brown, components, languages, licenses, mixing, naming, pages, quality, simhash, spans
+from tidewatch.llm import bpe, brown, common, components, languages, licenses, mixing, naming, pages, quality, simhash, spans
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size string, _rid string, chunk string, f0 string, n_words string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -58,6 +58,27 @@ def split(text):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
 
 
+# ---- row numbers
+
+
+def test_rows_keep_their_numbers_when_cores_come_or_go(spark, tmp_path):
+    spark.range(4000).repartition(3).write.parquet(f"{tmp_path}/t")
+    settings = ("spark.sql.files.minPartitionNum", "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes")
+    before = {s: spark.conf.get(s, None) for s in settings}
+    try:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.set("spark.sql.files.openCostInBytes", "64")
+        seen = []
+        for cores in (2, 64):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", cores)
+            rows = common.with_row_id(spark.read.parquet(f"{tmp_path}/t"))
+            seen.append({r.id: (r._rid, r.chunk) for r in rows.withColumn("chunk", common.chunk_of(rows)).collect()})
+        assert seen[0] == seen[1]
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 # ---- 1 licenses
 
 

@@ -26,8 +26,20 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
+def pin_scans(spark: SparkSession) -> None:
+    """Fix how the session cuts files into partitions, unless it is set already.
+
+    Otherwise the cut follows the cores registered when a scan is planned, and an executor that
+    comes or goes between two scans of a table changes the numbers of its rows.
+    """
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        cores = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.files.minPartitionNum", int(cores))
+
+
 def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     """Number the rows of a stored table; the same scan gives the same numbers each time it is read."""
+    pin_scans(df.sparkSession)
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
@@ -59,6 +71,7 @@ def chunk_of(rows: DataFrame, key: str = "_rid", chunk_bytes: int = 16 << 20) ->
 
     The same scan gives a row the same chunk each time it is read.
     """
+    pin_scans(rows.sparkSession)
     named = rows.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
     digits = named.rstrip("kmgt")
     read = int(digits) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[named[len(digits) :]]
