@@ -102,6 +102,35 @@ def test_licenses_are_found_twice_altered_and_far_down(spark):
     assert got[4] == (4, [("MIT", 1.0)])
 
 
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("Released under the BSD License", []),
+        ("Licensed under the EUPL license", ["EUPL-1.2"]),
+        ("It was released under the old broadcasting license", []),
+        ("Licensed under the terms of the MIT license", ["MIT"]),
+        ("Licensed under CC BY-ND 4.0", ["CC-BY-ND-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", ["CC-BY-ND-4.0"]),
+        ("This work is licensed under the GNU Lesser General Public License, version 3", ["LGPL-3.0-only"]),
+        ("This work is licensed under the GNU General Public License, version 3", ["GPL-3.0-only"]),
+        *((dict(licenses.TEMPLATES)[n], [n]) for n in ("GPL-2.0-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause")),
+        (dict(licenses.TEMPLATES)["BSD-3-Clause"].replace("copyright holder", "author"), ["BSD-3-Clause"]),
+    ],
+)
+def test_licenses_are_told_apart(text, names):
+    assert [n for n, *_ in licenses.Scanner().scan(prose(3, 40) + " " + text + " " + prose(4, 40))] == names
+
+
+def test_every_template_is_found_and_long_ones_without_their_rare_words():
+    scanner = licenses.Scanner()
+    for name, text in licenses.TEMPLATES:
+        assert [n for n, *_ in scanner.scan(text)] == [name], text
+    mit = dict(licenses.TEMPLATES[2:3])["MIT"]
+    for w in ("NONINFRINGEMENT", "MERCHANTABILITY", "documentation", "sublicense"):
+        mit = mit.replace(w, "other")
+    assert [n for n, *_ in scanner.scan(mit)] == ["MIT"]
+
+
 def test_license_scan_takes_odd_tables(odd, none):
     assert licenses.scan(odd).count() == odd.count()
     assert licenses.scan(none).count() == 0

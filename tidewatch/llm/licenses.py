@@ -15,9 +15,20 @@ from tidewatch.llm.common import arrow_schema, in_arrow, with_row_id
 
 #: Share of a template's words that must be aligned; window slack as a share of the template and in words.
 COVERAGE, SLACK, SLACK_WORDS = 0.8, 0.25, 6
-#: Words of a template whose occurrences open a window.
-KEYS = 3
+#: Words from which on a template may differ by the whole share; a shorter one by less, a notice not at all.
+WHOLE = 50
+#: Words that may come or go freely.
+FILLERS = frozenset("a an and conditions of terms the".split())
+#: Words that tell licenses apart: neither missing from a match nor added to it. Nor may a number be missing.
+MARKS = frozenset("affero lesser library nc nd noncommercial noderivatives noderivs sa sharealike".split())
 
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    "the following conditions are met: Redistributions of source code must retain the above copyright notice, "
+    "this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the "
+    "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
+    "other materials provided with the distribution."
+)
 # Public license texts and notices, by SPDX name.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -45,13 +56,36 @@ TEMPLATES = [
     ),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
-    (
-        "GPL-3.0-or-later",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
-        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
-        "GNU General Public License for more details.",
+    *(
+        (f"{short}-{v}-or-later", f"{what} is free software: you can redistribute it and/or modify it under the terms of "
+        f"the GNU {kind}General Public License as published by the Free Software Foundation, either version {v.removesuffix('.0')} of the "
+        f"License, or (at your option) any later version. {what} is distributed in the hope that it will be useful, but "
+        "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        f"See the GNU {kind}General Public License for more details.")
+        for short, kind, what, v in [
+            ("GPL", "", "This program", "3.0"), ("GPL", "", "This program", "2.0"),
+            ("LGPL", "Lesser ", "This library", "3.0"), ("LGPL", "Lesser ", "This library", "2.1"),
+            ("AGPL", "Affero ", "This program", "3.0"),
+        ]
+    ),
+    *(
+        (f"{short}-{v}-{end}", f"licensed under the GNU {kind}General Public License, version {v.removesuffix('.0')}{more}.")
+        for short, kind, v in [
+            ("GPL", "", "3.0"), ("GPL", "", "2.0"), ("LGPL", "Lesser ", "3.0"), ("LGPL", "Lesser ", "2.1"),
+            ("AGPL", "Affero ", "3.0"),
+        ]
+        for end, more in [("only", ""), ("or-later", " or any later version"), ("or-later", " or later")]
+    ),
+    ("EUPL-1.2", "Licensed under the EUPL license."),
+    ("EUPL-1.2", "Licensed under the EUPL."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    *(
+        (f"CC-BY-{short}-4.0", f"This work is licensed under a Creative Commons Attribution-{long} 4.0 International License.")
+        for short, long in [
+            ("ND", "NoDerivatives"), ("NC-SA", "NonCommercial-ShareAlike"), ("NC-ND", "NonCommercial-NoDerivatives"),
+        ]
     ),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -69,13 +103,11 @@ TEMPLATES = [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
         "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
+    ("BSD-2-Clause", _BSD),
     (
-        "BSD-2-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-        "the following conditions are met: Redistributions of source code must retain the above copyright notice, "
-        "this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the "
-        "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
-        "other materials provided with the distribution.",
+        "BSD-3-Clause",
+        _BSD + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission.",
     ),
     (
         "Unlicense",
@@ -137,54 +169,84 @@ def patience(left: list[str], right: list[str]) -> list[tuple[int, int]]:
 class Scanner:
     """Finds templates in texts: windows around a template's key words, aligned and measured.
 
-    A key is a word that few templates and rarely prose has: fewest templates, then the longest.
+    A template has one key more than it may miss words, so every match holds a key. Keys are words
+    that few templates and rarely prose has: fewest templates, then the longest.
     """
 
     def __init__(self, templates: list[tuple[str, str]] = TEMPLATES, coverage: float = COVERAGE):
-        self.coverage = coverage
         self.templates = [(name, words(text)) for name, text in templates]
         held = Counter(w for _, body in self.templates for w in set(body))
         self.keys: dict[str, list[tuple[int, int]]] = {}
+        self.costs, self.spare = [], []
         for k, (_, body) in enumerate(self.templates):
-            rare = sorted(set(body), key=lambda w: (held[w] > 4, -len(w), w))[:KEYS]
+            n = len(body)
+            self.spare.append(int((1 - coverage) * n * min(1.0, n / WHOLE) + 1e-9))
+            self.costs.append(Counter(w for w in body if w not in FILLERS))
+            rare = sorted(self.costs[k] or set(body), key=lambda w: (held[w] > 4, -len(w), w))[: self.spare[k] + 1]
             for w in rare:
                 self.keys.setdefault(w, []).extend((k, o) for o, x in enumerate(body) if x == w)
         self.probe = tuple(self.keys)
 
     def scan(self, text: str) -> list[tuple[str, int, int, float]]:
-        """(name, first word, words, coverage) of each match, by place; overlaps go to the better one."""
+        """(name, first word, words, coverage) of each match, by place; of overlaps the one with most aligned stays."""
         low = text.lower()
         if not any(p in low for p in self.probe):
             return []
         body = words(text)
-        windows: dict[int, list[tuple[int, int]]] = {}
+        windows: dict[int, set[tuple[int, int]]] = {}
         for at, w in enumerate(body):
             for k, offset in self.keys.get(w, ()):
                 size = len(self.templates[k][1])
                 slack = int(SLACK * size) + SLACK_WORDS
-                windows.setdefault(k, []).append((max(0, at - offset - slack), min(len(body), at - offset + size + slack)))
+                windows.setdefault(k, set()).add((max(0, at - offset - slack), min(len(body), at - offset + size + slack)))
         found = []
         for k, spans in windows.items():
-            name, template = self.templates[k]
-            for lo, hi in dict.fromkeys(spans):
-                pairs = patience(template, body[lo:hi])
-                share = len(pairs) / len(template)
-                if share >= self.coverage:
-                    first, last = lo + pairs[0][1], lo + pairs[-1][1]
-                    found.append((-share, -len(pairs), first, last, name))
+            for lo, hi in sorted(spans):
+                match = self._match(k, body[lo:hi]) if lo < hi else None
+                if match:
+                    share, n, first, last = match
+                    found.append((-share * n, -share, lo + first, lo + last, self.templates[k][0]))
         kept: list[tuple[int, int, str, float]] = []
-        for share, _, first, last, name in sorted(found):
+        for _, share, first, last, name in sorted(found):
             if all(last < a or first > b for a, b, _, _ in kept):
                 kept.append((first, last, name, -share))
         return [(name, a, b - a + 1, share) for a, b, name, share in sorted(kept)]
 
+    def _match(self, k: int, window: list[str]) -> tuple[float, int, int, int] | None:
+        """Coverage, aligned words, first and last place of template ``k`` in a window, if it is there.
+
+        Coverage is the aligned share of the longer of both sides, the template and the stretch.
+        """
+        template, spare, costs = self.templates[k][1], self.spare[k], self.costs[k]
+        there = Counter(w for w in window if w in costs)
+        if sum((costs - there).values()) > spare:
+            return None
+        pairs = patience(template, window)
+        # A word aligned far off at an end would stretch the match: leave it if that aligns more closely.
+        while len(pairs) > 1:
+            gaps = pairs[1][1] - pairs[0][1] - 1, pairs[-1][1] - pairs[-2][1] - 1
+            if max(gaps) == 0 or max(gaps) <= spare:
+                break
+            pairs = pairs[1:] if gaps[0] >= gaps[1] else pairs[:-1]
+        if not pairs:
+            return None
+        aligned, taken = {i for i, _ in pairs}, {j for _, j in pairs}
+        first, last = pairs[0][1], pairs[-1][1]
+        missing = [w for i, w in enumerate(template) if i not in aligned and w not in FILLERS]
+        added = [window[j] for j in range(first, last + 1) if j not in taken and window[j] not in FILLERS]
+        if max(len(missing), len(added)) > spare or any(w in MARKS or w.isdigit() for w in missing):
+            return None
+        if any(w in MARKS for w in added):
+            return None
+        return len(pairs) / max(len(template), last - first + 1), len(pairs), first, last
+
 
 def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """One row per row of ``docs``: _rid, doc_id, matches (license, start, words, coverage).
 
     Start and words count runs of letters and digits of the whole text. Null and empty texts match
     nothing; repeated rows match alike; of templates that overlap in a text the one with the larger
-    coverage stays, then the one with more words.
+    product of aligned words and coverage stays. Short notices match only whole, fillers apart.
     """
     schema = "_rid long, doc_id long, matches array<struct<license: string, start: long, words: long, coverage: double>>"
     kind = arrow_schema(schema)
