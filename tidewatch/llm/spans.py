@@ -1,12 +1,13 @@
-"""Substring duplicates by relative Lempel-Ziv factors.
+"""Substring duplicates by lookup of content-chosen blocks and of windows.
 
 The reference is every document with a smaller doc_id. Its index is made of blocks of five words at
 places that the words themselves choose (the least hash among nine neighbours), so equal passages
-have equal blocks wherever they lie. A document is factored against the index: around a block that
-the reference holds too, a factor grows over the whole neighbourhood if the reference has that
-neighbourhood, and neighbouring factors join to as long a factor as the reference allows. Where the
-block is known but not its neighbourhood, which is where factors begin and end, every window of
-thirteen words is looked up by itself. Words under factors of thirteen words or more go.
+have equal blocks wherever they lie. Around a block that the reference holds too, all words of the
+neighbourhood are covered if the reference has that neighbourhood. Where the block is known but not
+its neighbourhood, every window of thirteen words is looked up by itself. Words under any covered
+stretch go. This stands in for a greedy relative Lempel-Ziv parse: no position in the reference is
+kept and no match is extended. What is called a factor here is a union of covered stretches, and the
+words are the same, since a word goes exactly if a window over it occurs in the reference.
 
 Keys travel as packed arrays, at most two entries per key and chunk (the least and the largest
 doc_id), so a passage of a third of all documents meets as a few entries per chunk in its bucket.
