@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, brown, languages, licenses, mixing, naming, pages, quality, simhash, spans
+from tidewatch.llm import (
+    bpe,
+    brown,
+    credentials,
+    divergence,
+    languages,
+    licenses,
+    mixing,
+    naming,
+    pages,
+    quality,
+    resampling,
+    simhash,
+    spans,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -250,3 +264,215 @@ FROM words LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = spans.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+cells AS (
+  SELECT lang, source, doc, term, count(*) AS c FROM docs, unnest(w) AS t(term) GROUP BY ALL
+),
+kept AS (SELECT lang, term FROM cells GROUP BY lang, term HAVING count(*) >= 30),
+counts AS (
+  SELECT lang, source, term, sum(c)::HUGEINT AS c FROM cells SEMI JOIN kept USING (lang, term) GROUP BY ALL
+),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+sizes AS (SELECT lang, count(term) AS v FROM (SELECT DISTINCT lang FROM docs) LEFT JOIN kept USING (lang) GROUP BY lang),
+totals AS (
+  SELECT groups.lang, groups.source, coalesce(sum(c), 0)::HUGEINT + 5 * any_value(v) AS d
+  FROM groups JOIN sizes USING (lang) LEFT JOIN counts ON counts.lang = groups.lang AND counts.source = groups.source
+  GROUP BY ALL
+),
+shares AS (
+  SELECT lang, source, term, coalesce(c, 0) AS c, 1 + (1000000000 * (coalesce(c, 0) + 5)::HUGEINT) // d AS p
+  FROM totals JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)
+),
+wholes AS (
+  SELECT lang, term, 1 + (1000000000 * (sum(c) + 5)::HUGEINT) // (any_value(n) + 5 * any_value(v)) AS q
+  FROM counts JOIN (SELECT lang, sum(c)::HUGEINT AS n FROM counts GROUP BY lang) USING (lang) JOIN sizes USING (lang)
+  GROUP BY lang, term
+),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(any_value(f), 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS f
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL
+  ) s ON s.lang = a.lang AND s.source = a.source AND s.other = b.source
+  GROUP BY ALL
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares JOIN wholes USING (lang, term) WHERE c > 0 AND p > q
+)
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM found
+) WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@register("op11_source_divergence", OP11_SQL)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(documents(spark, sf_dir))
+
+
+#: The check sum of a word: its bytes are folded into a state by a table of 256 entries.
+OP12_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT i AS b, i::BIGINT AS v, 0 AS k FROM range(256) AS t(i)
+  UNION ALL
+  SELECT b, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8
+),
+crc AS (SELECT list(v ORDER BY b) AS entry FROM steps WHERE k = 8),
+docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+),
+aims AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+),
+uses AS (SELECT doc_id, word, count(*) AS n FROM docs, unnest(w) AS t(word) GROUP BY ALL),
+known AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM (SELECT word FROM uses UNION ALL SELECT word FROM aims)),
+states AS (
+  SELECT word, h, 1 AS place, 4294967295::BIGINT AS state FROM known
+  UNION ALL
+  SELECT word, h, place + 2, xor(state >> 8, entry[(xor(state & 255, ('0x' || substr(h, place, 2))::BIGINT) + 1)::INT])
+  FROM states, crc WHERE place < length(h)
+),
+buckets AS (SELECT word, xor(state, 4294967295) % 10000 AS bucket FROM states WHERE place > length(h)),
+raw AS (SELECT bucket, sum(n) AS s FROM uses JOIN buckets USING (word) GROUP BY bucket),
+aim AS (SELECT bucket, count(*) AS t FROM aims JOIN buckets USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (big_s + 10000)::DOUBLE)
+                                 / ((coalesce(s, 0) + 1)::DOUBLE * (big_t + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM raw LEFT JOIN aim USING (bucket),
+       (SELECT coalesce(sum(s), 0) AS big_s FROM raw), (SELECT count(*) AS big_t FROM aims)
+),
+weights AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM uses JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT docs.doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || docs.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+                                                     / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM docs LEFT JOIN weights USING (doc_id)
+),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
+@register("op12_importance_resampling", OP12_SQL)
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resampling.resampled(documents(spark, sf_dir), target).drop("_rid", "n_words")
+
+
+def _matches_sql(name: str, pattern: str, good: str = "true") -> str:
+    """A table of a pattern's matches: doc, kind, s (start), e (end), from the pieces between them."""
+    # Either case is spelled out: SQL's case folding would let in letters beyond ASCII.
+    quoted = pattern.replace("'", "''")
+    return f"""
+{name} AS (
+  SELECT doc, '{name}' AS kind, e - length(body) AS s, e FROM (
+    SELECT doc, m[i] AS body, sum(length(g[i]) + length(m[i])) OVER (PARTITION BY doc ORDER BY i)::BIGINT AS e
+    FROM (SELECT doc, regexp_extract_all(text, '{quoted}') AS m, regexp_split_to_array(text, '{quoted}') AS g FROM docs),
+         unnest(generate_series(1, len(m))) AS t(i)
+  ) WHERE {good}
+)"""
+
+
+def _either_case(names: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in names)
+
+
+_NAMED = r"""["']?\x20*[:=]\x20*["']?"""
+_SPANS_SQL = ",".join(
+    [
+        _matches_sql(
+            "assign",
+            f"(?:{_either_case(credentials.SECRET_NAMES)}){_NAMED}[A-Za-z0-9+/_.=-]+",
+            f"length(regexp_replace(body, '^(?:{_either_case(credentials.SECRET_NAMES)})"
+            + _NAMED.replace("'", "''")
+            + "', '')) >= 8",
+        ),
+        _matches_sql("access", "AKIA[A-Z0-9]+", "length(body) >= 16"),
+        _matches_sql("hex", "[0-9a-f]+", "length(body) >= 32"),
+        _matches_sql(
+            "logins",
+            f"(?:{_either_case(credentials.LOGIN_NAMES)}){_NAMED}[A-Za-z0-9+/_.@-]+",
+            f"length(regexp_replace(body, '^(?:{_either_case(credentials.LOGIN_NAMES)})"
+            + _NAMED.replace("'", "''")
+            + "', '')) >= 3",
+        ),
+        _matches_sql("endpoint", credentials.ENDPOINT.pattern),
+        _matches_sql(
+            "runs",
+            r"[A-Za-z0-9+/_=-]+",
+            f"length(body) BETWEEN {credentials.BARE_LEAST} AND {credentials.BARE_MOST} AND regexp_matches(body, '[0-9]')"
+            " AND regexp_matches(body, '[a-z]') AND regexp_matches(body, '[A-Z]')",
+        ),
+        _matches_sql("breaks", r"\n[\x20\x09\x0D]*\n"),
+    ]
+)
+
+
+def _near_sql(other: str) -> str:
+    """Whether a span x has a part of another table in its scope and within reach."""
+    return f"""EXISTS (SELECT 1 FROM {other} y WHERE y.doc = x.doc AND y.scope = x.scope
+      AND y.s <= x.e + {credentials.REACH} AND y.e >= x.s - {credentials.REACH})"""
+
+
+_APART = "NOT EXISTS (SELECT 1 FROM {0} y WHERE y.doc = x.doc AND y.s < x.e AND y.e > x.s)"
+
+OP13_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
+{_SPANS_SQL},
+base AS (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hex),
+login AS (SELECT doc, 'login' AS kind, s, e FROM logins x WHERE {_APART.format("base")}),
+strong AS (SELECT * FROM base UNION ALL SELECT * FROM login UNION ALL SELECT * FROM endpoint),
+parts AS (
+  SELECT *, (SELECT count(*) FROM breaks b WHERE b.doc = p.doc AND b.s < p.s) AS scope FROM (
+    SELECT * FROM strong UNION ALL SELECT doc, 'bare', s, e FROM runs x WHERE {_APART.format("strong")}
+  ) p
+),
+ids AS (SELECT * FROM parts WHERE kind = 'access'),
+names AS (SELECT * FROM parts WHERE kind = 'login'),
+places AS (SELECT * FROM parts WHERE kind = 'endpoint'),
+bare AS (
+  SELECT * FROM parts x WHERE kind = 'bare' AND ({_near_sql("ids")} OR ({_near_sql("names")} AND {_near_sql("places")}))
+),
+secrets AS (SELECT * FROM parts WHERE kind IN ('assign', 'hex') UNION ALL SELECT * FROM bare),
+reported AS (
+  SELECT * FROM secrets UNION ALL SELECT * FROM ids
+  UNION ALL SELECT * FROM parts x WHERE kind IN ('login', 'endpoint') AND {_near_sql("secrets")}
+),
+listed AS (
+  SELECT doc, kind, s, list_position(['assign', 'access', 'hex', 'login', 'endpoint', 'bare'], kind) AS k,
+         kind || ':' || s || ':' || e AS span FROM reported
+),
+found AS (
+  SELECT doc, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY s, k) FILTER (k <= 3) AS base,
+         string_agg(span, ',' ORDER BY s, k) AS spans
+  FROM listed GROUP BY doc
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN found USING (doc)
+"""
+
+
+@register("op13_secret_scan", OP13_SQL)
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.find(documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in credentials.BASE],
+        F.sha2(credentials.named(F.col("spans"), credentials.BASE), 256).alias("base_sha256"),
+        credentials.named(F.col("spans")).alias("spans"),
+    )
