@@ -454,9 +454,64 @@ def a24(spark, d):
     return chart.typical_range(cut(spark, d)).withColumn("tol", F.round("tol", DIG))
 
 
-@register("k10_boxes")
+def zone_sql(bars: str, marks: str, tol: str) -> str:
+    """Zones by a recursive walk over each coin's closed bars, the standing ones carried as a list."""
+    opened = "CASE WHEN n.o IS NULL OR n.o = 0 THEN n.c ELSE n.o END"
+
+    def met(sign: str, extreme: str, zones: str) -> str:
+        """The list after one swing: the first zone it comes back to grows, else a new one is added."""
+        price = f"({sign} * n.{extreme})"
+        inner = f"greatest({sign} * {opened}, {sign} * n.c)"
+        outer = price if sign == "1" else f"greatest({price}, {inner} + n.tol / 2)"
+        inner = f"least({inner}, {price} - n.tol / 2)" if sign == "1" else inner
+        test = f"""z.sign = {sign} AND z.inn - n.tol <= {price} AND {price} <= z.outr + n.tol
+          AND greatest(z.outr, {outer}) - least(z.inn, {inner}) <= 3 * n.tol"""
+        first = f"list_min(list_transform(list_filter({zones}, lambda z: {test}), lambda z: z.start))"
+        grown = f"""list_transform({zones}, lambda z: CASE WHEN z.sign = {sign} AND z.start = {first}
+          THEN {{'sign': z.sign, 'start': z.start, 'outr': greatest(z.outr, {outer}), 'inn': least(z.inn, {inner}), 'touches': z.touches + 1}}
+          ELSE z END)"""
+        fresh = f"{{'sign': {sign}, 'start': n.i, 'outr': {outer}, 'inn': {inner}, 'touches': 1}}"
+        return f"CASE WHEN {first} IS NULL THEN list_append({zones}, {fresh}) ELSE {grown} END"
+
+    empty = "[]::STRUCT(sign INTEGER, start BIGINT, outr DOUBLE, inn DOUBLE, touches INTEGER)[]"
+    return f"""WITH RECURSIVE n AS (
+  SELECT b.coin, b.i, b.o, b.h, b.l, b.c, tol, coalesce(high, false) AS high, coalesce(low, false) AS low,
+         row_number() OVER (PARTITION BY b.coin ORDER BY b.i) AS k
+  FROM {bars} b JOIN {tol} USING (coin) LEFT JOIN (
+    SELECT coin, i, bool_or(kind = 'high') AS high, bool_or(kind = 'low') AS low FROM {marks} WHERE kind IS NOT NULL GROUP BY coin, i
+  ) m ON m.coin = b.coin AND m.i = b.i WHERE b.c IS NOT NULL
+), fold AS (
+  SELECT coin, 0::BIGINT AS k, 0::BIGINT AS i, {empty} AS zones, {empty} AS gone FROM (SELECT DISTINCT coin FROM n)
+  UNION ALL
+  SELECT coin, k, i, CASE WHEN low THEN {met("-1", "l", "highs")} ELSE highs END, gone FROM (
+    SELECT n.*, gone, CASE WHEN high THEN {met("1", "h", "kept")} ELSE kept END AS highs FROM (
+      SELECT n.*, list_filter(f.zones, lambda z: z.sign * n.c <= z.outr) AS kept, list_filter(f.zones, lambda z: z.sign * n.c > z.outr) AS gone
+      FROM fold f JOIN n ON n.coin = f.coin AND n.k = f.k + 1
+    ) n
+  ) n
+), ended AS (
+  SELECT coin, i AS "end", true AS broken, unnest(gone) AS z FROM fold
+  UNION ALL
+  SELECT coin, (SELECT max(i) FROM {bars} b WHERE b.coin = f.coin), false, unnest(zones) FROM fold f
+  WHERE k = (SELECT max(k) FROM fold g WHERE g.coin = f.coin)
+)
+SELECT coin, CASE z.sign WHEN 1 THEN 'SELL' ELSE 'BUY' END AS side, greatest(z.sign * z.outr, z.sign * z.inn) AS top,
+       least(z.sign * z.outr, z.sign * z.inn) AS bottom, z.start AS start, "end", z.touches::BIGINT AS touches,
+       CASE WHEN broken THEN 'BROKEN' WHEN z.sign = 1 THEN 'SELL' ELSE 'BUY' END AS state FROM ended WHERE z.touches >= 3"""
+
+
+define("tol_", "SELECT coin, median(h - l) FILTER (h > l) AS tol FROM cut_ GROUP BY 1")
+define("zone_", zone_sql("cut_", "piv_", "tol_"))
+
+
+@register(
+    "k10_boxes",
+    f"""SELECT coin, side, round(top, {DIG}) AS top, round(bottom, {DIG}) AS bottom, start, "end", touches, state,
+    'BOX ×' || touches || ' · ' || state AS label FROM zone_""",
+)
 def k10(spark, d):
-    return chart.boxes(cut(spark, d))
+    edges = {e: F.round(e, DIG) for e in ("top", "bottom")}
+    return chart.boxes(cut(spark, d)).withColumns(edges)
 
 
 @register("k11_chart")
