@@ -94,6 +94,7 @@ def plain_divergences(data, least):
 def test_divergences_equal_a_plain_count(odd, monkeypatch, cells, left, least):
     monkeypatch.setattr(divergence, "CELLS", cells)
     monkeypatch.setattr(divergence, "LEFT", left)
+    monkeypatch.setattr(divergence, "SPREAD", 4 * left)
     got = divergence.divergences(odd, documents=least).select("lang", "source", "part", "item", "value", "rank").collect()
     assert len(got) == len({tuple(r) for r in got})
     assert {tuple(r) for r in got} == plain_divergences(rows(), least)

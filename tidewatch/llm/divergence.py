@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import arrow_schema, in_arrow, partitions, stored
+from tidewatch.llm.common import arrow_schema, in_arrow, stored
 
 #: A kept term is in so many documents of its language at least.
 DOCUMENTS = 30
@@ -21,8 +21,8 @@ EXTRA, SCALE = 5, 1_000_000_000
 TERMS = 50
 #: Cells (term, source) that a task holds before it writes its stripes out.
 CELLS = 300_000
-#: Sources on the left side of one task's table of pairs.
-LEFT = 256
+#: Sources on the left side of one task's table of pairs, and terms of a table.
+LEFT, SPREAD = 256, 20_000
 #: Fixed value: bytes of terms, upper-case ASCII letters lower-cased; all others separate.
 FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -142,8 +142,8 @@ def shares(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
 class _Language:
     """What one task adds up for one language: its table of pairs and its best terms."""
 
-    def __init__(self, name: str, size: int, sources: list[str], totals: list[int], left: int):
-        self.name, self.sources, self.size = name, sources, size
+    def __init__(self, name: str, size: int, sources: list[str], totals: list[int], left: int, first: bool):
+        self.name, self.sources, self.used = name, sources, first
         self.place = {s: k for k, s in enumerate(sources)}
         self.under = np.array(totals, np.int64) + EXTRA * size
         self.whole = np.array([sum(totals) + EXTRA * size], np.int64)
@@ -165,6 +165,7 @@ class _Language:
         """Add the held terms to the pairs and to the best terms."""
         if not self.rows:
             return
+        self.used = True
         count = np.stack(self.rows)
         p = shares(count + EXTRA, self.under)
         q = shares(count.sum(1) + EXTRA, self.whole)
@@ -177,7 +178,8 @@ class _Language:
 
     def found(self) -> Iterator[tuple]:
         self.settle()
-        for k, s in enumerate(self.left):
+        # Tasks without terms of the language have nothing to say, but for one that gives the zeros.
+        for k, s in enumerate(self.left if self.used else ()):
             for t, other in enumerate(self.sources):
                 if t != s:
                     yield self.name, self.sources[s], "pair", other.encode(), int(self.pairs[k, t])
@@ -206,8 +208,9 @@ def divergences(
     needs the memory of its different terms. Stripes of a language are spread by term; its header
     reaches each task first in the order of the rows, so nothing is broadcast.
     """
-    salts = partitions(docs.sparkSession)
     kept = stored(merged(stripes(docs, text, lang, source), documents), "stripes")
+    # Each table of pairs stands for many terms, so the tables' sums are few beside the stripes.
+    salts = -(-kept.count() // SPREAD) or 1
     head = stored(headers(kept, salts), "headers")
     salt = F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int")
     # A language of more than LEFT sources sends its terms to each block of them.
@@ -218,7 +221,7 @@ def divergences(
     wide = lefts.where("left > 0")
     copies = terms.join(wide, F.col("lang") == F.col("_l")).drop("_l", "_s")
     rows = head.unionByName(terms.withColumn("left", F.lit(0))).unionByName(copies)
-    spread = rows.repartition(salts, "lang", "salt", "left").sortWithinPartitions(
+    spread = rows.repartition("lang", "salt", "left").sortWithinPartitions(
         "lang", "salt", "left", F.col("term").asc_nulls_first()
     )
     kind = arrow_schema(_FOUND)
@@ -238,11 +241,11 @@ def divergences(
                     out.clear()
 
         for b in batches:
-            names = ("lang", "term", "df", "sources", "counts", "left")
-            for name, term, size, sources, counts, left in zip(*(b.column(k).to_pylist() for k in names)):
+            names = ("lang", "term", "df", "sources", "counts", "left", "salt")
+            for name, term, size, sources, counts, left, salt in zip(*(b.column(k).to_pylist() for k in names)):
                 if term is None:
                     yield from results()
-                    now = _Language(name, size, sources, counts, left)
+                    now = _Language(name, size, sources, counts, left, salt == 0)
                 else:
                     now.add(term, sources, counts)
         yield from results()
