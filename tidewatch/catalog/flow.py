@@ -9,7 +9,7 @@ from tidewatch.catalog.sql import CTES, define, labels_sql
 from tidewatch.catalog.tables import scores
 from tidewatch.session import scratch_table
 from tidewatch.sources import journal
-from tidewatch.streaming import cycle, replay
+from tidewatch.streaming import cycle, keyed, replay
 from tidewatch.streaming.tables import Tables
 
 LATE = I.AS_OF_LATE
@@ -256,6 +256,102 @@ def t01(spark, d):
     )
 
 
+@register(
+    "t01_refused_lines",
+    """SELECT count(*) + count(*) FILTER (pos % 500 = 0) AS landed, count(*) AS read, count(*) FILTER (pos % 500 = 0) AS refused,
+    count(*) FILTER (pos % 500 = 0) AS kept, 'malformed' AS reason FROM poll_""",
+)
+def t01_refused(spark, d):
+    """What became of every line that landed: read, or refused with its file and the reason."""
+    tables = Tables(spark, scratch_table(spark, "tables"))
+    summary: list[dict] = []
+    stream = replay.landed(spark, f"{poll_files(spark, d)}/*")
+    replay.drain(stream, scratch_table(spark, "stream"), cycle.on_batch(tables, "replay", summary, label=False))
+    sums = ("landed", "read", "refused")
+    counts = spark.createDataFrame([tuple(s[c] for c in sums) for s in summary], "landed bigint, read bigint, refused bigint")
+    kept = spark.read.parquet(tables.path("refused")).groupBy("reason").agg(F.count_if(F.length("file") > 0).alias("kept"))
+    return counts.unionByName(kept, allowMissingColumns=True).agg(
+        *[F.sum(c).alias(c) for c in (*sums, "kept")], F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reason")
+    )
+
+
+@register(
+    "t03_keyed_state",
+    "SELECT chain, contract, ts, trigger_kind, market_mcap_usd, holders_count FROM snap_",
+)
+def t03_keyed(spark, d):
+    """The same first crossings by one flag per token in the state store, no table read back."""
+    stream = keyed.fired_once(replay.polls(spark, f"{poll_files(spark, d)}/*"))
+    return appended(spark, stream, scratch_table(spark, "stream")).select(
+        "chain",
+        "contract",
+        F.col("observed_at_ms").alias("ts"),
+        "trigger_kind",
+        F.col("mcap_usd").alias("market_mcap_usd"),
+        F.col("holder_count").alias("holders_count"),
+    )
+
+
+def appended(spark, stream, mark: str, out: str | None = None):
+    """What a stream has appended once it has taken all that landed."""
+    out = out or scratch_table(spark, "appended")
+    query = (
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark)
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+FEED = (
+    "snapshot_id string, platform string, ts bigint, offset_minutes bigint, age_minutes bigint, "
+    "mentions_window bigint, error string, event_ms bigint"
+)
+#: The stand-in feed is dealt to its files at random, so rows come late by its whole length at most.
+FEED_LATENESS_DAYS = 40
+
+
+def reading_feed(spark, d):
+    """Snapshot announcements and readings of both platforms."""
+    read = I.social(spark, d).select(
+        "snapshot_id", "platform", "ts", "offset_minutes", "age_minutes", "mentions_window", "error",
+        (F.col("ts") + F.col("age_minutes") * I.MIN).alias("event_ms"),
+    )
+    platforms = F.explode(F.array(F.lit("x"), F.lit("telegram"))).alias("platform")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("offset_minutes", "bigint"), ("age_minutes", "bigint"), ("mentions_window", "bigint"), ("error", "string"))]
+    told = I.snapshots(spark, d).select("snapshot_id", platforms, "ts", *none, F.col("ts").alias("event_ms"))
+    return told.unionByName(read)
+
+
+def stream_readings(spark, d, files: int, order: str, per_trigger: int):
+    """Replay the feed from files in a given dealing, then one tick that tells the end."""
+    path, mark, out = (scratch_table(spark, n) for n in ("feed", "stream", "readings"))
+    dealt = reading_feed(spark, d).withColumn("_n", F.pmod(F.xxhash64("snapshot_id", "platform", "offset_minutes", F.lit(order)), F.lit(files)))
+    dealt.repartition("_n").write.partitionBy("_n").json(path)
+
+    def run():
+        feed = spark.readStream.schema(FEED).option("maxFilesPerTrigger", per_trigger).json(f"{path}/*")
+        return appended(spark, keyed.readings_with_misses(feed, f"{FEED_LATENESS_DAYS} days"), mark, out)
+
+    run()
+    end = spark.range(1).select(F.lit("tick").alias("snapshot_id"), F.lit(_END + FEED_LATENESS_DAYS * I.DAY).alias("event_ms"))
+    end.write.json(f"{path}/_n={files}")
+    return run()
+
+
+@register(
+    "t06_missed_readings",
+    """SELECT snapshot_id, platform, offset_minutes, age_minutes, mentions_window, age_minutes - offset_minutes > 20 AS late, error FROM soc_
+    UNION ALL SELECT s.snapshot_id, p.platform, o.off, o.off + 21, NULL, true, 'missed' FROM snap_ s
+    CROSS JOIN (VALUES ('x'), ('telegram')) p(platform) CROSS JOIN (VALUES (0), (60), (360), (1440)) o(off)
+    WHERE NOT EXISTS (SELECT 1 FROM soc_ r WHERE r.snapshot_id = s.snapshot_id AND r.platform = p.platform AND r.offset_minutes = o.off
+    AND r.age_minutes - r.offset_minutes <= 20)""",
+)
+def t06_missed(spark, d):
+    """Readings and, from event-time timers, a row for each offset without a reading in time."""
+    return stream_readings(spark, d, 3, "a", 1)
+
+
 _END = 1706572800000 + 10 * I.DAY  # past the last event: the path is whole
 define(f"path_{_END}", CTES[f"path_{LATE}"].replace(str(LATE), str(_END)))
 define("labels_end_", labels_sql(_END))

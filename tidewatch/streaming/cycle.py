@@ -6,12 +6,13 @@ failure, or split differently, leaves the same tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewatch.operators import mindshare, outcomes, trigger
 from tidewatch.plans import board
 from tidewatch.session import durable
+from tidewatch.streaming.replay import FIELDS
 from tidewatch.streaming.tables import Tables
 
 TOKEN = ["chain", "contract"]
@@ -25,7 +26,7 @@ def fire(tables: Tables, batch: DataFrame, source: str) -> dict[str, int]:
     """
     polled = mindshare.ranked(batch, "poll_id", "pos", digits=9).withColumnRenamed("rank", "mindshare_rank")
     snapshots = durable(board.snapshot_rows(trigger.first_crossings(polled), source, keep=CARRIED))
-    written = tables.append_new("snapshots", snapshots, TOKEN)
+    written = tables.append_new("snapshots", snapshots, TOKEN, partition="snapshot_date")
     # Events come from every crossing of the batch, not only the new snapshots: a run that died
     # between the two writes is completed by the next one.
     tables.append_new("trigger_events", board.trigger_events(snapshots), TOKEN)
@@ -68,9 +69,16 @@ def touched(snapshots: DataFrame, tracked: DataFrame, since_ms: int, as_of_ms: i
 def refresh_labels(tables: Tables, batch: DataFrame, tracked: DataFrame, since_ms: int, as_of_ms: int) -> int:
     """Recompute the labels that this batch may change, as of a time, and append those that did.
 
-    Only the dates from the oldest such snapshot to the end of the newest one's window are read.
+    Only the dates from the oldest such snapshot to the end of the newest one's window are read. A
+    horizon closes, and an observation counts, within a snapshot's window, so only the snapshots of
+    the window's days before are opened.
     """
-    snaps = durable(touched(tables.read("snapshots", _snapshot_like(batch)), tracked, since_ms, as_of_ms))
+    oldest = tracked.agg(F.min("observed_at_ms")).first()[0]
+    start = min(t for t in (since_ms, oldest) if t is not None) - outcomes.WINDOW_MINUTES * 60_000
+    known = tables.read("snapshots", _snapshot_like(batch)).where(F.col("ts") >= start)
+    if start > 0:
+        known = known.where(F.col("snapshot_date") >= F.to_date(F.timestamp_millis(F.lit(start))))
+    snaps = durable(touched(known, tracked, since_ms, as_of_ms))
     span = snaps.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     if span["lo"] is None:
         return 0
@@ -96,15 +104,39 @@ def last_label_time(tables: Tables) -> int:
     return -(1 << 62) if newest is None else newest
 
 
+def sift(tables: Tables, lines: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """Part a batch of ``replay.landed`` lines: its observations, and counts of what was read.
+
+    Refused lines go to the table ``refused`` (file, line, reason). A file is read by one batch only,
+    so a batch that runs again finds its files there and adds nothing.
+    """
+    seen = Observation()
+    bad = F.col("_refused").isNotNull()
+    counts = {"read": F.count_if(~bad), "refused": F.count_if(bad), "unread": F.sum(F.size("_unread"))}
+    held = durable(lines.observe(seen, F.count("*").alias("landed"), *[c.alias(n) for n, c in counts.items()]))
+    refused = held.where(bad).select(F.col("_file").alias("file"), F.col("_line").alias("line"), F.col("_refused").alias("reason"))
+    numbers = {n: v or 0 for n, v in seen.get.items()}
+    if numbers["refused"]:
+        tables.append_new("refused", refused, ["file"])
+    return held.where(~bad).select(*FIELDS), numbers
+
+
 def on_batch(tables: Tables, source: str, summary: list[dict] | None = None, label: bool = True):
-    """The foreachBatch handler of a full cycle. Label times never step back, also after a restart."""
+    """The foreachBatch handler of a full cycle over ``replay.polls``, or over ``replay.landed`` with
+    its refused lines kept and counted. Label times never step back, also after a restart."""
     labelled: list[int] = []
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = durable(batch)
+        counts: dict[str, int] = {}
+        if "_refused" in batch.columns:
+            batch, counts = sift(tables, batch)
+        else:
+            batch = durable(batch)
         if batch.isEmpty():
+            if summary is not None and counts:
+                summary.append({"batch_id": batch_id, "observed": 0, "fired": 0, "already_triggered": 0, **counts})
             return
-        counts = fire(tables, batch, source)
+        counts |= fire(tables, batch, source)
         tracked = track(tables, batch)
         if label:
             since = labelled[-1] if labelled else last_label_time(tables)

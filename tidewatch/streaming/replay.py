@@ -36,6 +36,40 @@ def polls(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFra
     return raw.where("_bad is null").select(*FIELDS).withColumns(typed).where("contract is not null")
 
 
+#: Columns that ``landed`` adds to an observation.
+LANDED = ("_file", "_line", "_refused", "_unread")
+
+
+def landed(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+    """Every line of recorded polls that is not blank, with what became of it.
+
+    Observations as in ``polls``, and ``_file``, ``_line`` (the text), ``_refused`` (why the line is
+    no observation: ``malformed`` or ``no contract``; null if it is one) and ``_unread`` (names of the
+    fields whose value is there but does not parse; such a value is null). A file that cannot be read
+    is an empty poll.
+    """
+    text = ", ".join(f"{f} string" for f in FIELDS)
+    lines = (
+        spark.readStream.schema("value string")
+        .option("maxFilesPerTrigger", files_per_trigger)
+        .option("ignoreCorruptFiles", "true")
+        .option("ignoreMissingFiles", "true")
+        .text(path)
+        .select(F.col("_metadata.file_path").alias("_file"), F.col("value").alias("_line"))
+        .where(r"_line rlike '\\S'")
+    )
+    row = F.from_json("_line", f"{text}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    read = lines.withColumn("_row", row).select("_file", "_line", "_row.*")
+    typed = {
+        **{c: F.col(c).try_cast("decimal(38,6)").try_cast("bigint") for c in WHOLE},
+        **{c: F.col(c).try_cast("double") for c in DECIMAL},
+    }
+    unread = F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & v.isNull(), F.lit(c)) for c, v in typed.items()]))
+    refused = F.when(F.col("_bad").isNotNull(), "malformed").when(F.col("contract").isNull(), "no contract")
+    checked = read.withColumns({"_refused": refused, "_unread": unread})
+    return checked.withColumns(typed).select(*FIELDS, *LANDED)
+
+
 def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> int:
     """Process everything landed so far in micro-batches, then stop. Returns the last batch id."""
     query = (

@@ -28,14 +28,15 @@ class Tables:
             return self.spark.read.schema(like.schema).parquet(self.path(name))
         return self.spark.createDataFrame([], like.schema)
 
-    def append_new(self, name: str, rows: DataFrame, on: list[str], within: str | None = None, only: Column | None = None) -> int:
+    def append_new(self, name: str, rows: DataFrame, on: list[str], within: str | None = None, only: Column | None = None, partition: str | None = None) -> int:
         """Append the rows whose key the table lacks; returns how many those were.
 
         Re-running a batch after a failure appends nothing twice: rows already written hold their
         keys. With ``within``, a column that a key's rows share, the table is partitioned by it and
         only the partitions of this batch are read, so the cost is the batch's and not the
         table's; ``only`` says which stored rows can hold the keys at all. The count is observed by
-        the write itself, not by a second pass.
+        the write itself, not by a second pass. ``partition`` names a column to lay the table out by
+        where a key's rows need not share it.
         """
         seen, stored = Observation(), self.read(name, rows)
         stored = stored if only is None else stored.where(only)
@@ -45,5 +46,6 @@ class Tables:
             stored = stored.where(F.col(within).isin(met))
         fresh = keys.append_new(rows, stored, on).observe(seen, F.count("*").alias("n"))
         writer = fresh.write.mode("append")
-        (writer.partitionBy(within) if within else writer).parquet(self.path(name))
+        by = within or partition
+        (writer.partitionBy(by) if by else writer).parquet(self.path(name))
         return seen.get["n"]
