@@ -1,5 +1,9 @@
 """Registered queries against their SQL twins on the smallest tables."""
 
+import pathlib
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -7,6 +11,7 @@ import check
 from tidewatch import catalog
 
 catalog.load()
+ROOT = pathlib.Path(__file__).resolve().parent.parent
 # One query per family here; check.py compares all of them.
 NAMES = [
     "w03_first_crossing", "a16_forward_labels", "w04_mindshare_rank", "p15_verdict", "x10_composite",
@@ -31,3 +36,10 @@ def test_query_matches_sql(spark, sf, con, name):
     res = con.execute(catalog.ORACLES[name])
     want = ([c[0] for c in res.description], res.fetchall())
     assert check.compare(got, want) is None
+
+
+def test_queries_are_listed_where_a_module_of_the_training_data_package_is_missing():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op1') or n == 'pipeline' for n in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    n, llm = out.stdout.split()
+    assert int(n) > 190 and llm == "False", out.stderr
