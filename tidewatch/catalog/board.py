@@ -376,6 +376,70 @@ def m10(spark, d):
     return spark.createDataFrame(rows, "term string, coefficient double")
 
 
+_STEPS = 20
+_TERMS = [t for n in pillars.NAMES for t in (f"coalesce({n} / 100, coalesce(avg({n} / 100.0) OVER (), 0))", f"({n} IS NULL)::INT::DOUBLE")]
+_PLACES = range(1, len(_TERMS) + 1)
+define("terms_", f"SELECT label::DOUBLE AS y, [{', '.join(_TERMS)}] AS x FROM tsplit_ WHERE split = 'train'")
+define(
+    "fitted_",
+    f"""WITH RECURSIVE f AS (
+  SELECT 0 AS step, [{', '.join('0.0::DOUBLE' for _ in _PLACES)}] AS w, 0.0::DOUBLE AS b
+  UNION ALL
+  SELECT step + 1, [{', '.join(f'w[{k}] - {calibration.RATE}::DOUBLE * (g{k} / n + {calibration.L2}::DOUBLE * w[{k}])' for k in _PLACES)}], b - {calibration.RATE}::DOUBLE * g / n
+  FROM (SELECT step, any_value(w) AS w, any_value(b) AS b, sum(e) AS g, count(*) AS n, {', '.join(f'sum(e * x[{k}]) AS g{k}' for k in _PLACES)} FROM
+    (SELECT step, w, b, x, 1 / (1 + exp(-greatest(-60, least(60, b + {' + '.join(f'x[{k}] * w[{k}]' for k in _PLACES)})))) - y AS e FROM f, terms_ WHERE step < {_STEPS})
+  GROUP BY step)
+) SELECT w, b FROM f WHERE step = {_STEPS}""",
+)
+define(
+    "adopted_",
+    f"""SELECT name, round(CASE WHEN row_number() OVER (ORDER BY r DESC, pos) = 1 THEN r + 1 - sum(r) OVER () ELSE r END, 2) AS weight FROM
+  (SELECT name, pos, round_even(CASE WHEN sum(c) OVER () > 0 THEN c / sum(c) OVER () ELSE 1.0 / count(*) OVER () END, 2) AS r FROM
+  (SELECT {list(pillars.NAMES)}[pos] AS name, pos, greatest(0, w[2 * pos - 1]) AS c FROM fitted_, unnest(generate_series(1, {len(pillars.NAMES)})) AS t(pos)))""",
+)
+_ADOPTED, _ = screen.composite_sql({n: f"w_{n}" for n in pillars.NAMES})
+define(
+    "fitvec_",
+    f"""SELECT snapshot_id, ts, label, regime, 'fitted' AS vector, coalesce(round({_ADOPTED}, 6), '-infinity'::DOUBLE) AS score FROM tsplit_,
+  (SELECT {', '.join(f"max(weight) FILTER (name = '{n}') AS w_{n}" for n in pillars.NAMES)} FROM adopted_) WHERE split = 'test'""",
+)
+define("fitauc_", auc_sql("fitvec_", "vector"))
+
+
+@register(
+    "m10_fit_steps",
+    f"""SELECT {[t for n in pillars.NAMES for t in (n, n + '__missing')] + ['bias']}[k] AS term, round(list_append(w, b)[k], 6) AS coefficient
+    FROM fitted_, unnest(generate_series(1, {len(_TERMS) + 1})) AS t(k)""",
+)
+def m10_steps(spark, d):
+    """Coefficients after a fixed number of full-batch steps."""
+    model = calibration.fit_steps(held_out(spark, d).where("split = 'train'"), _STEPS)
+    rows = [*model.weights.items(), ("bias", model.bias)]
+    return spark.createDataFrame(rows, "term string, coefficient double").withColumn("coefficient", F.round("coefficient", 6))
+
+
+@register("m12_fitted_weights", "SELECT name, weight FROM adopted_")
+def m12_fitted(spark, d):
+    """The stepwise fit as it would be deployed."""
+    model = calibration.fit_steps(held_out(spark, d).where("split = 'train'"), _STEPS)
+    return spark.createDataFrame(list(calibration.weights_of(model, spark).items()), "name string, weight double")
+
+
+@register(
+    "m13_fitted_ranking",
+    f"""SELECT vector, n, positives, round(auc, {DIG}) AS auc, round({_AL}, {DIG}) AS auc_low, round({_AH}, {DIG}) AS auc_high FROM fitauc_""",
+)
+def m13_fitted(spark, d):
+    """The fitted vector, rounded as deployed, on rows that the fit has not seen."""
+    split = held_out(spark, d)
+    weights = calibration.weights_of(calibration.fit_steps(split.where("split = 'train'"), _STEPS), spark)
+    long = calibration.vector_scores(
+        split.where("split = 'test'"), {"fitted": calibration.composite_of(weights)}, ["snapshot_id", "ts", "label", "regime"]
+    )
+    r = calibration.ranking(long, ["vector"], digits=6)
+    return r.select("vector", "n", "positives", *[F.round(c, DIG).alias(c) for c in ("auc", "auc_low", "auc_high")])
+
+
 @register(
     "m11_predict",
     f"SELECT snapshot_id, round(1 / (1 + exp(-(0.25 + 1.5 * coalesce(onchain_structure / 100, 0.4) - 0.5 * (onchain_structure IS NULL)::INT + 0.75 * coalesce(mindshare / 100, 0.5)))), {DIG}) AS p FROM train_",

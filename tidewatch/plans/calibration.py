@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidewatch.functions.values import mcap_band, outcome
 from tidewatch.operators import pillars, social, stats
@@ -165,38 +169,44 @@ def fit_converged(train: DataFrame) -> Model:
     return Model(dict(zip(_terms(), map(float, fitted.coefficients))), float(fitted.intercept), means)
 
 
-def fit_steps(train: DataFrame, epochs: int = EPOCHS, rate: float = RATE, l2: float = L2) -> Model:
+def fit_steps(
+    train: DataFrame, epochs: int = EPOCHS, rate: float = RATE, l2: float = L2, tasks: int | None = None
+) -> Model:
     """Full-batch gradient steps, which stop short of the minimum as the published fit does.
 
-    Every step is one pass over a materialised frame: tasks sum their gradient and only one row
-    per partition of sixteen numbers comes back.
+    One job for all steps: the rows are dealt to ``tasks`` tasks (the session's parallelism if not
+    given) that run side by side as a barrier stage. Each keeps its rows' terms as a matrix, 120
+    bytes a row; in a step each sums its gradient and all exchange these sums, sixteen numbers a
+    task, so every task takes the same step. A lost task restarts the stage. No rows give zeros.
     """
     means = feature_means(train)
-    blank = Model({}, 0.0, means)
-    terms = _terms()
-    frame = durable(
-        train.select(F.col("label").cast("double").alias("label"), *[c.alias(n) for n, c in blank.inputs().items()])
-    )
-    w, bias = np.zeros(len(terms)), 0.0
-    for _ in range(epochs):
-
-        def partial(batches, w=w, bias=bias):
-            total, rows = np.zeros(len(terms) + 1), 0
-            for pdf in batches:
-                x = pdf[terms].to_numpy()
-                error = 1.0 / (1.0 + np.exp(-np.clip(x @ w + bias, -60, 60))) - pdf["label"].to_numpy()
-                total += np.concatenate([error @ x, [error.sum()]])
-                rows += len(pdf)
-            yield pd.DataFrame([[*total, rows]], columns=[*[f"g{i}" for i in range(len(total))], "n"])
-
-        schema = ", ".join(f"g{i} double" for i in range(len(terms) + 1)) + ", n bigint"
-        parts = frame.mapInPandas(partial, schema)
-        g = parts.agg(*[F.sum(c).alias(c) for c in parts.columns]).first()
-        if not g["n"]:
-            break
-        bias -= rate * g[f"g{len(terms)}"] / g["n"]
-        w = w - rate * (np.array([g[f"g{i}"] for i in range(len(terms))]) / g["n"] + l2 * w)
-    return Model(dict(zip(terms, map(float, w))), float(bias), means)
+    blank, terms = Model({}, 0.0, means), _terms()
+    frame = train.select(F.col("label").cast("double").alias("label"), *[c.alias(n) for n, c in blank.inputs().items()])
+    dealt = frame.repartition(tasks or train.sparkSession.sparkContext.defaultParallelism)
+    schema = ", ".join(f"{c} double" for c in [*[f"w{k}" for k in range(len(terms))], "bias"])
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import BarrierTaskContext
+
+        context = BarrierTaskContext.get()
+        parts = [np.stack([b.column(c).to_numpy() for c in ("label", *terms)], axis=1) for b in batches]
+        rows = np.concatenate([np.zeros((0, len(terms) + 1)), *parts])
+        label, x = rows[:, 0], rows[:, 1:]
+        w, bias = np.zeros(len(terms)), 0.0
+        n = sum(json.loads(m) for m in context.allGather(json.dumps(len(label))))
+        for _ in range(epochs if n else 0):
+            error = 1.0 / (1.0 + np.exp(-np.clip(x @ w + bias, -60, 60))) - label
+            mine = [*(error @ x).tolist(), float(error.sum())]
+            total = np.sum([json.loads(m) for m in context.allGather(json.dumps(mine))], axis=0)
+            bias -= rate * total[-1] / n
+            w = w - rate * (total[:-1] / n + l2 * w)
+        if context.partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*w.tolist(), float(bias))], schema=kind)
+
+    # One row: a limit may not stand in a barrier stage.
+    fitted = dealt.mapInArrow(run, schema, barrier=True).collect()[0]
+    return Model(dict(zip(terms, fitted[:-1])), fitted[-1], means)
 
 
 # --- weights --------------------------------------------------------------------
