@@ -23,12 +23,15 @@ def p16(spark, d):
     )
 
 
+define(
+    "snapx_",
+    """SELECT snapshot_id, chain, contract, ts FROM snap_ UNION ALL SELECT snapshot_id || '-x', chain, contract || '-x', ts FROM snap_""",
+)
 define(
     "due_",
     f"""SELECT * FROM (SELECT s.snapshot_id, s.chain, s.contract, ({LATE} - s.ts) // 60000 AS age_minutes,
-    ({LATE} - l.last) // 60000 AS minutes_since_last FROM snap_ s LEFT JOIN (SELECT contract,
-    max(observed_at_ms) AS last FROM ev_ WHERE observed_at_ms <= {LATE} AND pos % 3 = 0 AND user_id % 9 <> 0
-    GROUP BY 1) l USING (contract)) WHERE age_minutes <= 10080 AND (minutes_since_last IS NULL OR
+    ({LATE} - l.last) // 60000 AS minutes_since_last FROM snapx_ s LEFT JOIN (SELECT contract,
+    max(observed_at_ms) AS last FROM ev_ WHERE observed_at_ms <= {LATE} GROUP BY 1) l USING (contract)) WHERE age_minutes <= 10080 AND (minutes_since_last IS NULL OR
     CASE WHEN age_minutes <= 60 THEN minutes_since_last >= 5 WHEN age_minutes <= 360 THEN
     minutes_since_last >= 15 WHEN age_minutes <= 1440 THEN minutes_since_last >= 60
     ELSE minutes_since_last >= 360 END)""",
@@ -36,11 +39,12 @@ define(
 
 
 def due_rows(spark, d):
-    seen = I.events(spark, d).where(
-        (F.col("observed_at_ms") <= LATE) & (F.col("pos") % 3 == 0) & (F.col("user_id") % 9 != 0)
-    )
+    """Every snapshot with all its observations, and once more under a key that nothing was seen of."""
+    seen = I.events(spark, d).where(F.col("observed_at_ms") <= LATE)
+    snaps = I.snapshots(spark, d).select("snapshot_id", "chain", "contract", "ts")
+    unseen = snaps.withColumns({c: F.concat(c, F.lit("-x")) for c in ("snapshot_id", "contract")})
     rows = seen.select(F.concat(F.lit("s"), "user_id").alias("snapshot_id"), F.col("observed_at_ms").alias("ts"))
-    return outcomes.due_list(I.snapshots(spark, d), rows, LATE)
+    return outcomes.due_list(snaps.unionByName(unseen), rows, LATE)
 
 
 @register("p17_due_for_repricing", "SELECT snapshot_id, age_minutes, minutes_since_last FROM due_")
@@ -51,11 +55,10 @@ def p17(spark, d):
 @register(
     "j07_reprice_summary",
     """SELECT count(*) AS due, count(*) FILTER (f.contract IS NOT NULL) AS repriced,
-    count(*) FILTER (f.contract IS NULL) AS missing FROM due_ LEFT JOIN (SELECT DISTINCT contract FROM ev_
-    WHERE user_id % 4 <> 0) f USING (contract)""",
+    count(*) FILTER (f.contract IS NULL) AS missing FROM due_ LEFT JOIN (SELECT DISTINCT contract FROM ev_) f USING (contract)""",
 )
 def j07(spark, d):
-    feed = I.events(spark, d).where("user_id % 4 <> 0").select("chain", "contract")
+    feed = I.events(spark, d).select("chain", "contract")
     return outcomes.reprice_summary(due_rows(spark, d), feed)
 
 

@@ -677,17 +677,22 @@ def _rule(c: str) -> str:
     return f"{'least' if c in safety.WORSE_IF_SMALL else 'greatest'}(a.{c}, b.{c}) AS {c}"
 
 
+def also_alone(rows, mark: str):
+    """All rows, and each once more under a token that no other table has."""
+    return rows.unionByName(rows.withColumn("contract", F.concat("contract", F.lit(mark))))
+
+
 @register(
     "j11_merge_safety",
     f"""SELECT chain, contract, CASE WHEN a.contract IS NULL THEN b.source WHEN b.contract IS NULL THEN a.source ELSE
     a.source || '+' || b.source END AS source, greatest(a.collected_at_ms, b.collected_at_ms) AS collected_at_ms,
     coalesce(a.deployer_address, b.deployer_address) AS deployer_address, {', '.join(_rule(c) for c in _FACTS)}
-    FROM (SELECT * FROM safety0_ WHERE user_id % 8 <> 1) a FULL JOIN (SELECT * FROM safety3_ WHERE user_id % 6 <> 2) b
-    USING (chain, contract)""",
+    FROM (SELECT * FROM safety0_ UNION ALL SELECT * REPLACE (contract || '-a' AS contract) FROM safety0_) a
+    FULL JOIN (SELECT * FROM safety3_ UNION ALL SELECT * REPLACE (contract || '-b' AS contract) FROM safety3_) b USING (chain, contract)""",
 )
 def j11(spark, d):
-    a = I.safety(spark, d, 0).where("user_id % 8 <> 1").withColumn("source_order", F.lit(0))
-    b = I.safety(spark, d, 3).where("user_id % 6 <> 2").withColumn("source_order", F.lit(1))
+    a = also_alone(I.safety(spark, d, 0), "-a").withColumn("source_order", F.lit(0))
+    b = also_alone(I.safety(spark, d, 3), "-b").withColumn("source_order", F.lit(1))
     m = safety.merge(a.unionByName(b), I.TOKEN)
     return m.select(*I.TOKEN, "source", "collected_at_ms", "deployer_address", *_FACTS)
 
@@ -749,11 +754,12 @@ def o06_all(spark, d):
 
 @register(
     "j18_safety_with_snapshot",
-    "SELECT f.chain, f.contract, s.snapshot_id FROM safety0_ f LEFT JOIN (SELECT * FROM snap_ WHERE user_id % 4 <> 0) s USING (chain, contract)",
+    """SELECT f.chain, f.contract, s.snapshot_id FROM (SELECT chain, contract FROM safety0_ UNION ALL SELECT chain, contract || '-x' FROM safety0_) f
+    LEFT JOIN snap_ s USING (chain, contract)""",
 )
 def j18(spark, d):
-    snaps = I.snapshots(spark, d).where("user_id % 4 <> 0")
-    return safety.with_snapshot(I.safety(spark, d).select(*I.TOKEN), snaps, I.TOKEN)
+    read = also_alone(I.safety(spark, d).select(*I.TOKEN), "-x")
+    return safety.with_snapshot(read, I.snapshots(spark, d), I.TOKEN)
 
 
 @register(
@@ -772,14 +778,15 @@ def j02(spark, d):
 
 @register(
     "p22_stale_safety",
-    f"""SELECT s.snapshot_id FROM snap_ s LEFT JOIN (SELECT * FROM safety0_ WHERE user_id % 3 <> 0) f USING (chain, contract)
+    f"""SELECT s.snapshot_id FROM snapx_ s LEFT JOIN safety0_ f USING (chain, contract)
     WHERE {I.AS_OF_LATE} - s.ts <= 10080 * 60000 AND (f.contract IS NULL OR {I.AS_OF_LATE} - f.collected_at_ms >= 21600000)""",
 )
 def p22(spark, d):
     from tidewatch.plans import scoring
 
-    known = I.safety(spark, d).where("user_id % 3 <> 0")
-    return scoring.stale(I.snapshots(spark, d), known, I.AS_OF_LATE).select("snapshot_id")
+    snaps = I.snapshots(spark, d).select("snapshot_id", *I.TOKEN, "ts")
+    unread = snaps.withColumns({c: F.concat(c, F.lit("-x")) for c in ("snapshot_id", "contract")})
+    return scoring.stale(snaps.unionByName(unread), I.safety(spark, d), I.AS_OF_LATE).select("snapshot_id")
 
 
 # --- posts, previews, candles -----------------------------------------------------

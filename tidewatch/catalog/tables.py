@@ -7,19 +7,19 @@ from tidewatch.catalog import register
 from tidewatch.catalog.sql import define, labels_sql
 from tidewatch.operators import keys, outcomes
 
-# A score history per token: each purchase event is a scoring run of that token.
+# A score history per token: each event is a scoring run of that token.
 define(
     "score_",
     """SELECT 'r' || pos AS score_id, 's' || user_id AS snapshot_id, observed_at_ms AS scored_at_ms,
   CASE WHEN pos % 4 <> 0 THEN round(value / 5, 6) END AS score, pos % 4 = 0 AS excluded,
   (pos % 100 < 97)::INT + 1 AS prompt_version, 'w' || (pos % 3 > 0)::INT AS weights_version
-  FROM ev_ WHERE event_type = 'purchase'""",
+  FROM ev_""",
 )
 
 
 def scores(spark, d):
-    """The purchase events of each token as its score history."""
-    e = I.events(spark, d).where("event_type = 'purchase'")
+    """The events of each token as its score history."""
+    e = I.events(spark, d)
     p = F.col("pos")
     return e.select(
         F.concat(F.lit("r"), p).alias("score_id"),
@@ -218,14 +218,15 @@ def s03(spark, d):
 
 @register(
     "j05_orphan_observations",
-    """SELECT count(*) FILTER (s.contract IS NOT NULL) AS accepted,
-    count(*) FILTER (s.contract IS NULL) AS refused FROM ev_ e LEFT JOIN
-    (SELECT contract FROM snap_ WHERE user_id % 3 <> 0) s USING (contract)""",
+    """SELECT count(*) FILTER (s.contract IS NOT NULL) AS accepted, count(*) FILTER (s.contract IS NULL) AS refused FROM
+    (SELECT contract FROM ev_ UNION ALL SELECT contract || '-x' FROM ev_ WHERE event_type = 'click') e LEFT JOIN snap_ s USING (contract)""",
 )
 def j05(spark, d):
-    some = I.snapshots(spark, d).where("user_id % 3 <> 0").select("snapshot_id")
-    e = I.events(spark, d).select(F.concat(F.lit("s"), "user_id").alias("snapshot_id"), "pos")
-    ok, refused = outcomes.accept_observations(e, some)
+    e = I.events(spark, d)
+    known = e.select(F.concat(F.lit("s"), "user_id").alias("snapshot_id"), "pos")
+    # Clicks come once more for snapshots that are not there.
+    lost = e.where("event_type = 'click'").select(F.concat(F.lit("s"), "user_id", F.lit("-x")).alias("snapshot_id"), "pos")
+    ok, refused = outcomes.accept_observations(known.unionByName(lost), I.snapshots(spark, d).select("snapshot_id"))
     tagged = ok.select(F.lit(True).alias("ok")).unionByName(refused.select(F.lit(False).alias("ok")))
     return tagged.agg(F.count_if("ok").alias("accepted"), F.count_if(~F.col("ok")).alias("refused"))
 
