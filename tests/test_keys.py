@@ -94,3 +94,36 @@ def test_interval_join_keeps_both_ends(spark):
     r = spark.createDataFrame([("k", t) for t in (99, 100, 150, 200, 201)], "k string, t bigint")
     got = sorted(x["t"] for x in in_window(a, r, ["k"], "lo", "hi", "t", chunk_ms=30).collect())
     assert got == [100, 150, 200]
+
+
+@pytest.mark.parametrize("room", [0, 40, 500_000])
+def test_first_wins_is_the_same_whether_rounds_or_one_task_settle(spark, monkeypatch, room):
+    monkeypatch.setattr(keys, "ROOM", room)
+    rng = random.Random(12)
+    pick = lambda n, none: None if rng.random() < none else rng.randrange(n)
+    rows = [(i, pick(30, 0.1), pick(25, 0.2), rng.choice([float("nan"), 1.0, 2.0, None])) for i in range(120)]
+    df = spark.createDataFrame(rows, "i bigint, a bigint, b bigint, x double")
+    groups = [["a"], ["b", "x"]]
+    plain = [(i, a, b, "NaN" if x is not None and x != x else x) for i, a, b, x in rows]
+    held, want = [set(), set()], []
+    for i, a, b, x in plain:
+        claims = [None if a is None else (a,), None if None in (b, x) else (b, x)]
+        if not any(c in h for c, h in zip(claims, held)):
+            want.append(i)
+            for c, h in zip(claims, held):
+                h |= {c} - {None}
+    assert sorted(r["i"] for r in keys.first_wins(df, "i", groups).collect()) == want
+
+
+def test_a_chain_of_conflicts_takes_few_jobs(spark):
+    n = 100_000
+    # Row k holds the right key that row k + 1 asks for: every second one is accepted.
+    df = spark.range(n).select("id", F.floor(F.col("id") / 2).alias("a"), F.floor((F.col("id") + 1) / 2).alias("b"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        assert keys.first_wins(df, "id", [["a"], ["b"]]).count() == n // 2
+        # Stages of adaptive execution count as jobs of their own.
+        assert len(tracker.getJobIdsForGroup("chain")) < 40
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -6,13 +6,18 @@ third of all rows is reduced in every task before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.session import durable
 
+#: Rows still open after a round that one task settles in their order.
+ROOM = 500_000
+
 
 def _pick(df: DataFrame, keys: list[str], order: list[Column | str], chooser) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
@@ -89,6 +94,29 @@ def changed_only(
     )
 
 
+def _settled(rows: DataFrame, order: str, groups: list[list[str]]) -> DataFrame:
+    """The rows that the rule accepts of a bounded number, in one pass by ``order`` in one task."""
+    places = [[rows.columns.index(c) for c in g] for g in groups]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[set] = [set() for _ in places]
+        for b in batches:
+            mask = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                # Not-a-number equals itself as a key.
+                row = tuple("NaN" if v != v else v for v in row)
+                claims = [tuple(row[k] for k in at) for at in places]
+                claims = [None if None in c else c for c in claims]
+                free = not any(c in known for c, known in zip(claims, held))
+                mask.append(free)
+                for c, known in zip(claims, held):
+                    if free and c is not None:
+                        known.add(c)
+            yield b.filter(pa.array(mask, pa.bool_()))
+
+    return rows.repartition(1).sortWithinPartitions(order).mapInArrow(run, rows.schema)
+
+
 def first_wins(
     new: DataFrame,
     order: str,
@@ -100,7 +128,9 @@ def first_wins(
 
     A key with a null part never collides, and a row passed over claims nothing. Each round
     accepts every row that is the earliest open claimant of all its keys, then drops the rows
-    those acceptances block; the rounds end when no row is open. ``order`` must be unique.
+    those acceptances block. A round settles all but chains of conflicts, one link a round of
+    those; once at most ``ROOM`` rows are open, whatever their chains, one task settles them in
+    order. ``order`` must be unique.
     """
     open_rows = new
     for c in not_null:
@@ -120,7 +150,10 @@ def first_wins(
     names = [order, *sorted({c for g in groups for c in g} - {order})]
     open_rows = durable(open_rows.select(*names))
     accepted = None
-    while not open_rows.isEmpty():
+    while rows_left := open_rows.count():
+        if accepted is not None and rows_left <= ROOM:
+            accepted = accepted.unionByName(durable(_settled(open_rows, order, groups)))
+            break
         leading = open_rows
         for i, g in enumerate(groups):
             head = leading.where(complete(g)).groupBy(*g).agg(F.min(order).alias(f"_head{i}"))
