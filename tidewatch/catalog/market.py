@@ -414,13 +414,15 @@ def _with_span(rows, span):
     return chart.rung_ema(rows, "4h", span)
 
 
-define(
-    "piv_",
-    """SELECT coin, i, t, o, h, l, c, unnest([CASE WHEN h > hl AND h >= hr THEN 'high' END, CASE WHEN l < ll AND l <= lr THEN 'low' END]) AS kind FROM (SELECT *,
-  max(h) OVER lf AS hl, max(h) OVER rt AS hr, min(l) OVER lf AS ll, min(l) OVER rt AS lr, count(h) OVER ar AS n FROM cut_ WINDOW
+def pivot_sql(bars: str) -> str:
+    """Fractal swings of numbered bars."""
+    return f"""SELECT coin, i, t, o, h, l, c, unnest([CASE WHEN h > hl AND h >= hr THEN 'high' END, CASE WHEN l < ll AND l <= lr THEN 'low' END]) AS kind FROM (SELECT *,
+  max(h) OVER lf AS hl, max(h) OVER rt AS hr, min(l) OVER lf AS ll, min(l) OVER rt AS lr, count(h) OVER ar AS n FROM {bars} WINDOW
   lf AS (PARTITION BY coin ORDER BY t ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), rt AS (PARTITION BY coin ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING),
-  ar AS (PARTITION BY coin ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) WHERE n = 7""",
-)
+  ar AS (PARTITION BY coin ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) WHERE n = 7"""
+
+
+define("piv_", pivot_sql("cut_"))
 
 
 @register("w15_pivots", "SELECT coin, i, t, kind, h, l FROM piv_ WHERE kind IS NOT NULL")
@@ -468,12 +470,12 @@ def zone_sql(bars: str, marks: str, tol: str) -> str:
           AND greatest(z.outr, {outer}) - least(z.inn, {inner}) <= 3 * n.tol"""
         first = f"list_min(list_transform(list_filter({zones}, lambda z: {test}), lambda z: z.start))"
         grown = f"""list_transform({zones}, lambda z: CASE WHEN z.sign = {sign} AND z.start = {first}
-          THEN {{'sign': z.sign, 'start': z.start, 'outr': greatest(z.outr, {outer}), 'inn': least(z.inn, {inner}), 'touches': z.touches + 1}}
+          THEN {{'sign': z.sign, 'start': z.start, 'outr': greatest(z.outr, {outer}), 'inn': least(z.inn, {inner}), 'touches': z.touches + 1, 'marks': list_append(z.marks, n.i)}}
           ELSE z END)"""
-        fresh = f"{{'sign': {sign}, 'start': n.i, 'outr': {outer}, 'inn': {inner}, 'touches': 1}}"
+        fresh = f"{{'sign': {sign}, 'start': n.i, 'outr': {outer}, 'inn': {inner}, 'touches': 1, 'marks': []::BIGINT[]}}"
         return f"CASE WHEN {first} IS NULL THEN list_append({zones}, {fresh}) ELSE {grown} END"
 
-    empty = "[]::STRUCT(sign INTEGER, start BIGINT, outr DOUBLE, inn DOUBLE, touches INTEGER)[]"
+    empty = "[]::STRUCT(sign INTEGER, start BIGINT, outr DOUBLE, inn DOUBLE, touches INTEGER, marks BIGINT[])[]"
     return f"""WITH RECURSIVE n AS (
   SELECT b.coin, b.i, b.o, b.h, b.l, b.c, tol, coalesce(high, false) AS high, coalesce(low, false) AS low,
          row_number() OVER (PARTITION BY b.coin ORDER BY b.i) AS k
@@ -497,7 +499,7 @@ def zone_sql(bars: str, marks: str, tol: str) -> str:
 )
 SELECT coin, CASE z.sign WHEN 1 THEN 'SELL' ELSE 'BUY' END AS side, greatest(z.sign * z.outr, z.sign * z.inn) AS top,
        least(z.sign * z.outr, z.sign * z.inn) AS bottom, z.start AS start, "end", z.touches::BIGINT AS touches,
-       CASE WHEN broken THEN 'BROKEN' WHEN z.sign = 1 THEN 'SELL' ELSE 'BUY' END AS state FROM ended WHERE z.touches >= 3"""
+       CASE WHEN broken THEN 'BROKEN' WHEN z.sign = 1 THEN 'SELL' ELSE 'BUY' END AS state, z.marks AS marks FROM ended WHERE z.touches >= 3"""
 
 
 define("tol_", "SELECT coin, median(h - l) FILTER (h > l) AS tol FROM cut_ GROUP BY 1")
@@ -519,6 +521,41 @@ def k11(spark, d):
     return chart.chart(bars(spark, d), "4h", BARS)
 
 
+define("ask_", "SELECT coin, t, o, h, l, c, v, row_number() OVER (PARTITION BY coin ORDER BY t) - 1 AS i FROM asked_")
+define("askpiv_", pivot_sql("ask_"))
+define("asktol_", "SELECT coin, median(h - l) FILTER (h > l) AS tol FROM ask_ GROUP BY 1")
+define("askzone_", zone_sql("ask_", "askpiv_", "asktol_"))
+define("askin_", 'SELECT coin, i AS k, t AS "at", c AS v FROM ask_')
+define("askema_", ema_sql("askin_", "v", 9).replace(" at,", ' "at",').replace("s.at", 's."at"'))
+_STUDIES = ("side string, price double, top double, bottom double, `end` bigint, touches bigint, label string, "
+            "swept double, rel double, c double, vwap double, fast_ema double")
+
+
+@register(
+    "k11_chart_studies",
+    f"""SELECT coin, study, i, side, round(price, {DIG}) AS price, round(top, {DIG}) AS top, round(bottom, {DIG}) AS bottom, "end", touches, label,
+    round(swept, {DIG}) AS swept, rel, round(c, {DIG}) AS c, round(vwap, {DIG}) AS vwap, round(fast_ema, {DIG}) AS fast_ema FROM (
+    SELECT b.coin, 'lines' AS study, b.i, NULL AS side, NULL::DOUBLE AS price, NULL::DOUBLE AS top, NULL::DOUBLE AS bottom, NULL::BIGINT AS "end",
+      NULL::BIGINT AS touches, NULL AS label, NULL::DOUBLE AS swept, NULL::DOUBLE AS rel, c,
+      sum(v * (h + l + c) / 3.0) OVER w / nullif(sum(CASE WHEN h + l + c IS NOT NULL THEN v END) OVER w, 0) AS vwap, e.y AS fast_ema
+      FROM ask_ b LEFT JOIN askema_ e ON e.coin = b.coin AND e."at" = b.t WINDOW w AS (PARTITION BY b.coin, b.t // 86400000 ORDER BY b.t)
+    UNION ALL SELECT coin, 'box', start, side, NULL, top, bottom, "end", touches, 'BOX ×' || touches || ' · ' || state, NULL, NULL, NULL, NULL, NULL FROM askzone_
+    UNION ALL SELECT z.coin, 'touch', p.i, z.side, CASE z.side WHEN 'SELL' THEN p.h ELSE p.l END, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+      FROM (SELECT coin, side, unnest(marks) AS m FROM askzone_) z JOIN ask_ p ON p.coin = z.coin AND p.i = z.m
+    UNION ALL SELECT coin, 'sweep', i, kind, CASE kind WHEN 'high' THEN h ELSE l END, NULL, NULL, NULL, NULL, NULL, CASE kind WHEN 'high' THEN ph ELSE pl END,
+      NULL, NULL, NULL, NULL FROM (SELECT *, lag(h) OVER k AS ph, lag(l) OVER k AS pl FROM askpiv_ WHERE kind IS NOT NULL WINDOW k AS (PARTITION BY coin, kind ORDER BY t))
+      WHERE (kind = 'high' AND h > ph AND c < ph) OR (kind = 'low' AND l < pl AND c > pl)
+    UNION ALL SELECT coin, 'heat', i, CASE WHEN c < o THEN 'down' ELSE 'up' END, NULL, NULL, NULL, NULL, NULL, NULL, NULL, round(v / m, 2), NULL, NULL, NULL FROM
+      (SELECT *, median(v) OVER k AS m, count(v) OVER k AS n FROM ask_ WINDOW k AS (PARTITION BY coin ORDER BY t ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING))
+      WHERE v IS NOT NULL AND o IS NOT NULL AND c IS NOT NULL AND n >= 25 AND m > 0 AND v / m >= 2)""",
+)
+def k11_studies(spark, d):
+    """The assembled chart with the fields of its payloads as columns."""
+    drawn = chart.chart(bars(spark, d), "4h", BARS)
+    rows = drawn.select("coin", "study", "i", F.from_json("payload", _STUDIES).alias("p")).select("coin", "study", "i", "p.*")
+    return rows.withColumns({c: F.round(c, DIG) for c in ("price", "top", "bottom", "swept", "c", "vwap", "fast_ema")})
+
+
 @register(
     "k11_chart_headline",
     """SELECT coin, coin || ' · 4h · ' || count(*) || ' bars · ' || printf('%.1f d of tape', count(*) * 4 / 24.0) || ' · up-rung 1d' AS headline FROM asked_ GROUP BY 1""",
