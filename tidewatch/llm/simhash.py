@@ -20,14 +20,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import arrow_schema, in_arrow, sized_for, stored, with_row_id
+from tidewatch.llm.common import TASK_ROWS, arrow_schema, in_arrow, sized_for, stored, with_row_id
 from tidewatch.llm.components import components
 
 #: Words of a shingle, the distance and the blocks of the narrow form.
 SHINGLE, DISTANCE, BLOCKS = 3, 3, 5
-#: Wide form: 64-bit words of a fingerprint, sampled blocks, bits of a block. Buckets of w bits hold
-#: about one member for each 2**w documents; widen them, and take more, for far larger corpora.
-WIDTH, SAMPLES, SAMPLE_BITS = 4, 160, 18
+#: Wide form: 64-bit words of a fingerprint, and the share of pairs at the wanted similarity that
+#: sampled blocks have to propose. Bits and number of the blocks follow from the number of texts.
+WIDTH, RECALL = 4, 0.99
+#: Least bits of a sampled block; texts that share a block of that many bits by chance, about.
+LEAST_BITS, SHARED = 12, 4
 #: Sampled blocks that find the dense groups first, so that not all of their pairs are proposed.
 FIRST_SAMPLES = 8
 #: Shingles that one block of texts to compare holds at most (or one text).
@@ -35,6 +37,8 @@ ROOM = 1 << 19
 #: Members of a bucket that one task compares with as many others; larger buckets are cut.
 CHUNK = 4096
 _AT_ONCE = 1 << 14
+#: Pairs that a task holds before it passes them on.
+PAIRS = 1 << 16
 #: Fixed odd multipliers that spread a shingle's hash over the words of a wide fingerprint.
 _SPREAD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) for k in range(64)], np.uint64)
 
@@ -128,15 +132,53 @@ def pigeonhole_keys(nodes: DataFrame, blocks: int, distance: int) -> DataFrame:
     return nodes.select("node", "f0", F.explode(F.array(*keys)).alias("k")).select("k.t", "k.key", "node", "f0")
 
 
+def shape(texts: int, similarity: float, width: int = WIDTH, recall: float = RECALL) -> tuple[int, int]:
+    """(samples, bits) of the sampled blocks for so many texts.
+
+    A block has as many bits as leave about ``SHARED`` unrelated texts in a bucket; there are as many
+    blocks as propose a pair at ``similarity`` with a probability of ``recall``, its distance being
+    binomial and within ``reach``.
+    """
+    whole, p = 64 * width, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(texts, 2) / SHARED)))
+    apart = range(reach(similarity, width) + 1)
+    weight = [math.comb(whole, d) * p**d * (1 - p) ** (whole - d) for d in apart]
+    differ = [1 - math.comb(whole - d, bits) / math.comb(whole, bits) for d in apart]
+    samples, part = 1, list(differ)
+    # What no number of blocks can propose is out of reach; ``recall`` is asked of the rest.
+    while sum(w * (1 - x) for w, x in zip(weight, part)) < recall * sum(weight):
+        samples, part = samples + 1, [x * d for x, d in zip(part, differ)]
+    return samples, bits
+
+
+def sample_places(width: int, samples: int, bits: int, seed: int = 7) -> list[np.ndarray]:
+    """The bits that each sampled block takes of a fingerprint."""
+    chance = np.random.default_rng(seed)
+    return [np.sort(chance.choice(64 * width, bits, replace=False)) for _ in range(samples)]
+
+
+def sample_masks(width: int, samples: int, bits: int) -> np.ndarray:
+    """The same as masks over the words of a fingerprint: two share a block if they agree under its mask."""
+    ones = np.zeros((samples, 64 * width), np.uint8)
+    for row, places in zip(ones, sample_places(width, samples, bits)):
+        row[places] = 1
+    return np.packbits(ones, axis=1).view(">u8").astype(np.uint64)
+
+
 def sampled_keys(
-    nodes: DataFrame, width: int, samples: int, bits: int, seed: int = 7, also: tuple[str, ...] = ()
+    nodes: DataFrame, width: int, samples: int, bits: int, rows: int | None = None, also: tuple[str, ...] = ()
 ) -> DataFrame:
-    """(node, f0, ...) → one row per sampled block: t, key, node, f0, ... and the long columns ``also``."""
+    """(node, f0, ...) → one row per sampled block: t, key, node, f0, ... and the long columns ``also``.
+
+    With ``rows``, the number of nodes, they are spread first over as many tasks as the rows made of
+    them need.
+    """
+    if rows is not None:
+        nodes = nodes.repartition(max(1, -(-rows * samples // TASK_ROWS)))
     names = [f"f{k}" for k in range(width)]
     schema = ", ".join(f"{c} long" for c in ["t", "key", "node", *names, *also])
     kind = arrow_schema(schema)
-    chance = np.random.default_rng(seed)
-    picks = [np.sort(chance.choice(64 * width, bits, replace=False)) for _ in range(samples)]
+    picks = sample_places(width, samples, bits)
     place = 1 << np.arange(bits, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,33 +359,41 @@ def reach(similarity: float, width: int = WIDTH, deviations: float = 3.0) -> int
 
 def _across(
     node: np.ndarray, part: np.ndarray, size: np.ndarray, own: np.ndarray, words: np.ndarray, near: Callable
-) -> list[tuple[int, int]]:
-    """All pairs of one bucket's members that are near and of different parts.
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of one bucket's members that are near and of different parts, a member's at a time.
 
     With two values in ``own``, only pairs of both. Members of the largest part are only compared with others.
     """
     _, of, counts = np.unique(part, return_inverse=True, return_counts=True)
     if len(counts) == 1:
-        return []
+        return
     turn = np.lexsort((of, counts[of]))
-    node, of, size, own, words = node[turn], of[turn], size[turn], own[turn], words[turn]
-    ends, found = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)), []
+    of, size, own, words = of[turn], size[turn], own[turn], words[turn]
+    ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of))
     apart = own.min() != own.max()
     for i in range(ends[-2]):
         lo = ends[np.searchsorted(ends, i, "right")]
         hits = lo + np.flatnonzero(near(words[lo:], words[i], size[lo:], size[i]))
         hits = hits[own[hits] != own[i]] if apart else hits
-        found += zip([int(node[i])] * len(hits), node[hits].tolist())
-    return found
+        if len(hits):
+            yield np.full(len(hits), turn[i]), turn[hits]
 
 
 def proposals(
-    keyed: DataFrame, width: int, distance: int, similarity: float, chunk: int = CHUNK, few: int = 64
+    keyed: DataFrame,
+    width: int,
+    distance: int,
+    similarity: float,
+    chunk: int = CHUNK,
+    few: int = 64,
+    masks: np.ndarray | None = None,
 ) -> DataFrame:
     """Bucket rows (t, key, node, f0, ..., part, n) → (a, b), a < b: every pair of nodes of different parts
     that share a bucket, are within ``distance`` bits and whose set sizes allow ``similarity``.
 
     A bucket of more than ``chunk`` members is cut by hash and every two of its parts meet in a task.
+    With the blocks' ``masks`` (by t) a pair belongs to the first block it shares, so it is made once;
+    without, repeats are removed. Pairs leave a task in batches of about ``PAIRS``.
     """
     names, kind = [f"f{k}" for k in range(width)], arrow_schema("a long, b long")
     full = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > chunk)
@@ -365,13 +415,13 @@ def proposals(
         fits = np.minimum(n_left, n_right) >= similarity * np.maximum(n_left, n_right) - 1e-9
         return fits & (np.bitwise_count(left ^ right).sum(axis=-1) <= distance)
 
-    def inside(at: np.ndarray, facts: np.ndarray, words: np.ndarray) -> list[tuple[int, int]]:
+    def inside(at: np.ndarray, facts: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         turn = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
         edges = np.concatenate([[0], turn, [len(at)]])
         sizes = np.diff(edges)
-        of, found = np.repeat(np.arange(len(sizes)), sizes), []
+        of = np.repeat(np.arange(len(sizes)), sizes)
         small = (sizes <= few)[of] & (at[:, 2] == at[:, 3])
-        node, part, n, own = facts.T
+        _, part, n, own = facts.T
         # Buckets of a few: neighbours at each offset, all buckets at once.
         for step in range(1, min(few, len(of))):
             k = np.flatnonzero(small[:-step] & (of[step:] == of[:-step]))
@@ -379,19 +429,45 @@ def proposals(
                 break
             k = k[part[k] != part[k + step]]
             k = k[near(words[k], words[k + step], n[k], n[k + step])]
-            found += zip(node[k].tolist(), node[k + step].tolist())
+            yield k, k + step
         for b in np.flatnonzero(~small[edges[:-1]]):
             lo, hi = edges[b], edges[b + 1]
             two = at[lo, 2] != at[lo, 3]
             if two and own[lo:hi].min() == own[lo:hi].max():
                 continue
-            found += _across(node[lo:hi], part[lo:hi], n[lo:hi], own[lo:hi], words[lo:hi], near)
-        return found
-
-    def batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([pick(x) for x in found], pa.int64()) for pick in (min, max)], schema=kind
-        )
+            for left, right in _across(facts[lo:hi, 0], part[lo:hi], n[lo:hi], own[lo:hi], words[lo:hi], near):
+                yield lo + left, lo + right
+
+    def first_shared(at: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which pairs share no block before the one they met in."""
+        keep = np.ones(len(left), bool)
+        for t in np.unique(at[left, 0]):
+            here = np.flatnonzero(at[left, 0] == t)
+            differ = words[left[here]] ^ words[right[here]]
+            for mask in masks[:t]:
+                alive = keep[here]
+                keep[here[alive]] = (differ[alive] & mask).any(axis=1)
+        return keep
+
+    def pairs(at: np.ndarray, facts: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def batch() -> pa.RecordBatch:
+            left, right = (np.concatenate(x) for x in zip(*held))
+            if masks is not None:
+                keep = first_shared(at, words, left, right)
+                left, right = left[keep], right[keep]
+            a, b = facts[left, 0], facts[right, 0]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=kind)
+
+        for found in inside(at, facts, words):
+            held.append(found)
+            count += len(found[0])
+            if count >= PAIRS:
+                yield batch()
+                held, count = [], 0
+        if count:
+            yield batch()
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -409,12 +485,13 @@ def proposals(
                 continue
             done = [np.concatenate(x) for x in zip(*held, [x[:open_from] for x in now])]
             held = [[x[open_from:] for x in now]]
-            yield batch(inside(*done))
+            yield from pairs(*done)
         if held:
-            yield batch(inside(*[np.concatenate(x) for x in zip(*held)]))
+            yield from pairs(*[np.concatenate(x) for x in zip(*held)])
 
     sorted_rows = met.repartition(*bucket).sortWithinPartitions(*bucket)
-    return sorted_rows.transform(in_arrow, walk, "a long, b long").distinct()
+    found = sorted_rows.transform(in_arrow, walk, "a long, b long")
+    return found if masks is not None else found.distinct()
 
 
 def verified(
@@ -482,18 +559,21 @@ def jaccard(left: np.ndarray, right: np.ndarray) -> float:
     return both / (len(left) + len(right) - both)
 
 
-def _similar_components(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, width: int, samples: int, bits: int) -> DataFrame:
+def _similar_components(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, width: int, recall: float) -> DataFrame:
     """(node, f0, ..., n) and the texts of nodes → (node, component) of nodes with a verified link."""
+    rows = nodes.count()
+    samples, bits = shape(rows, similarity, width, recall)
     sizes, first = nodes.select("node", "n"), min(samples, FIRST_SAMPLES)
     # Dense groups first: a forest of very close pairs, verified. What it connects needs no other pair.
-    close = links(sampled_keys(nodes, width, first, bits), width, reach(similarity, width, -1.0))
+    close = links(sampled_keys(nodes, width, first, bits, rows), width, reach(similarity, width, -1.0))
     close = stored(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "close")
     close = stored(verified(close, sizes, texts, shingle, similarity), "close-links")
     part = components(close).withColumnRenamed("node", "_node")
     parted = nodes.join(part, F.col("node") == F.col("_node"), "left").drop("_node")
     parted = stored(parted.withColumn("part", F.coalesce("component", "node")).drop("component"), "parted")
-    keyed = sampled_keys(parted, width, samples, bits, also=("part", "n"))
-    pairs = stored(proposals(keyed, width, reach(similarity, width), similarity), "proposals")
+    keyed = sampled_keys(parted, width, samples, bits, rows, also=("part", "n"))
+    masks = sample_masks(width, samples, bits)
+    pairs = stored(proposals(keyed, width, reach(similarity, width), similarity, masks=masks), "proposals")
     return components(close.unionByName(verified(pairs, sizes, texts, shingle, similarity)))
 
 
@@ -503,21 +583,21 @@ def similar(
     shingle: int = 5,
     similarity: float = 0.8,
     width: int = WIDTH,
-    samples: int = SAMPLES,
-    bits: int = SAMPLE_BITS,
+    recall: float = RECALL,
 ) -> DataFrame:
     """Every row with its group of similar texts: _rid, doc_id, component_id, kept (as ``grouped``).
 
     Links are pairs whose shingle sets (as sets of 64-bit hashes) have a Jaccard similarity of
-    ``similarity`` or more, never less. Fingerprints propose them: a pair at 0.8 shares a sampled
-    block and is within reach with a probability of 0.99 by the binomial, one at 0.85 with 0.999.
+    ``similarity`` or more, never less. Fingerprints propose them: a pair at ``similarity`` shares a
+    sampled block with a probability of ``recall`` by the binomial, if it is within reach (0.998),
+    and a closer one with more; ``shape`` says how many blocks of how many bits that takes.
     Texts without words are one group. ``docs`` is a stored table.
     """
     rows = stored(fingerprints(docs, text, shingle, width, repeats=False), "fingerprints")
     texts = with_row_id(docs.select(F.col(text).alias("text")), "node").select("node", "text")
     names = [f"f{k}" for k in range(width)] + ["n", "total"]
     named = _labelled(
-        rows, names, lambda nodes: _similar_components(nodes, texts, shingle, similarity, width, samples, bits)
+        rows, names, lambda nodes: _similar_components(nodes, texts, shingle, similarity, width, recall)
     )
     return named.select("_rid", "doc_id", "component_id", "kept")
 
