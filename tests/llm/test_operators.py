@@ -131,6 +131,42 @@ def test_every_template_is_found_and_long_ones_without_their_rare_words():
     assert [n for n, *_ in scanner.scan(mit)] == ["MIT"]
 
 
+NOTICE = "Released under the MIT License."
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 400])
+@pytest.mark.parametrize("between", ["", "and so on", "license", "released under", "one two three four five six seven eight nine ten eleven twelve"])
+def test_every_copy_of_a_notice_is_found(n, between):
+    size = 5 + len(between.split())
+    found = licenses.Scanner().scan(f" {between} ".join([NOTICE] * n))
+    assert found == [("MIT", size * k, 5, 1.0) for k in range(n)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [f"The license: {NOTICE} This license is a short license.", f"MIT license the the under {NOTICE} MIT the license MIT", f"License. Released. {NOTICE} Released under"],
+)
+def test_words_of_a_notice_around_it_do_not_hide_it(text):
+    assert ("MIT", 1.0) in [(m[0], m[3]) for m in licenses.Scanner().scan(text)]
+
+
+def test_exact_templates_are_found_as_a_plain_search_finds_them():
+    chance, scanner = random.Random(4), licenses.Scanner()
+    for round in range(60):
+        parts, want, at = [], [], 0
+        for _ in range(chance.randrange(1, 12)):
+            name, text = chance.choice(licenses.TEMPLATES)
+            filler = " ".join(chance.choice("license under the software of terms free copyright any may".split()) for _ in range(chance.randrange(3)))
+            at += len(licenses.words(filler))
+            want.append((name, at, len(licenses.words(text))))
+            at += len(licenses.words(text))
+            parts += [filler, text]
+        got = scanner.scan(" ".join(parts))
+        # Templates hold others (a notice in a text), so a place decides, not a name.
+        places = {(start, size) for _, start, size, _ in got}
+        assert all(any(a <= start and start + size <= a + b for a, b in places) for _, start, size in want), (round, want, got)
+
+
 def test_license_scan_takes_odd_tables(odd, none):
     assert licenses.scan(odd).count() == odd.count()
     assert licenses.scan(none).count() == 0
@@ -195,6 +231,13 @@ def test_extract_on_the_given_pages(spark, sf):
         assert texts[r.page_id] == "\n".join(" ".join(p) for p in parts if p)
 
 
+@pytest.mark.parametrize("before", ["<font>" * 600, "<b>" * 600, "<div>" * 3000, "<font>" * 50_000, "<i></font>" * 50_000])
+def test_roles_hold_at_every_depth(before):
+    line = "A long enough sentence of the article stands here, with a stop. "
+    page = f"{before}<nav><a href='/'>Home</a> menu words</nav><article><h1>The title</h1><p>{line * 4}</p></article><footer>Notice of rights</footer>"
+    assert pages.main_text(page) == "The title\n" + " ".join((line * 4).split())
+
+
 # ---- 3 SimHash
 
 
@@ -312,6 +355,39 @@ def test_proposals_are_all_pairs_across_parts(spark, chunk):
     )
 
 
+@pytest.mark.parametrize("chunk, pairs", [(5, 3), (4096, 1 << 16)])
+def test_a_pair_is_proposed_by_the_first_block_it_shares_only(spark, monkeypatch, chunk, pairs):
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    chance = np.random.default_rng(6)
+    base = chance.integers(0, 1 << 63, (6, 2))
+    rows = [(k, *[int(x) for x in base[k % 6] ^ (1 << chance.integers(0, 62, 2))], k, 50) for k in range(120)]
+    nodes = spark.createDataFrame(rows, "node long, f0 long, f1 long, part long, n long")
+    masks = simhash.sample_masks(2, 9, 12)
+    got = []
+    for m in (masks, None):
+        keyed = simhash.sampled_keys(nodes, 2, 9, 12, rows=len(rows), also=("part", "n"))
+        got.append(sorted(tuple(r) for r in simhash.proposals(keyed, 2, 6, 0.8, chunk, few=4, masks=m).collect()))
+    words = {r[0]: np.array(r[1:3], np.int64).view(np.uint64) for r in rows}
+    want = [
+        (a, b) for a in words for b in words
+        if a < b and np.bitwise_count(words[a] ^ words[b]).sum() <= 6 and (((words[a] ^ words[b]) & masks) == 0).all(axis=1).any()
+    ]
+    assert got[0] == got[1] == sorted(want) and len(want) > 500
+
+
+def test_blocks_grow_with_the_number_of_texts_and_keep_their_recall():
+    shapes = [simhash.shape(n, 0.8) for n in (0, 1000, 40_000, 10**6, 10**9)]
+    assert shapes == sorted(shapes) and shapes[-1][1] == 28
+    chance = random.Random(9)
+    samples, bits = simhash.shape(40_000, 0.8)
+    places = simhash.sample_places(4, samples, bits)
+    p, hits = math.acos(1.6 / 1.8) / math.pi, 0
+    for _ in range(2000):
+        differ = {k for k in range(256) if chance.random() < p}
+        hits += len(differ) <= simhash.reach(0.8) and any(differ.isdisjoint(x.tolist()) for x in places)
+    assert hits >= 0.98 * 2000
+
+
 def test_blocks_verify_as_plain_sets_do(spark):
     texts = {k: " ".join(f"w{(k // 8) * 100 + i + k % 8}" for i in range(60)) for k in range(48)}
     sets = {k: {tuple(t.split()[i : i + 5]) for i in range(56)} for k, t in texts.items()}

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -124,19 +125,20 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def patience(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+def patience(left: list[str], right: list[str], head: bool = True, tail: bool = True) -> list[tuple[int, int]]:
     """Aligned positions of two word lists, in order.
 
     Equal ends are matched first; then words unique to both sides are anchors, the longest increasing
-    subsequence of them stands, and each gap between anchors is aligned in the same way.
+    subsequence of them stands, and each gap between anchors is aligned in the same way. Without
+    ``head`` or ``tail`` the lists go on beyond that end, so equal words there mean nothing.
     """
-    pairs, todo = [], [(0, len(left), 0, len(right))]
+    pairs, todo = [], [(0, len(left), 0, len(right), head, tail)]
     while todo:
-        alo, ahi, blo, bhi = todo.pop()
-        while alo < ahi and blo < bhi and left[alo] == right[blo]:
+        alo, ahi, blo, bhi, head, tail = todo.pop()
+        while head and alo < ahi and blo < bhi and left[alo] == right[blo]:
             pairs.append((alo, blo))
             alo, blo = alo + 1, blo + 1
-        while alo < ahi and blo < bhi and left[ahi - 1] == right[bhi - 1]:
+        while tail and alo < ahi and blo < bhi and left[ahi - 1] == right[bhi - 1]:
             ahi, bhi = ahi - 1, bhi - 1
             pairs.append((ahi, bhi))
         if alo == ahi or blo == bhi:
@@ -160,14 +162,14 @@ def patience(left: list[str], right: list[str]) -> list[tuple[int, int]]:
         edge_a, edge_b = alo, blo
         for i, j in reversed(chain):
             pairs.append((i, j))
-            todo.append((edge_a, i, edge_b, j))
+            todo.append((edge_a, i, edge_b, j, head or edge_a > alo, True))
             edge_a, edge_b = i + 1, j + 1
-        todo.append((edge_a, ahi, edge_b, bhi))
+        todo.append((edge_a, ahi, edge_b, bhi, True, tail))
     return sorted(pairs)
 
 
 class Scanner:
-    """Finds templates in texts: windows around a template's key words, aligned and measured.
+    """Finds templates in texts: alignments that grow out from a template's key words, and are measured.
 
     A template has one key more than it may miss words, so every match holds a key. Keys are words
     that few templates and rarely prose has: fewest templates, then the longest.
@@ -193,47 +195,63 @@ class Scanner:
         if not any(p in low for p in self.probe):
             return []
         body = words(text)
-        windows: dict[int, set[tuple[int, int]]] = {}
+        # Where a template would start, and the keys that say so.
+        starts: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for at, w in enumerate(body):
             for k, offset in self.keys.get(w, ()):
-                size = len(self.templates[k][1])
-                slack = int(SLACK * size) + SLACK_WORDS
-                windows.setdefault(k, set()).add((max(0, at - offset - slack), min(len(body), at - offset + size + slack)))
-        found = []
-        for k, spans in windows.items():
-            for lo, hi in sorted(spans):
-                match = self._match(k, body[lo:hi]) if lo < hi else None
-                if match:
-                    share, n, first, last = match
-                    found.append((-share * n, -share, lo + first, lo + last, self.templates[k][0]))
+                starts.setdefault((k, at - offset), []).append((at, offset))
+        queue: list[tuple] = []
+        for (k, _), keys in starts.items():
+            for at, offset in keys:
+                if self._offer(queue, k, at, offset, body, 0, len(body)):
+                    break
         kept: list[tuple[int, int, str, float]] = []
-        for _, share, first, last, name in sorted(found):
-            if all(last < a or first > b for a, b, _, _ in kept):
-                kept.append((first, last, name, -share))
-        return [(name, a, b - a + 1, share) for a, b, name, share in sorted(kept)]
+        while queue:
+            _, share, first, last, name, k, at, offset = heappop(queue)
+            n = bisect_left(kept, (at + 1,))
+            low, high = kept[n - 1][1] + 1 if n else 0, kept[n][0] if n < len(kept) else len(body)
+            if low <= first and last < high:
+                insort(kept, (first, last, name, -share))
+            elif low <= at:
+                # Part of it belongs to a better match: try what is left around the key.
+                self._offer(queue, k, at, offset, body, low, high)
+        return [(name, a, b - a + 1, share) for a, b, name, share in kept]
 
-    def _match(self, k: int, window: list[str]) -> tuple[float, int, int, int] | None:
-        """Coverage, aligned words, first and last place of template ``k`` in a window, if it is there.
+    def _offer(self, queue: list, k: int, at: int, offset: int, body: list[str], low: int, high: int) -> bool:
+        """Put the match of template ``k`` around a key between two places into the queue, if there is one."""
+        match = self._match(k, at, offset, body, low, high)
+        if match:
+            share, n, first, last = match
+            heappush(queue, (-share * n, -share, first, last, self.templates[k][0], k, at, offset))
+        return match is not None
 
-        Coverage is the aligned share of the longer of both sides, the template and the stretch.
+    def _match(
+        self, k: int, at: int, offset: int, body: list[str], low: int, high: int
+    ) -> tuple[float, int, int, int] | None:
+        """Coverage, aligned words, first and last place of template ``k`` whose key ``offset`` is at ``at``.
+
+        Both sides are aligned from the key outwards. Coverage is the aligned share of the longer of
+        both, the template and the stretch.
         """
         template, spare, costs = self.templates[k][1], self.spare[k], self.costs[k]
-        there = Counter(w for w in window if w in costs)
+        slack = int(SLACK * len(template)) + SLACK_WORDS
+        lo, hi = max(low, at - offset - slack), min(high, at - offset + len(template) + slack)
+        there = Counter(w for w in body[lo:hi] if w in costs)
         if sum((costs - there).values()) > spare:
             return None
-        pairs = patience(template, window)
+        before = patience(template[:offset], body[lo:at], head=False)
+        after = patience(template[offset + 1 :], body[at + 1 : hi], tail=False)
+        pairs = [(i, lo + j) for i, j in before] + [(offset, at)] + [(offset + 1 + i, at + 1 + j) for i, j in after]
         # A word aligned far off at an end would stretch the match: leave it if that aligns more closely.
         while len(pairs) > 1:
             gaps = pairs[1][1] - pairs[0][1] - 1, pairs[-1][1] - pairs[-2][1] - 1
             if max(gaps) == 0 or max(gaps) <= spare:
                 break
             pairs = pairs[1:] if gaps[0] >= gaps[1] else pairs[:-1]
-        if not pairs:
-            return None
         aligned, taken = {i for i, _ in pairs}, {j for _, j in pairs}
         first, last = pairs[0][1], pairs[-1][1]
         missing = [w for i, w in enumerate(template) if i not in aligned and w not in FILLERS]
-        added = [window[j] for j in range(first, last + 1) if j not in taken and window[j] not in FILLERS]
+        added = [body[j] for j in range(first, last + 1) if j not in taken and body[j] not in FILLERS]
         if max(len(missing), len(added)) > spare or any(w in MARKS or w.isdigit() for w in missing):
             return None
         if any(w in MARKS for w in added):

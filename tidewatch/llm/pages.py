@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -46,6 +46,7 @@ CLOSED_BY = {
 }
 #: Elements beyond which a start tag closes nothing.
 FENCES = set("ul ol dl table body html div section article main td th button".split())
+_CLOSED = {tag for tags in CLOSED_BY.values() for tag in tags}
 #: A comment, a tag, another declaration, or what the end of the page cuts off.
 _TAG = re.compile(
     r"""<!--(?:>|->|.*?--!?>|.*\Z)
@@ -58,8 +59,6 @@ _NAMES = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*("
 _WORDS = re.compile(r"[a-z]+")
 _RIGHTS = re.compile(r"©|\(c\)\s*\d{4}|\ball rights reserved\b|\bcookies?\b.*\baccept\b", re.I)
 
-#: Elements inside each other; deeper ones count as part of the last.
-DEPTH = 512
 #: Classifier weights (log odds of content) and smoothness weights.
 OUTSIDE, INSIDE, IN_BOILER = -2.5, 3.0, -8.0
 LONG, SENTENCE, SHORT, LINKS, RIGHTS, HEADING = 1.5, 0.5, -0.5, -3.0, -3.0, 1.0
@@ -67,9 +66,16 @@ NEXT, SIBLING, COUSIN = 0.4, 0.8, 0.3
 
 
 class Element:
-    """One element: its parent, depth, and what its name and attributes say of its role."""
+    """One element: its parent, depth, and what its name and attributes say of its role.
 
-    __slots__ = ("tag", "parent", "depth", "seen", "boiler_tag", "boiler_word", "content", "chars", "lead")
+    What ancestors decide is handed down or up once, so that no depth of nesting costs more:
+    ``block`` is the nearest block element, ``inside`` tells content around it, and ``costs`` fills
+    in ``chars``, ``lead`` and ``bad`` (boilerplate around it, for plain text and for headings).
+    """
+
+    __slots__ = (
+        "tag", "parent", "depth", "seen", "boiler_tag", "boiler_word", "content", "chars", "lead", "block", "inside", "bad"
+    )
 
     def __init__(self, tag: str, parent: Element | None, attributes: str):
         self.tag, self.parent = tag, parent
@@ -91,14 +97,26 @@ class Element:
                     self.seen &= value == "false"
         if self.boiler_word:
             self.content = False
+        self.block = self if tag in BLOCKS or not parent else parent.block
+        self.inside = self.content or (parent is not None and parent.inside)
+        self.bad = (False, False)
 
 
 def blocks_of(html: str) -> list[tuple[Element, str, int]]:
     """The visible text blocks of a page in order: (element, text, characters inside links)."""
+    return parsed(html)[0]
+
+
+def parsed(html: str) -> tuple[list[tuple[Element, str, int]], list[Element]]:
+    """The text blocks of a page, as ``blocks_of``, and all its elements, each after its parent."""
     here, blocks = Element("#page", None, ""), []
+    elements = [here]
     pieces: list[str] = []
-    linked, in_link, beyond = 0, 0, 0
+    linked, in_link = 0, 0
     owner = here
+    # Open elements by name, and those that others close or that keep them from it.
+    names: Counter = Counter()
+    gates: list[Element] = []
 
     def flush() -> None:
         nonlocal linked, pieces
@@ -112,14 +130,21 @@ def blocks_of(html: str) -> list[tuple[Element, str, int]]:
         if not raw or not here.seen:
             return
         if not pieces:
-            owner = here
-            while owner.parent and owner.tag not in BLOCKS:
-                owner = owner.parent
+            owner = here.block
         text = unescape(raw) if "&" in raw else raw
         pieces.append(text)
         if in_link:
             linked += len(text.strip())
 
+    def leave(to: Element) -> None:
+        """Close all elements from the current one up to ``to``, with it."""
+        nonlocal here
+        while here is not to.parent:
+            names[here.tag] -= 1
+            if gates and gates[-1] is here:
+                gates.pop()
+            here = here.parent
+
     at, end = 0, len(html)
     while at < end:
         m = _TAG.search(html, at)
@@ -131,77 +156,73 @@ def blocks_of(html: str) -> list[tuple[Element, str, int]]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
-        if m[1] and beyond and tag not in VOID:
-            beyond -= 1
-            if tag in BLOCKS:
-                flush()
-            continue
         if m[1]:
-            node = here
-            while node.parent and node.tag != tag:
-                node = node.parent
             if tag in BLOCKS:
                 flush()
-            if node.parent:
-                here = node.parent
+            if names[tag]:
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                leave(node)
                 in_link -= tag == "a" and in_link > 0
             continue
         if tag in BLOCKS:
             flush()
             closes = CLOSED_BY.get(tag)
             if closes:
-                node, last = here, None
-                while node.parent and (node.tag in closes or node.tag not in FENCES):
+                last = None
+                for node in reversed(gates):
                     if node.tag in closes:
                         last = node
-                    node = node.parent
+                    elif node.tag in FENCES:
+                        break
                 if last is not None:
-                    here, in_link = last.parent, 0
+                    leave(last)
+                    in_link = 0
         if tag == "br":
             if pieces:
                 pieces.append(" ")
-        elif here.depth >= DEPTH and tag not in VOID and tag not in RAW:
-            beyond += 1
         elif tag not in VOID and not (m[3] or "").endswith("/"):
             here = Element(tag, here, m[3])
+            elements.append(here)
             in_link += tag == "a"
             if tag in RAW:
                 stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
                 if tag not in UNSEEN:
                     add(html[at : stop.start() if stop else end])
                 here, at = here.parent, stop.end() if stop else end
+                continue
+            names[tag] += 1
+            if tag in FENCES or tag in _CLOSED:
+                gates.append(here)
     flush()
-    return blocks
+    return blocks, elements
 
 
-def costs(blocks: list[tuple[Element, str, int]]) -> list[float]:
+def costs(blocks: list[tuple[Element, str, int]], elements: list[Element]) -> list[float]:
     """Log odds that each block is content: what its elements are called, its length and links."""
     total = 0
     for element, text, _ in blocks:
         total += len(text)
-        lead, node = element.tag == "h1", element
-        while node:
-            node.chars += len(text)
-            node.lead |= lead or node.content
-            node = node.parent
-    framed = any(_container(e) for e, _, _ in blocks)
+        element.chars += len(text)
+        element.lead |= element.tag == "h1"
+    for element in reversed(elements):
+        if element.parent:
+            element.parent.chars += element.chars
+            element.parent.lead |= element.lead
+    for element in elements:
+        # A named element that holds the lead and most of the page is its frame, not a part of it.
+        frame = (element.lead or element.content) and 2 * element.chars >= total
+        named = element.boiler_word and not frame
+        above = element.parent.bad if element.parent else (False, False)
+        # The heading in an article's header is the article's.
+        heads = element.tag == "header" and element.inside
+        element.bad = (above[0] or named or element.boiler_tag, above[1] or named or (element.boiler_tag and not heads))
+    framed = any(e.inside for e, _, _ in blocks)
     odds = []
     for element, text, linked in blocks:
-        score, node, inside = 0.0, element, False
         heading = element.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        while node:
-            # A named element that holds the lead and most of the page is its frame, not a part of it.
-            frame = node.lead and 2 * node.chars >= total
-            if node.boiler_tag and not (node.tag == "header" and heading and _container(node)):
-                score = IN_BOILER
-                break
-            if node.boiler_word and not frame:
-                score = IN_BOILER
-                break
-            inside |= node.content
-            node = node.parent
-        else:
-            score = INSIDE if inside else OUTSIDE if framed else 0.0
+        score = IN_BOILER if element.bad[heading] else INSIDE if element.inside else OUTSIDE if framed else 0.0
         size = len(text)
         ended = text[-1] in ".!?\"'”»…:;"
         score += SHORT if size < 25 else LONG if ended and size >= 80 else SENTENCE if ended else 0.0
@@ -213,14 +234,6 @@ def costs(blocks: list[tuple[Element, str, int]]) -> list[float]:
     return odds
 
 
-def _container(element: Element | None) -> bool:
-    while element:
-        if element.content:
-            return True
-        element = element.parent
-    return False
-
-
 def smoothness(blocks: list[tuple[Element, str, int]]) -> list[tuple[int, int, float]]:
     """Edges between blocks: each with the next, and with the next of the same parent, more firmly if
     both are the same kind of element."""
@@ -309,10 +322,10 @@ def source_side(odds: list[float], edges: list[tuple[int, int, float]]) -> list[
 
 def main_text(html: str | None) -> str:
     """The text of the blocks on the content side, in page order, one a line."""
-    blocks = blocks_of(html or "")
+    blocks, elements = parsed(html or "")
     if not blocks:
         return ""
-    kept = source_side(costs(blocks), smoothness(blocks))
+    kept = source_side(costs(blocks, elements), smoothness(blocks))
     return "\n".join(text for (_, text, _), keep in zip(blocks, kept) if keep)
 
 
