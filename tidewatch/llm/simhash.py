@@ -28,10 +28,11 @@ SHINGLE, DISTANCE, BLOCKS = 3, 3, 5
 #: Wide form: 64-bit words of a fingerprint, and the share of pairs at the wanted similarity that
 #: sampled blocks have to propose. Bits and number of the blocks follow from the number of texts.
 WIDTH, RECALL = 4, 0.99
-#: Least bits of a sampled block; texts that share a block of that many bits by chance, about.
-LEAST_BITS, SHARED = 12, 4
-#: Sampled blocks that find the dense groups first, so that not all of their pairs are proposed.
-FIRST_SAMPLES = 8
+#: Least bits of a sampled block; texts that share a block of that many bits by chance, about. A row
+#: that is shuffled costs about as much as a hundred comparisons in its bucket.
+LEAST_BITS, SHARED = 12, 64
+#: Share of the sampled blocks that find the dense groups first, so that not all of their pairs are proposed.
+FIRST_SHARE = 0.5
 #: Shingles that one block of texts to compare holds at most (or one text).
 ROOM = 1 << 19
 #: Members of a bucket that one task compares with as many others; larger buckets are cut.
@@ -223,11 +224,33 @@ def _near(left: tuple, right: tuple | None, distance: int) -> list[tuple[int, in
     return links
 
 
-def links(keyed: DataFrame, width: int, distance: int, chunk: int = CHUNK) -> DataFrame:
+def _nearest(left: tuple, right: tuple | None, distance: int) -> list[tuple[int, int]]:
+    """As ``_near``, but each member is linked to the nearest one: a minimum spanning forest of the distances.
+
+    The copies of one text are then linked to that text where it is among them, not to each other.
+    """
+    nodes, words = left if right is None else tuple(np.concatenate(x) for x in zip(left, right))
+    count, links, last = len(nodes), [], 0
+    least, by = np.full(count, 1 << 30), np.zeros(count, np.int64)
+    out = np.arange(1, count)
+    while len(out):
+        apart = np.bitwise_count(words[out] ^ words[last]).sum(axis=1)
+        closer = apart < least[out]
+        least[out[closer]], by[out[closer]] = apart[closer], last
+        at = int(np.argmin(least[out]))
+        last = int(out[at])
+        if least[last] <= distance:
+            links.append((int(nodes[by[last]]), int(nodes[last])))
+        out = np.delete(out, at)
+    return links
+
+
+def links(keyed: DataFrame, width: int, distance: int, chunk: int = CHUNK, near: Callable = _near) -> DataFrame:
     """Bucket rows (t, key, node, f0, ...) → (a, b): nodes within ``distance`` bits that share a bucket.
 
-    Links connect whatever is close in a bucket but are not all its pairs. A bucket of more than
-    ``chunk`` members is cut by hash and every two of its parts meet in a task of their own.
+    Links connect whatever is close in a bucket but are not all its pairs; ``near`` chooses them. A
+    bucket of more than ``chunk`` members is cut by hash and every two of its parts meet in a task of
+    their own.
     """
     names = [f"f{k}" for k in range(width)]
     full = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
@@ -235,7 +258,7 @@ def links(keyed: DataFrame, width: int, distance: int, chunk: int = CHUNK) -> Da
     parts = F.ceil(1.5 * F.col("n") / chunk).cast("int").alias("parts")
     hot = stored(full.select("t", "key", parts), "hot-buckets")
     if hot.isEmpty():
-        return _packed_links(keyed, names, distance).distinct()
+        return _packed_links(keyed, names, distance, near).distinct()
     met = keyed.join(hot, ["t", "key"])
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     others = F.transform(
@@ -252,15 +275,15 @@ def links(keyed: DataFrame, width: int, distance: int, chunk: int = CHUNK) -> Da
         own = table.column("own").to_numpy()
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = ((node[own == k], words[own == k]) for k in (i, j))
-        found = _near(left, None if i == j else right, distance)
+        found = near(left, None if i == j else right, distance)
         return pa.Table.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=kind)
 
     from_hot = met.groupBy("t", "key", "i", "j").applyInArrow(compare, "a long, b long")
     rest = keyed.join(hot.select("t", "key"), ["t", "key"], "left_anti")
-    return _packed_links(rest, names, distance).unionByName(from_hot).distinct()
+    return _packed_links(rest, names, distance, near).unionByName(from_hot).distinct()
 
 
-def _packed_links(rows: DataFrame, names: list[str], distance: int, few: int = 16) -> DataFrame:
+def _packed_links(rows: DataFrame, names: list[str], distance: int, near: Callable, few: int = 16) -> DataFrame:
     """Links inside buckets of at most a chunk: sorted by bucket, many of them in one Arrow batch."""
     kind = arrow_schema("a long, b long")
 
@@ -278,7 +301,7 @@ def _packed_links(rows: DataFrame, names: list[str], distance: int, few: int = 1
             found += zip(node[at].tolist(), node[at + step].tolist())
         for k in np.flatnonzero(sizes > few):
             lo, hi = edges[k], edges[k + 1]
-            found += _near((node[lo:hi], words[lo:hi]), None, distance)
+            found += near((node[lo:hi], words[lo:hi]), None, distance)
         return found
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,7 +408,7 @@ def proposals(
     distance: int,
     similarity: float,
     chunk: int = CHUNK,
-    few: int = 64,
+    few: int = 256,
     masks: np.ndarray | None = None,
 ) -> DataFrame:
     """Bucket rows (t, key, node, f0, ..., part, n) → (a, b), a < b: every pair of nodes of different parts
@@ -563,9 +586,9 @@ def _similar_components(nodes: DataFrame, texts: DataFrame, shingle: int, simila
     """(node, f0, ..., n) and the texts of nodes → (node, component) of nodes with a verified link."""
     rows = nodes.count()
     samples, bits = shape(rows, similarity, width, recall)
-    sizes, first = nodes.select("node", "n"), min(samples, FIRST_SAMPLES)
-    # Dense groups first: a forest of very close pairs, verified. What it connects needs no other pair.
-    close = links(sampled_keys(nodes, width, first, bits, rows), width, reach(similarity, width, -1.0))
+    sizes, first = nodes.select("node", "n"), math.ceil(FIRST_SHARE * samples)
+    # Dense groups first: a forest of nearest pairs, verified. What it connects needs no other pair.
+    close = links(sampled_keys(nodes, width, first, bits, rows), width, reach(similarity, width, 0.0), near=_nearest)
     close = stored(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "close")
     close = stored(verified(close, sizes, texts, shingle, similarity), "close-links")
     part = components(close).withColumnRenamed("node", "_node")
