@@ -415,6 +415,67 @@ def test_blocks_verify_as_plain_sets_do(spark):
     assert plain_components(list(texts), [tuple(r) for r in found]) == plain_components(list(texts), close)
 
 
+def crowd_texts(count, words=200, changed=6):
+    """Texts that each differ from one text in some places: most pairs are just below a similarity of 0.8."""
+    base, found = [f"w{k}" for k in range(words)], {}
+    for i in range(count):
+        chance, own = random.Random(i), list(base)
+        for k in chance.sample(range(words), changed - 4 * (i % 9 == 0)):
+            own[k] = f"x{i}y{k}"
+        found[i] = " ".join(own)
+    return found
+
+
+def links_of_sets(texts, similarity):
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in texts.items()}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in texts for b in texts if a < b}
+    return sets, alike, [p for p, s in alike.items() if s >= similarity]
+
+
+def test_a_group_just_below_the_similarity_makes_rows_by_members_not_pairs(spark, tmp_path, monkeypatch):
+    texts = crowd_texts(400)
+    _, alike, close = links_of_sets(texts, 0.8)
+    assert sum(0.55 < s < 0.8 for s in alike.values()) > 70_000 and len(close) > 100
+    made, plain = {}, simhash.stored
+
+    def counted(df, name):
+        table = plain(df, name)
+        made[name] = table.count()
+        return table
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/t")
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.read.parquet(f"{tmp_path}/t")).collect()}
+    assert got == plain_components(list(texts), close)
+    assert made["proposals"] <= 20_000
+
+
+@pytest.mark.parametrize("chunk, few, room", [(4096, 256, 1 << 19), (4096, 16, 9000), (50, 16, 4000)])
+def test_crowded_buckets_hand_on_the_same_links(spark, chunk, few, room):
+    texts = crowd_texts(150) | {200 + k: f"a{k} " * 3 + prose(k, 190) for k in range(100)}
+    sets, _, close = links_of_sets(texts, 0.8)
+    rows = []
+    for k, t in texts.items():
+        words = np.array(simhash.fingerprint(t, 5, 4, repeats=False), np.uint64).view(np.int64)
+        rows.append((k, *words.tolist(), k if k % 10 else 10, len(sets[k])))
+    nodes = spark.createDataFrame(rows, "node long, f0 long, f1 long, f2 long, f3 long, part long, n long")
+    table = spark.createDataFrame(list(texts.items()), "node long, text string")
+    masks = simhash.sample_masks(4, 12, 8)
+    keyed = simhash.sampled_keys(nodes, 4, 12, 8, also=("part", "n"))
+    every = simhash.proposals(keyed, 4, 55, 0.8, chunk, few, masks).collect()
+    found = simhash.proposals(keyed, 4, 55, 0.8, chunk, few, masks, crowd=2, room=room).persist()
+    pairs, members = found.where("b IS NOT NULL").select("a", "b"), found.where("b IS NULL")
+    assert members.count() > 0 and pairs.count() < len(every) / 4
+    decided = simhash.crowds_verified(members, nodes, table, 5, 0.8, 55, masks).collect()
+    assert {tuple(sorted(r)) for r in decided} <= set(close)
+    # Together with the pairs that were made, and the parts given, they join what all pairs join.
+    parts = [(10, k) for k in texts if k % 10 == 0 and k != 10]
+    left = [tuple(r) for r in pairs.collect() if tuple(r) in set(close)]
+    wanted = [tuple(r) for r in every if tuple(r) in set(close)]
+    assert len(wanted) > 10
+    assert plain_components(list(texts), [*parts, *left, *map(tuple, decided)]) == plain_components(list(texts), [*parts, *wanted])
+
+
 # ---- 4 byte-level BPE
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")

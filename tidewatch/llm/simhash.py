@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,9 @@ CHUNK = 4096
 _AT_ONCE = 1 << 14
 #: Pairs that a task holds before it passes them on.
 PAIRS = 1 << 16
+#: Pairs a member that a bucket proposes at most; a bucket with more hands on its members instead. A pair
+#: that is decided elsewhere costs about a hundred bytes, a member its text.
+CROWD = 8
 #: Fixed odd multipliers that spread a shingle's hash over the words of a wide fingerprint.
 _SPREAD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) for k in range(64)], np.uint64)
 
@@ -402,6 +405,19 @@ def _across(
             yield np.full(len(hits), turn[i]), turn[hits]
 
 
+def _first_shared(t: int, masks: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Which of the pairs, given by the bits they differ in, share no block before block ``t``."""
+    keep = np.ones(len(differ), bool)
+    for mask in masks[:t]:
+        keep[keep] = (differ[keep] & mask).any(axis=1)
+    return keep
+
+
+def _fits(left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """Which set sizes allow the similarity."""
+    return np.minimum(left, right) >= similarity * np.maximum(left, right) - 1e-9
+
+
 def proposals(
     keyed: DataFrame,
     width: int,
@@ -410,6 +426,8 @@ def proposals(
     chunk: int = CHUNK,
     few: int = 256,
     masks: np.ndarray | None = None,
+    crowd: int | None = None,
+    room: int = ROOM,
 ) -> DataFrame:
     """Bucket rows (t, key, node, f0, ..., part, n) → (a, b), a < b: every pair of nodes of different parts
     that share a bucket, are within ``distance`` bits and whose set sizes allow ``similarity``.
@@ -417,8 +435,14 @@ def proposals(
     A bucket of more than ``chunk`` members is cut by hash and every two of its parts meet in a task.
     With the blocks' ``masks`` (by t) a pair belongs to the first block it shares, so it is made once;
     without, repeats are removed. Pairs leave a task in batches of about ``PAIRS``.
+
+    With ``crowd`` (and ``masks``) a bucket of more than ``crowd`` pairs a member makes none of them. It
+    makes rows with ``b`` null, one a member: t, g and side, for ``crowds_verified`` to find and decide
+    the same pairs. Members of more than ``room`` shingles are cut and every two cuts are a group g;
+    with two sides, its pairs are those of both. So rows grow with the members, not with their pairs.
     """
-    names, kind = [f"f{k}" for k in range(width)], arrow_schema("a long, b long")
+    names, schema = [f"f{k}" for k in range(width)], "a long, b long" + (", t long, g long, side long" if crowd else "")
+    kind = arrow_schema(schema)
     full = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > chunk)
     hot = stored(full.select("t", "key", F.ceil(1.5 * F.col("m") / chunk).alias("cuts")), "hot-buckets")
     if hot.isEmpty():
@@ -435,62 +459,97 @@ def proposals(
     met = met.select(*bucket, "node", "part", "n", "own", *names)
 
     def near(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
-        fits = np.minimum(n_left, n_right) >= similarity * np.maximum(n_left, n_right) - 1e-9
-        return fits & (np.bitwise_count(left ^ right).sum(axis=-1) <= distance)
+        return _fits(n_left, n_right, similarity) & (np.bitwise_count(left ^ right).sum(axis=-1) <= distance)
+
+    def own_pairs(at: np.ndarray, words: np.ndarray, held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs found, without those that an earlier block makes."""
+        left, right = (np.concatenate(x) for x in zip(*held))
+        if masks is None:
+            return left, right
+        keep = np.ones(len(left), bool)
+        for t in np.unique(at[left, 0]):
+            here = np.flatnonzero(at[left, 0] == t)
+            keep[here] = _first_shared(t, masks, words[left[here]] ^ words[right[here]])
+        return left[keep], right[keep]
+
+    def pair_rows(facts: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+        a, b = facts[left, 0], facts[right, 0]
+        none = [pa.nulls(len(a), pa.int64())] * (len(kind) - 2)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *none], schema=kind)
+
+    def member_rows(at: np.ndarray, node: np.ndarray, n: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The members of one crowded bucket, for each two cuts of them that meet."""
+        cuts = []
+        for side in np.unique(own):
+            mine = np.flatnonzero(own == side)
+            cut = np.cumsum(n[mine]) // room
+            cuts += [(side, mine[cut == c]) for c in np.unique(cut)]
+        for x, y in combinations_with_replacement(range(len(cuts)), 2):
+            # Where two parts of a cut bucket meet, the pairs inside each of them are another task's.
+            if at[2] != at[3] and cuts[x][0] == cuts[y][0]:
+                continue
+            of = [cuts[x][1]] if x == y else [cuts[x][1], cuts[y][1]]
+            g = xxhash.xxh64_intdigest(np.array([*at, x, y], np.int64).tobytes()) - (1 << 63)
+            rows = np.concatenate(of)
+            side = np.repeat(np.arange(len(of)), [len(o) for o in of])
+            columns = [node[rows], np.full(len(rows), at[0]), np.full(len(rows), g), side]
+            a, t, g, side = (pa.array(c, pa.int64()) for c in columns)
+            yield pa.RecordBatch.from_arrays([a, pa.nulls(len(rows), pa.int64()), t, g, side], schema=kind)
 
-    def inside(at: np.ndarray, facts: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(at: np.ndarray, facts: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
         turn = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
         edges = np.concatenate([[0], turn, [len(at)]])
         sizes = np.diff(edges)
         of = np.repeat(np.arange(len(sizes)), sizes)
         small = (sizes <= few)[of] & (at[:, 2] == at[:, 3])
         _, part, n, own = facts.T
-        # Buckets of a few: neighbours at each offset, all buckets at once.
+        # Buckets of a few: neighbours at each offset, all buckets at once. They fit into one Arrow batch.
+        held = []
         for step in range(1, min(few, len(of))):
             k = np.flatnonzero(small[:-step] & (of[step:] == of[:-step]))
             if not len(k):
                 break
             k = k[part[k] != part[k + step]]
             k = k[near(words[k], words[k + step], n[k], n[k + step])]
-            yield k, k + step
+            held.append((k, k + step))
+        if held:
+            left, right = own_pairs(at, words, held)
+            if crowd:
+                full = np.bincount(of[left], minlength=len(sizes)) > crowd * sizes
+                for b in np.flatnonzero(full):
+                    rows = np.unique(np.concatenate([x[of[left] == b] for x in (left, right)]))
+                    yield from member_rows(at[edges[b]], facts[rows, 0], n[rows], own[rows])
+                left, right = left[~full[of[left]]], right[~full[of[left]]]
+            if len(left):
+                yield pair_rows(facts, left, right)
         for b in np.flatnonzero(~small[edges[:-1]]):
             lo, hi = edges[b], edges[b + 1]
-            two = at[lo, 2] != at[lo, 3]
-            if two and own[lo:hi].min() == own[lo:hi].max():
+            if at[lo, 2] != at[lo, 3] and own[lo:hi].min() == own[lo:hi].max():
                 continue
-            for left, right in _across(facts[lo:hi, 0], part[lo:hi], n[lo:hi], own[lo:hi], words[lo:hi], near):
-                yield lo + left, lo + right
-
-    def first_shared(at: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Which pairs share no block before the one they met in."""
-        keep = np.ones(len(left), bool)
-        for t in np.unique(at[left, 0]):
-            here = np.flatnonzero(at[left, 0] == t)
-            differ = words[left[here]] ^ words[right[here]]
-            for mask in masks[:t]:
-                alive = keep[here]
-                keep[here[alive]] = (differ[alive] & mask).any(axis=1)
-        return keep
+            yield from large(at[lo:hi], facts[lo:hi], words[lo:hi])
 
-    def pairs(at: np.ndarray, facts: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-
-        def batch() -> pa.RecordBatch:
-            left, right = (np.concatenate(x) for x in zip(*held))
-            if masks is not None:
-                keep = first_shared(at, words, left, right)
-                left, right = left[keep], right[keep]
-            a, b = facts[left, 0], facts[right, 0]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=kind)
-
-        for found in inside(at, facts, words):
+    def large(at: np.ndarray, facts: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, part, n, own = facts.T
+        held, count, done, made = [], 0, [], 0
+        for found in _across(node, part, n, own, words, near):
             held.append(found)
             count += len(found[0])
             if count >= PAIRS:
-                yield batch()
+                done.append(own_pairs(at, words, held))
+                made += len(done[-1][0])
                 held, count = [], 0
-        if count:
-            yield batch()
+                if crowd and made > crowd * len(at):
+                    break
+                if not crowd:
+                    yield pair_rows(facts, *done.pop())
+        if held:
+            done.append(own_pairs(at, words, held))
+            made += len(done[-1][0])
+        if crowd and made > crowd * len(at):
+            yield from member_rows(at[0], node, n, own)
+        else:
+            for found in done:
+                yield pair_rows(facts, *found)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -513,10 +572,75 @@ def proposals(
             yield from pairs(*[np.concatenate(x) for x in zip(*held)])
 
     sorted_rows = met.repartition(*bucket).sortWithinPartitions(*bucket)
-    found = sorted_rows.transform(in_arrow, walk, "a long, b long")
+    found = sorted_rows.transform(in_arrow, walk, schema)
     return found if masks is not None else found.distinct()
 
 
+def crowds_verified(
+    members: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, distance: int, masks: np.ndarray
+) -> DataFrame:
+    """Members (a, t, g, side) of crowded buckets → (a, b): links that join what their similar pairs join.
+
+    ``nodes``: (node, f0, ..., n, part); ``texts``: (node, text). A task holds one group at a time: the
+    pairs that ``proposals`` would have made of it are found by their fingerprints again, and those that
+    no link joins yet are decided by their shingle sets.
+    """
+    names = [f"f{k}" for k in range(masks.shape[1])]
+    facts = ["t", "g", "side", "node", "part", "n", *names]
+    rows = members.select("t", "g", "side", F.col("a").alias("node")).join(nodes.select("node", "part", "n", *names), "node")
+    rows = rows.join(texts, "node").select(*facts, F.coalesce("text", F.lit("")).alias("text"))
+    kind = arrow_schema("a long, b long")
+
+    def links_of(facts: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        side, node, part, n = facts[:, 2:6].T
+        words, two = np.ascontiguousarray(facts[:, 6:]).view(np.uint64), side.min() != side.max()
+        # The hashes of a group by number, so that one text's are marked and the others' looked up.
+        size = np.array([len(x) for x in sets])
+        known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        numbers = np.split(flat, np.cumsum(size)[:-1])
+        marked, group = np.zeros(len(known), bool), part.copy()
+        for i in range(len(node) - 1):
+            rest = np.arange(i + 1, len(node))
+            rest = rest[(group[rest] != group[i]) & ((side[rest] != side[i]) | (not two))]
+            rest = rest[_fits(n[rest], n[i], similarity)]
+            rest = rest[np.bitwise_count(words[rest] ^ words[i]).sum(axis=1) <= distance]
+            rest = rest[_first_shared(facts[0, 0], masks, words[rest] ^ words[i])]
+            if not len(rest):
+                continue
+            marked[numbers[i]] = True
+            shared = np.append(0, np.cumsum(marked[np.concatenate([numbers[k] for k in rest])]))
+            marked[numbers[i]] = False
+            both = np.diff(shared[np.append(0, np.cumsum(size[rest]))])
+            for k in rest[both / (size[rest] + size[i] - both) >= similarity]:
+                if group[k] != group[i]:
+                    group[group == group[k]] = group[i]
+                    yield int(node[i]), int(node[k])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sets = [], []
+
+        def batch() -> pa.RecordBatch:
+            found = list(links_of(np.concatenate(held), sets))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=kind)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = np.stack([b.column(c).to_numpy() for c in facts], axis=1)
+            hashes = (np.unique(shingle_hashes(x.as_py(), shingle)) for x in b.column("text"))
+            turn = np.flatnonzero((now[1:, :2] != now[:-1, :2]).any(axis=1)) + 1
+            for piece in np.split(now, turn):
+                if held and (held[-1][-1, :2] != piece[0, :2]).any():
+                    yield batch()
+                    held, sets = [], []
+                held.append(piece)
+                sets += [next(hashes) for _ in piece]
+        if sets:
+            yield batch()
+
+    return rows.repartition("t", "g").sortWithinPartitions("t", "g").transform(in_arrow, run, "a long, b long")
+
+
 def verified(
     pairs: DataFrame, sizes: DataFrame, texts: DataFrame, shingle: int, similarity: float, room: int = ROOM
 ) -> DataFrame:
@@ -596,8 +720,13 @@ def _similar_components(nodes: DataFrame, texts: DataFrame, shingle: int, simila
     parted = stored(parted.withColumn("part", F.coalesce("component", "node")).drop("component"), "parted")
     keyed = sampled_keys(parted, width, samples, bits, rows, also=("part", "n"))
     masks = sample_masks(width, samples, bits)
-    pairs = stored(proposals(keyed, width, reach(similarity, width), similarity, masks=masks), "proposals")
-    return components(close.unionByName(verified(pairs, sizes, texts, shingle, similarity)))
+    within = reach(similarity, width)
+    found = stored(proposals(keyed, width, within, similarity, masks=masks, crowd=CROWD), "proposals")
+    pairs, members = found.where("b IS NOT NULL").select("a", "b"), found.where("b IS NULL")
+    decided = close.unionByName(verified(pairs, sizes, texts, shingle, similarity))
+    if not members.isEmpty():
+        decided = decided.unionByName(crowds_verified(members, parted, texts, shingle, similarity, within, masks))
+    return components(decided)
 
 
 def similar(
