@@ -1,7 +1,9 @@
 """Rows of a long table that fall inside each anchor's own time window.
 
 The window is cut into fixed chunks and both sides meet on (key, chunk), so a hot key is spread
-over its chunks and no anchor is compared with rows far from it.
+over its chunks and no anchor is compared with rows far from it. The sides are shuffled and merged:
+an anchor is one row per chunk there, of which planning knows nothing, and it would broadcast a
+table of small anchors after it has grown many times over.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ def in_window(
     left = anchors.where(F.col(start) <= F.col(end)).withColumn("_chunk", F.explode(chunks))
     right = rows.withColumn("_chunk", F.floor(F.col(ts) / chunk_ms).cast("bigint"))
     return (
-        left.join(right, [*keys, "_chunk"])
+        left.join(right.hint("merge"), [*keys, "_chunk"])
         .where((F.col(ts) >= F.col(start)) & (F.col(ts) <= F.col(end)))
         .drop("_chunk")
     )
