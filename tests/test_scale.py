@@ -1,10 +1,12 @@
 """Results do not depend on how a series is cut, and groups named null are kept."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.catalog import inputs
 from tidewatch.operators import mindshare, stats
 from tidewatch.plans import chart, rotation
 
@@ -84,3 +86,15 @@ def test_null_groups_are_kept(spark):
     assert split.count() == 60 and split.where("g is null and split = 'train'").count() == 14
     polled = df.select(F.col("g").alias("poll_id"), F.col("id").alias("pos"), *[F.col("score").alias(c) for c in mindshare.COMPONENT_WEIGHTS])
     assert mindshare.ranked(polled, "poll_id", "pos").count() == 60
+
+
+def broadcast_windows(df):
+    """Joins on the chunks of windows that broadcast a side, which holds a row per chunk."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "_chunk" in plan
+    return re.findall(r"Broadcast\w+Join \[[^\]]*_chunk", plan)
+
+
+def test_the_day_before_each_snapshot_is_not_broadcast(spark, sf):
+    """What the features of the backtest rows read."""
+    assert not broadcast_windows(inputs.trailing(spark, sf))
