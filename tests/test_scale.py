@@ -98,3 +98,8 @@ def broadcast_windows(df):
 def test_the_day_before_each_snapshot_is_not_broadcast(spark, sf):
     """What the features of the backtest rows read."""
     assert not broadcast_windows(inputs.trailing(spark, sf))
+
+
+def test_the_windows_of_labels_are_not_broadcast(spark, sf):
+    """What the training rows of the fit read: both passes over the price path."""
+    assert not broadcast_windows(inputs.labels_job(spark, sf))
