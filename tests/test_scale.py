@@ -103,3 +103,8 @@ def test_the_day_before_each_snapshot_is_not_broadcast(spark, sf):
 def test_the_windows_of_labels_are_not_broadcast(spark, sf):
     """What the training rows of the fit read: both passes over the price path."""
     assert not broadcast_windows(inputs.labels_job(spark, sf))
+
+
+def test_the_windows_of_social_readings_are_not_broadcast(spark, sf):
+    """What the exit test reads: four windows a snapshot, each in two chunks."""
+    assert not broadcast_windows(inputs.social_job(spark, sf))
