@@ -585,6 +585,36 @@ def test_scores_are_a_distribution_and_better_on_held_out(spark, sf, none):
     assert brown.scores(none, held).count() == 0
 
 
+def test_chunks_of_the_language_model_are_bounded_in_text(spark, tmp_path):
+    """One row group of a file that packs well is one task's; its size in the file says little."""
+    chance = random.Random(7)
+    rows = [(i, None if i % 50 == 0 else f"{prose(i, chance.randrange(400))} né{i % 70}") for i in range(2000)]
+    path = str(tmp_path / "packed")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path)
+    cut = brown.in_chunks(common.with_row_id(docs.withColumnRenamed("text", "_text")), 50_000)
+    sizes = cut.groupBy("chunk").agg(F.sum(F.octet_length("_text")).alias("bytes"), F.max(F.octet_length("_text")).alias("row"))
+    got = sizes.collect()
+    assert len(got) > 8 and all(r.bytes < 50_000 + r.row for r in got) and cut.count() == len(rows)
+
+    def scored(chunk_bytes):
+        found = brown.scores(docs, F.col("doc_id") % 5 == 1, classes=3, core=15, restarts=1, chunk_bytes=chunk_bytes)
+        return {r.doc_id: tuple(r)[2:] for r in found.drop("held_out").collect()}
+
+    whole, small = scored(1 << 30), scored(50_000)
+    assert whole.keys() == small.keys() == {i for i, _ in rows}
+    assert all(np.allclose(whole[i], small[i], rtol=1e-9) for i in whole)
+
+
+def test_a_task_hands_rows_over_in_bounded_batches():
+    n = 2 * brown.HANDED + 1
+    kind = common.arrow_schema("i int, word binary")
+    got = list(brown._tables(kind, [np.arange(n), [b"%d" % i for i in range(n)]]))
+    assert max(b.num_rows for b in got) <= brown.HANDED
+    assert [x for b in got for x in b.column("i").to_pylist()] == list(range(n))
+    assert not list(brown._tables(kind, [np.arange(0), []]))
+
+
 def test_transitions_sum_to_one():
     chance, k = np.random.default_rng(1), 4
     events = 2 * k + 1
